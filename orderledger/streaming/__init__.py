@@ -1,0 +1,5 @@
+"""No operators: the data work here is batch.
+
+The row-by-row steps (``clean_orders``, ``rejected_orders``, ``row_issues``)
+hold no state and accept a streaming frame as they are.
+"""
