@@ -1,7 +1,7 @@
 """Column functions: text, numbers, dates, name lists and maps."""
 
 from .collections import append_names, merge_maps, normalize_names
-from .dates import iso_date
+from .dates import iso_date, seconds_between
 from .numeric import decimal_amount, money_product, positive_number, whole_number
 from .text import is_blank, strip, title_case
 
@@ -14,6 +14,7 @@ __all__ = [
     "money_product",
     "normalize_names",
     "positive_number",
+    "seconds_between",
     "strip",
     "title_case",
     "whole_number",
