@@ -19,13 +19,16 @@ _PARSED = {
 }
 
 
+def _text(c: Column) -> Column:
+    """Blank text is '' whether it came as null, empty or whitespace: one key when grouped."""
+    return F.coalesce(c, F.lit(""))
+
+
 def _parsed(orders: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
     typed = orders.select(
         *keep,
-        strip("order_id").alias("order_id"),
-        title_case("customer_name").alias("customer_name"),
-        title_case("region").alias("region"),
-        title_case("product").alias("product"),
+        _text(strip("order_id")).alias("order_id"),
+        *[_text(title_case(c)).alias(c) for c in ("customer_name", "region", "product")],
         iso_date("order_date").alias("order_date"),
         whole_number("quantity").alias("quantity"),
         decimal_amount("unit_price").alias("unit_price"),

@@ -166,4 +166,4 @@ def sales_summary_long(breakdown: DataFrame) -> DataFrame:
 def distinct_values(clean: DataFrame, columns: Sequence[str] = ("region", "product")) -> DataFrame:
     """Distinct values per column as (column_name, value)."""
     pairs = clean.select(*columns).distinct().unpivot([], list(columns), "column_name", "value")
-    return pairs.where(F.col("value").isNotNull()).distinct()
+    return pairs.distinct()

@@ -90,7 +90,9 @@ def read_clean_orders(
     if multi_line is None:
         multi_line = has_multiline_records(spark, path)
     raw = _csv(spark, path, multi_line)
-    return raw.select(*[F.col(c).cast(_CLEAN_TYPES.get(c, "string")).alias(c) for c in CLEAN_COLUMNS])
+    typed = {c: F.col(c).cast(kind) for c, kind in _CLEAN_TYPES.items()}
+    blank = F.lit("")
+    return raw.select(*[typed.get(c, F.coalesce(c, blank)).alias(c) for c in CLEAN_COLUMNS])
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], single_file: bool = False) -> str:
@@ -104,6 +106,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], single_file: boo
     (
         out.write.option("header", True)
         .option("escape", '"')
+        .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
