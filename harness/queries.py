@@ -31,6 +31,7 @@ from orderledger.sources import (
     read_clean_orders,
     read_raw_orders,
     scratch_path,
+    stage_table,
     write_csv,
 )
 
@@ -513,6 +514,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_log_lines(staging.log_lines(spark, sf_dir))
 
 
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Parsed once into a stored table, which the look back then reads.
+    events = stage_table(_events(spark, sf_dir), "log-events")
+    return log_history.attribute_events(events)
+
+
 @query
 def q_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["log_file", "line_no", "ts", "message", "run_id", "name", "stage", "mode", "status", "stages", "error"]
@@ -521,27 +528,27 @@ def q_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_log_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributed = log_history.attribute_events(_events(spark, sf_dir))
+    attributed = _attributed(spark, sf_dir)
     columns = ["log_file", "line_no", "message", "run_id", "run_started_at"]
     return _text_time(attributed.select(*columns), "run_started_at")
 
 
 @query
 def q_log_stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributed = log_history.attribute_events(_events(spark, sf_dir))
+    attributed = _attributed(spark, sf_dir)
     durations = log_history.log_stage_durations(attributed)
     return durations.select("log_file", "run_id", "stage", "duration_seconds")
 
 
 @query
 def q_run_wall_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributed = log_history.attribute_events(_events(spark, sf_dir))
+    attributed = _attributed(spark, sf_dir)
     runs = log_history.run_wall_times(attributed)
     return runs.select("log_file", "run_id", "wall_seconds", "stages_finished", "stages_logged")
 
 
 @query
 def q_failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributed = log_history.attribute_events(_events(spark, sf_dir))
+    attributed = _attributed(spark, sf_dir)
     failed = log_history.failed_runs(attributed)
     return failed.select("log_file", "line_no", "run_id", "name", "error")

@@ -14,11 +14,12 @@ from .text import strip
 
 MONEY = "decimal(18,2)"
 
-# Fixed patterns: the text forms int() and float() accept (ASCII digits).
+# Fixed patterns: the text forms int() and float() accept (ASCII digits), NaN
+# apart. NaN is not positive, and Spark orders it above every number.
 _DIGITS = r"\d+(?:_\d+)*"
 INT_TEXT = rf"^[+-]?{_DIGITS}$"
 FINITE_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-FLOAT_TEXT = rf"{FINITE_TEXT}|^[+-]?(?i:inf|infinity|nan)$"
+FLOAT_TEXT = rf"{FINITE_TEXT}|^[+-]?(?i:inf|infinity)$"
 
 
 def _parsed(c: Column | str, form: str, data_type: str) -> Column:
@@ -30,8 +31,12 @@ def _parsed(c: Column | str, form: str, data_type: str) -> Column:
 def positive_number(c: Column | str) -> Column:
     """The number as double, or null when it is unparsable, NaN or not above 0."""
     value = _parsed(c, FLOAT_TEXT, "double")
-    # Spark orders NaN above every number, so NaN has to be named.
-    return F.when((value > 0) & ~F.isnan(value), value)
+    return F.when(value > 0, value)
+
+
+def is_positive(c: Column | str) -> Column:
+    """Whether there is a positive number; never null."""
+    return F.coalesce(_parsed(c, FLOAT_TEXT, "double") > 0, F.lit(False))
 
 
 def whole_number(c: Column | str) -> Column:

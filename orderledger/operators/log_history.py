@@ -7,7 +7,7 @@ runs over a whole log in one task (see ``attribute_events``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seconds_between
@@ -25,66 +25,54 @@ _STARTED, _EXECUTING, _STAGE_STARTED, _STAGE_FINISHED, _FAILED, _COMPLETED = RUN
 
 LOG_RUN = ("log_file", "run_id", "run_started_at")
 
-# Lines of one log at one instant that share a window.
-_LINES_PER_CELL = 100_000
+# Lines of one log that share a window.
+_CHUNK_LINES = 100_000
 
 
-def attribute_events(events: DataFrame) -> DataFrame:
+def attribute_events(events: DataFrame, chunk_lines: int = _CHUNK_LINES) -> DataFrame:
     """Give each event of a run the run_id and start of the run it belongs to.
 
     Messages from outside a run are left out. Runs are told apart by id and
-    start, as one id can be used again.
+    start, as one id can be used again. Order is line order: log times are
+    local, so they tie and can step back, while lines are written in turn.
 
-    Three looks back, each within bounds set by the key and not by the data's
-    share: over the lines of one instant (and at most ``_LINES_PER_CELL``
-    line numbers), over the instants of one hour, over the hours of one log.
+    A log is cut into chunks of ``chunk_lines`` line numbers. One look back runs
+    inside each chunk and one over the chunks of a log, a row each, so no task
+    sorts a whole log. ``events`` is read three times, twice for a few narrow
+    columns: give it a stored table, not text still to be parsed.
     """
-    own_run = F.when(
-        F.col("message") == _STARTED,
-        F.struct(F.col("run_id").alias("run_id"), F.col("ts").alias("run_started_at")),
+    started = F.col("message") == _STARTED
+    marked = events.where(F.col("message").isin(*RUN_MESSAGES)).withColumn(
+        "_chunk", F.floor(F.col("line_no") / chunk_lines)
     )
-    marked = events.where(F.col("message").isin(*RUN_MESSAGES)).select(
-        "*",
-        own_run.alias("_run"),
-        F.date_trunc("hour", "ts").alias("_hour"),
-        F.floor(F.col("line_no") / _LINES_PER_CELL).alias("_chunk"),
-    )
-    cell = ["log_file", "_hour", "ts", "_chunk"]
-    cells = marked.groupBy(*cell).agg(
-        F.max(F.when(F.col("_run").isNotNull(), F.struct("line_no", "_run")))["_run"].alias("_last")
-    )
-    hours = cells.groupBy("log_file", "_hour").agg(
-        F.max(F.when(F.col("_last").isNotNull(), F.struct("ts", "_chunk", "_last")))["_last"].alias(
-            "_hour_last"
+    chunk = ["log_file", "_chunk"]
+    earlier = Window.partitionBy("log_file").orderBy("_chunk")
+    carried = (
+        marked.groupBy(*chunk)
+        .agg(F.max(F.when(started, F.col("line_no"))).alias("_start"))
+        .select(
+            *chunk,
+            F.last("_start", ignorenulls=True)
+            .over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+            .alias("_start_line"),
         )
     )
-
-    def before(column: str, window: WindowSpec) -> Column:
-        return F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-
-    earlier_hours = hours.select(
-        "log_file",
-        "_hour",
-        before("_hour_last", Window.partitionBy("log_file").orderBy("_hour")).alias("_before_hour"),
-    )
-    earlier = (
-        cells.withColumn(
-            "_before_cell",
-            before("_last", Window.partitionBy("log_file", "_hour").orderBy("ts", "_chunk")),
-        )
-        .join(earlier_hours, ["log_file", "_hour"])
-        .select(*cell, F.coalesce("_before_cell", "_before_hour").alias("_before"))
+    run = F.struct("run_id", F.col("ts").alias("run_started_at"))
+    starts = marked.where(started).select(
+        "log_file", F.col("line_no").alias("_start_line"), run.alias("_earlier")
     )
-    in_cell = Window.partitionBy(*cell).orderBy("line_no")
-    so_far = F.last("_run", ignorenulls=True).over(
-        in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = carried.join(starts, ["log_file", "_start_line"]).select(*chunk, "_earlier")
+    so_far = F.last(F.when(started, run), ignorenulls=True).over(
+        Window.partitionBy(*chunk)
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     kept = [c for c in events.columns if c != "run_id"]
     return (
-        marked.withColumn("_so_far", so_far)
-        .join(earlier, cell)
-        .withColumn("_of", F.coalesce("_so_far", "_before"))
-        .select(*kept, "_of.run_id", "_of.run_started_at")
+        marked.withColumn("_latest", so_far)
+        .join(before, chunk, "left")
+        .withColumn("_run", F.coalesce("_latest", "_earlier"))
+        .select(*kept, "_run.run_id", "_run.run_started_at")
     )
 
 

@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_blank, positive_number, strip, title_case
+from ..functions import is_blank, is_positive, strip, title_case
 from ..sources.orders import REQUIRED_COLUMNS
 
 
@@ -33,9 +33,7 @@ def required(column: str) -> Rule:
 
 
 def positive(column: str) -> Rule:
-    return Rule(
-        column, "positive", f"{column} must be positive", positive_number(column).isNull()
-    )
+    return Rule(column, "positive", f"{column} must be positive", ~is_positive(column))
 
 
 def order_rules() -> list[Rule]:
@@ -64,10 +62,10 @@ def row_issues(
             for order, rule in enumerate(rules)
         ]
     )
-    return (
-        df.select(*keep, F.explode(F.array_compact(found)).alias("_issue"))
-        .select(*keep, "_issue.*")
-    )
+    # Unpacking all slots and dropping the empty ones stays in generated code,
+    # which array_compact() would leave.
+    slots = df.select(*keep, F.explode(found).alias("_issue"))
+    return slots.where(F.col("_issue").isNotNull()).select(*keep, "_issue.*")
 
 
 def order_issues(orders: DataFrame) -> DataFrame:

@@ -25,34 +25,32 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered.withColumnRenamed(FILE_COLUMN, "log_file")
 
 
-def _local_time() -> Column:
-    """The line's time as written, or null when the line has no such form."""
-    text = F.replace(F.substring("value", 1, _TIME_LENGTH), F.lit(","), F.lit("."))
-    return F.when(F.col("value").rlike(LINE_FORM), text.try_cast("timestamp_ntz"))
-
-
 def parse_log_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     """Events of the well-formed lines: log_file, line_no, ts, message, attributes.
 
     Log times are local to the writer; ``zone`` says where that was, and ``ts``
-    is the same moment in UTC. ``unparsed_lines`` has the other lines.
+    is the same moment in UTC (null for a time no calendar has).
+    ``unparsed_lines`` has the other lines.
     """
     rest = F.col("_rest")
     cut = F.locate(_SEPARATOR, rest)
     # The attributes run from the first separator to the closing brace at the end.
     has_attributes = (cut > 0) & F.endswith(rest, F.lit("}"))
+    written = F.replace(F.substring("value", 1, _TIME_LENGTH), F.lit(","), F.lit("."))
+    local = written.try_cast("timestamp_ntz")
+    ts = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
     return (
-        lines.select(
+        lines.where(_well_formed())
+        .select(
             "log_file",
             "line_no",
-            _local_time().alias("_local"),
+            ts.alias("ts"),
             F.substr("value", F.lit(_TIME_LENGTH + 2)).alias("_rest"),
         )
-        .where(F.col("_local").isNotNull())
         .select(
             "log_file",
             "line_no",
-            F.convert_timezone(F.lit(zone), F.lit("UTC"), "_local").alias("ts"),
+            "ts",
             F.when(has_attributes, F.substr(rest, F.lit(1), cut - 1))
             .otherwise(rest)
             .alias("message"),
@@ -65,6 +63,10 @@ def parse_log_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
+def _well_formed() -> Column:
+    return F.coalesce(F.col("value").rlike(LINE_FORM), F.lit(False))
+
+
 def unparsed_lines(lines: DataFrame) -> DataFrame:
     """The lines parse_log_lines() leaves out."""
-    return lines.where(_local_time().isNull())
+    return lines.where(~_well_formed())

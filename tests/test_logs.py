@@ -69,5 +69,6 @@ def test_attribution_equals_a_plain_look_back(spark):
             expected[log, line] = (run, start)
     rng.shuffle(rows)
     events = spark.createDataFrame(rows, "log_file string, line_no bigint, ts timestamp_ntz, message string, run_id string")
-    got = {(r.log_file, r.line_no): (r.run_id, r.run_started_at) for r in attribute_events(events).collect()}
-    assert got == expected
+    for size in (1, 20_000, 10**7):
+        got = {(r.log_file, r.line_no): (r.run_id, r.run_started_at) for r in attribute_events(events, size).collect()}
+        assert got == expected
