@@ -11,7 +11,7 @@ from __future__ import annotations
 import posixpath
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, normalize_names, strip
@@ -120,11 +120,16 @@ def place_stages(stages: DataFrame) -> DataFrame:
         path = posixpath.join(folder, f"level={level}")
         own = F.concat(F.coalesce("trail", F.array().cast("array<int>")), F.array("position"))
         freed = F.col("unmet") == 0
-        waiting.withColumn("trail", F.when(freed, own).otherwise(F.col("trail"))).write.parquet(path)
+        counted = Observation()
+        (
+            waiting.withColumn("trail", F.when(freed, own).otherwise(F.col("trail")))
+            .observe(counted, F.count(F.when(freed, F.lit(1))).alias("freed"))
+            .write.parquet(path)
+        )
         state = spark.read.schema(schema).parquet(path)
-        placed = state.where(freed)
-        if placed.isEmpty():
+        if not counted.get["freed"]:
             break
+        placed = state.where(freed)
         met = (
             edges.join(placed.select(GRAPH, F.col("name").alias("dependency"), "trail"), [GRAPH, "dependency"])
             .groupBy(GRAPH, "name")

@@ -79,8 +79,10 @@ def write_validation_report(
         "*", F.lit(source_path).alias("source_path"), columns.alias("required_columns")
     )
     place = [c for c in ("source_file", "row_number") if c in frames.issues.columns]
+    # The profile has counted the issues, so the rows are read once more and no further.
+    found = scalars.first()["issue_count"]
     fields = {
-        "issues": ListField(frames.issues, "message", (*place, "rule_order")),
+        "issues": ListField(frames.issues, "message", (*place, "rule_order"), found),
         "unique_regions": ListField(unique_regions(profile), "region", ("region",)),
     }
     return write_json_document(scalars, path, fields, inline_limit)

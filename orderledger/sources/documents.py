@@ -11,7 +11,7 @@ import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 INLINE_LIMIT = 1_000
@@ -19,11 +19,15 @@ INLINE_LIMIT = 1_000
 
 @dataclass(frozen=True)
 class ListField:
-    """The ``value`` column of ``rows`` in the order of ``order``."""
+    """The ``value`` column of ``rows`` in the order of ``order``.
+
+    ``count`` is the number of rows where it is known already.
+    """
 
     rows: DataFrame
     value: str
     order: tuple[str, ...]
+    count: int | None = None
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,7 @@ class MapField:
     rows: DataFrame
     key: str
     value: str
+    count: int | None = None
 
 
 def _inline(field: ListField | MapField) -> Column:
@@ -53,20 +58,25 @@ def write_json_document(
     document = scalars
     columns = {name: F.col(name) for name in scalars.columns}
     for name, field in (fields or {}).items():
-        wanted = (field.key, field.value) if isinstance(field, MapField) else (
-            *dict.fromkeys((*field.order, field.value)),
-        )
-        rows = field.rows.select(*wanted)
-        # One row more than fits is enough to know.
-        if rows.limit(inline_limit + 1).count() <= inline_limit:
+        if isinstance(field, MapField):
+            rows = field.rows.select(field.key, field.value)
+        else:
+            rows = field.rows.select(*dict.fromkeys((*field.order, field.value)))
+        # Without a known count, one row more than fits is enough to know.
+        size = rows.limit(inline_limit + 1).count() if field.count is None else field.count
+        if size <= inline_limit:
             document = document.crossJoin(rows.agg(_inline(field).alias(name)))
             columns[name] = F.col(name)
         else:
             folder = posixpath.join(path, name)
-            ordered = rows.orderBy(*([field.key] if isinstance(field, MapField) else field.order))
-            ordered.write.json(folder, ignoreNullFields=False)
-            total = rows.count()
-            columns[name] = F.struct(F.lit(folder).alias("folder"), F.lit(total).alias("rows"))
+            written = Observation()
+            # Unsorted: every row carries its place.
+            rows.observe(written, F.count(F.lit(1)).alias("rows")).write.json(
+                folder, ignoreNullFields=False
+            )
+            columns[name] = F.struct(
+                F.lit(folder).alias("folder"), F.lit(written.get["rows"]).alias("rows")
+            )
     body = F.struct(*[columns[name].alias(name) for name in sorted(columns)])
     text = F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"})
     document.select(text.alias("value")).coalesce(1).write.text(posixpath.join(path, "document"))
