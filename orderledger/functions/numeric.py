@@ -23,6 +23,8 @@ FLOAT_TEXT = rf"{FINITE_TEXT}|^[+-]?(?i:inf|infinity)$"
 
 
 def _parsed(c: Column | str, form: str, data_type: str) -> Column:
+    # Only text of the right form reaches try_cast(): a failing one is slow, as
+    # it builds an error first.
     text = strip(c)
     digits = F.replace(text, F.lit("_"), F.lit(""))
     return F.when(text.rlike(form), digits.try_cast(data_type))

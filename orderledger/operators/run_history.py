@@ -203,7 +203,11 @@ def upstream_outputs(edges: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def stages_not_run(planned: DataFrame, results: DataFrame) -> DataFrame:
-    """Planned stages (pipeline, name) that a failed run never reached."""
+    """Planned stages (pipeline, name) that a failed run never reached.
+
+    A failed run meets each planned stage once: the rows are the run's own
+    results plus the rows returned.
+    """
     failed = run_statuses(results).where(F.col("status") == "failed").select(*RUN)
     return (
         failed.join(planned, "pipeline")

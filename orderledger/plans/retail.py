@@ -144,5 +144,10 @@ def run_retail(
     write_json_document(totals, paths["clean_summary_path"], lists)
     write_sales_summary(breakdown, paths["summary_path"])
     regions = dimension_rows(breakdown, "region")
-    write_csv(region_breakdown(regions), paths["region_breakdown_path"], REGION_COLUMNS, single_file=True)
+    write_csv(
+        region_breakdown(regions),
+        paths["region_breakdown_path"],
+        REGION_COLUMNS,
+        single_file=regions.count() <= INLINE_LIMIT,
+    )
     return paths

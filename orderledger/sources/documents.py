@@ -55,7 +55,6 @@ def write_json_document(
     inline_limit: int = INLINE_LIMIT,
 ) -> str:
     """Write the one-row frame and its fields as an indented document, keys in name order."""
-    document = scalars
     columns = {name: F.col(name) for name in scalars.columns}
     for name, field in (fields or {}).items():
         if isinstance(field, MapField):
@@ -65,8 +64,7 @@ def write_json_document(
         # Without a known count, one row more than fits is enough to know.
         size = rows.limit(inline_limit + 1).count() if field.count is None else field.count
         if size <= inline_limit:
-            document = document.crossJoin(rows.agg(_inline(field).alias(name)))
-            columns[name] = F.col(name)
+            columns[name] = rows.agg(_inline(field)).scalar()
         else:
             folder = posixpath.join(path, name)
             written = Observation()
@@ -79,5 +77,5 @@ def write_json_document(
             )
     body = F.struct(*[columns[name].alias(name) for name in sorted(columns)])
     text = F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"})
-    document.select(text.alias("value")).coalesce(1).write.text(posixpath.join(path, "document"))
+    scalars.select(text.alias("value")).coalesce(1).write.text(posixpath.join(path, "document"))
     return path

@@ -13,26 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pin_partitions
+from .shared import pin_partitions, stage_table
 
 FILE_COLUMN = "source_file"
 
-# A row per piece costs about 100 bytes once built into a hash table.
-_BROADCAST_PIECES = 100_000
+# A piece costs about 250 bytes in a hash table, so this many take 250 MB.
+_BROADCAST_PIECES = 1_000_000
 
 
 def _numbered(
-    marked: DataFrame,
-    group: Sequence[str],
-    piece: Sequence[str],
-    name: str,
-    start: int,
-    max_pieces: int | None,
+    marked: DataFrame, group: Sequence[str], piece: Sequence[str], name: str, start: int
 ) -> DataFrame:
     """Number ``marked`` (with ``_mark``) per group, pieces in ``piece`` order."""
     keys = [*group, *piece]
-    pieces = marked.groupBy(*keys).agg(
-        F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    # Stored, so that their number is known and they are counted only once.
+    pieces = stage_table(
+        marked.groupBy(*keys).agg(
+            F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_rows")
+        ),
+        "pieces",
     )
     before = (
         Window.partitionBy(*group).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
@@ -43,7 +42,7 @@ def _numbered(
             "_shift"
         ),
     )
-    if max_pieces is not None and max_pieces <= _BROADCAST_PIECES:
+    if pieces.count() <= _BROADCAST_PIECES:
         shifts = F.broadcast(shifts)
     same = [marked[key].eqNullSafe(shifts[f"_of_{key}"]) for key in keys]
     # A piece the first pass did not see means the input changed underneath.
@@ -57,8 +56,8 @@ def _numbered(
 def number_file_records(df: DataFrame, name: str = "row_number", start: int = 2) -> DataFrame:
     """Add the source file and the record's number in it; the header is line 1.
 
-    ``df`` is a file scan, with nothing but column choices on top. Lazy: the
-    files are read once for the piece sizes (no columns) and once for the rows.
+    ``df`` is a file scan, with nothing but column choices on top. The files are
+    read here once for the piece sizes (no columns), and for the rows when used.
     """
     marked = df.select(
         "*",
@@ -68,14 +67,7 @@ def number_file_records(df: DataFrame, name: str = "row_number", start: int = 2)
         F.spark_partition_id().alias("_partition"),
         F.monotonically_increasing_id().alias("_mark"),
     )
-    conf = df.sparkSession.conf
-    # One partition holds at most this many splits, as opening a file has a set cost.
-    partition_bytes = _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
-    open_cost = max(_bytes(conf.get("spark.sql.files.openCostInBytes")), 1)
-    max_pieces = df.rdd.getNumPartitions() * (partition_bytes // open_cost + 1)
-    return _numbered(
-        marked, [FILE_COLUMN], ["_block", "_length", "_partition"], name, start, max_pieces
-    )
+    return _numbered(marked, [FILE_COLUMN], ["_block", "_length", "_partition"], name, start)
 
 
 def position_in_group(
@@ -98,13 +90,5 @@ def position_in_group(
         F.spark_partition_id().alias("_partition"),
         F.monotonically_increasing_id().alias("_mark"),
     )
-    return _numbered(marked, group, ["_partition"], name, start, None)
-
+    return _numbered(marked, group, ["_partition"], name, start)
 
-def _bytes(text: str) -> int:
-    """A Spark byte setting such as ``134217728b`` or ``128MB`` as a number."""
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    text = text.strip().lower().rstrip("b")
-    if text and text[-1] in units:
-        return int(text[:-1]) * units[text[-1]]
-    return int(text)

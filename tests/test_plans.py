@@ -6,31 +6,29 @@ import pytest
 
 import __spark_entry__ as entry
 from harness import staging
+from harness.compare import compare
 from orderledger.operators import cleaning, reports, rules
 from orderledger.sources import number_file_records, stage_table
 
 SF = "/root/testdata/sf0.001"
 
-# Names that write and read back when called; their plans are not lazy.
-QUERIES = entry.queries()
-
-
-def plan(df):
-    df.collect()
-    return df._jdf.queryExecution().toString()
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_rows_and_no_global_window(spark, name):
-    text = plan(QUERIES[name](spark, SF))
+def test_query_agrees_with_its_sql_and_has_a_sound_plan(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert compare(spark, SF, name, lambda *_: df, ORACLES[name]) is None
+    text = df._jdf.queryExecution().toString()
     for node in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups"):
         assert node not in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     # A window without PARTITION BY runs in one task.
-    assert "Window" not in text or not re.search(r"Window \[.*\], \[\], ", text)
+    assert not re.search(r"Window \[.*\], \[\], ", text)
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def executed(df):
@@ -39,7 +37,6 @@ def executed(df):
 
 
 def test_scans_read_only_needed_columns(spark):
-    text = executed(QUERIES["q_revenue_by_region"](spark, SF))
     text = executed(QUERIES["q_orders_by_region"](spark, SF))
     [lineitem] = set(re.findall(r"ReadSchema: struct<(l_[^>]*)>", text))
     assert lineitem == "l_orderkey:bigint"
@@ -55,7 +52,7 @@ def test_grouping_uses_partial_hash_aggregates(spark):
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
     assert "partial_sum" in text
     # The rows are summed per cell before the grouping sets expand them.
-    assert text.index("Expand") < text.index("partial_sum(order_value") if "Expand" in text else False
+    assert text.index("Expand") < text.index("partial_sum(order_value")
 
 
 def test_row_checks_are_one_narrow_generated_pass(spark):
