@@ -297,7 +297,7 @@ def q_region_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     breakdown = reports.sales_breakdown(staging.sales(spark, sf_dir), "order_id")
-    path = write_sales_summary(breakdown, scratch_path(spark, "summary"))
+    path = write_sales_summary(stage_table(breakdown, "breakdown"), scratch_path(spark, "summary"))
     schema = (
         "total_orders bigint, total_revenue decimal(38,2), top_region string, top_product string, "
         "first_order_date string, last_order_date string, revenue_by_region map<string,decimal(38,2)>, "

@@ -40,6 +40,8 @@ def test_columns_are_found_by_name_and_absent_ones_are_null(spark, tmp_path):
     path.write_text("unit_price,order_id\n1.5,A\n", encoding="utf-8")
     [row] = read_raw_orders(spark, str(path)).collect()
     assert (row.order_id, row.unit_price, row.region) == ("A", "1.5", None)
+    [row] = number_file_records(read_raw_orders(spark, str(path))).collect()
+    assert (row.order_id, row.region, row.row_number) == ("A", None, 2)
     empty = tmp_path / "empty.csv"
     empty.write_text("", encoding="utf-8")
     scanned = read_raw_orders(spark, str(empty))
