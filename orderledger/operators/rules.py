@@ -88,19 +88,22 @@ def region_profile(orders: DataFrame) -> DataFrame:
     """
     dated = F.when(~is_blank("order_date"), strip("order_date"))
     named = F.when(~is_blank("region"), title_case("region"))
-    return (
+    # min() of text cannot be hashed and would sort every row; counts per region
+    # and date can, and leave few rows for it.
+    by_date = (
         orders.select(
             named.alias("region"),
             dated.alias("order_date"),
             issue_count(order_rules()).alias("issues"),
         )
-        .groupBy("region")
-        .agg(
-            F.count(F.lit(1)).alias("record_count"),
-            F.sum("issues").alias("issue_count"),
-            F.min("order_date").alias("first_order_date"),
-            F.max("order_date").alias("last_order_date"),
-        )
+        .groupBy("region", "order_date")
+        .agg(F.count(F.lit(1)).alias("records"), F.sum("issues").alias("issues"))
+    )
+    return by_date.groupBy("region").agg(
+        F.sum("records").alias("record_count"),
+        F.sum("issues").alias("issue_count"),
+        F.min("order_date").alias("first_order_date"),
+        F.max("order_date").alias("last_order_date"),
     )
 
 

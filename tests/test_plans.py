@@ -55,6 +55,15 @@ def test_grouping_uses_partial_hash_aggregates(spark):
     assert text.index("Expand") < text.index("partial_sum(order_value")
 
 
+def test_the_profile_hashes_the_rows_and_sorts_only_counts(spark):
+    raw = stage_table(staging.raw_orders(spark, SF), "test-raw")
+    text = executed(rules.region_profile(raw))
+    final = text[: text.index("Initial Plan")]
+    rows_side = final[final.rindex("Exchange hashpartitioning(region"):]
+    assert "HashAggregate" in rows_side
+    assert "partial_count(1)" in rows_side.split("Exchange hashpartitioning(region")[-1]
+
+
 def test_row_checks_are_one_narrow_generated_pass(spark):
     raw = stage_table(staging.raw_orders(spark, SF), "test-raw")
     for frame in (cleaning.clean_orders(raw), cleaning.rejected_orders(raw), rules.order_issues(raw)):
