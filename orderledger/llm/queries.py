@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prefix_bpe
+from . import anchors, prefix_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every whole text by prefix dynamic programming, and the text decoded from them."""
     return prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op8_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, found by anchors and local parsers."""
+    return anchors.personal_data(table(spark, sf_dir, "documents"))
