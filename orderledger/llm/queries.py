@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, prefix_bpe
+from . import anchors, prefix_bpe, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and hashed n-gram likelihood ratio of every whole document."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every whole text by prefix dynamic programming, and the text decoded from them."""
