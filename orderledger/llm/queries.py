@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, prefix_bpe, quality
+from . import anchors, language, prefix_bpe, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,12 @@ def op1_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by its nearest centroid."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every whole text by prefix dynamic programming, and the text decoded from them."""
