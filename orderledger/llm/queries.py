@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, language, prefix_bpe, quality, topk, toxicity
+from . import anchors, language, packing, prefix_bpe, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,12 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector with all others, exactly."""
