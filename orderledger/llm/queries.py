@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, language, packing, prefix_bpe, quality, topk, toxicity
+from . import anchors, backoff_lm, language, packing, prefix_bpe, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,9 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole text, found by anchors and local parsers."""
     return anchors.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under a smoothed bigram automaton."""
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
