@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _P1 = np.uint64(0x9E3779B97F4A7C15)
@@ -68,3 +70,16 @@ def windows(batch: WordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
         value = join_hash(value, hashes[k : n + k])
     inside = row[:n] == row[size - 1 : n + size - 1]
     return value[inside], np.flatnonzero(inside)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about `most` bytes of text each, one row at the least.
+
+    What is derived from a text is many times its size, so a worker holds a part at a time.
+    """
+    for batch in batches:
+        sizes = np.array([v.as_buffer().size if v.is_valid else 0 for v in batch.column(column)])
+        part = (np.cumsum(sizes) - sizes) // most if len(sizes) else sizes
+        bounds = np.flatnonzero(np.diff(part, prepend=-1))
+        for start, end in zip(bounds, [*bounds[1:], batch.num_rows]):
+            yield batch.slice(start, end - start)
