@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, backoff_lm, language, packing, prefix_bpe, quality, topk, toxicity
+from . import anchors, backoff_lm, language, near_duplicates, packing, prefix_bpe, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,12 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a Jaccard similarity of 0.8."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query
 def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
