@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, backoff_lm, language, near_duplicates, packing, prefix_bpe, quality, topk, toxicity
+from . import anchors, backoff_lm, language, near_duplicates, packing, prefix_bpe, quality, secret_scan, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,9 @@ def op8_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every whole text under a smoothed bigram automaton."""
     return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of a possible secret, with the forest's score and verdict."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
