@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import text_slices
+
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Labelled documents per language that its centroids are fitted on, about.
@@ -248,3 +250,19 @@ def identify(docs: DataFrame) -> DataFrame:
     """Train on the labelled rows of `docs` that are not held out and predict all of them."""
     held_out = F.coalesce(_held_out(F.col("doc_id")), F.lit(False))
     return predict(docs, train(training_rows(docs))).withColumn("held_out", held_out)
+
+
+def keep_accepted(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is known: neither far from all centroids
+    nor without a letter. With no labelled row nothing can be told, and all rows stay."""
+    model = train(training_rows(docs))
+    if not model.languages:
+        return docs
+    column = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column):
+            rejected = classify(batch.column(column).to_pylist(), model)[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import stage_table
@@ -201,13 +201,20 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, text_hash long, set_hash binary, signature binary")
 
 
+def _row(doc_id: str, text_hash: str) -> Column:
+    """A row's place in a class: known ids first, from the smallest up."""
+    return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("text_hash"))
+
+
 def _nodes(signed: DataFrame) -> DataFrame:
     """One node for each shingle set: its number, a document of it, its copies and signature."""
     copies = signed.where("set_hash is not null").groupBy("set_hash", "signature")
     counted = copies.agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")
+        F.min(_row("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")
+    )
+    return counted.select(
+        F.monotonically_increasing_id().alias("node"), "set_hash", "first.doc_id", "first.text_hash", "copies", "signature"
     )
-    return counted.select(F.monotonically_increasing_id().alias("node"), "set_hash", "first.*", "least_id", "copies", "signature")
 
 
 def _blocks(df: DataFrame, size: str, block: int, *key: str) -> DataFrame:
@@ -287,30 +294,56 @@ def _verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
     return dealt.select(cell, "*").groupBy("cell").applyInArrow(verify, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_id and n_links of every row.
-
-    Two texts are linked when their sets of 5-word shingles have a Jaccard similarity of at
-    least 0.8. A class is what links hold together; its id is the smallest doc_id in it.
-    n_links counts all other rows linked with a row, copies among them. A text without words
-    is linked with nothing and is its own class. Repeated rows are copies. Null ids come back
-    null; a class of null ids only has a null id. Only doc_id and text are read.
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, class_id, n_links of every row, and `kept`: whether it is its class's
+    first row, or one of the equal first rows."""
     signed = stage_table(_signed(docs), "signatures")
     nodes = stage_table(_nodes(signed), "nodes")
     clusters = components(_candidate_edges(nodes))
     checked = stage_table(_verified(docs, nodes, clusters), "links")
     classes = components(checked.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "set_hash", "least_id", "copies").join(links, "node", "left").join(classes, "node", "left")
-    joined = joined.withColumn("class", F.coalesce("component", "node"))
-    ids = joined.groupBy("class").agg(F.min("least_id").alias("class_id"))
+    joined = nodes.select("node", "set_hash", "doc_id", "text_hash", "copies").join(links, "node", "left")
+    joined = joined.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    heads = joined.groupBy("class").agg(F.min(_row("doc_id", "text_hash")).alias("head"))
     total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    placed = joined.join(ids, "class").select("set_hash", "class_id", total)
+    placed = joined.join(heads, "class").select("set_hash", "head", total)
     whole = signed.select("doc_id", "text_hash", "set_hash").join(placed, "set_hash", "left")
+    wordless = F.col("set_hash").isNull()
     return whole.select(
         "doc_id",
         "text_hash",
-        F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(wordless, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (wordless | (_row("doc_id", "text_hash") == F.col("head"))).alias("kept"),
+        wordless.alias("wordless"),
     )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links of every row.
+
+    Two texts are linked when their sets of 5-word shingles have a Jaccard similarity of at
+    least 0.8. A class is what links hold together; its id is the smallest doc_id in it.
+    n_links counts all other rows linked with a row, copies among them. A text without words
+    is linked with nothing and is its own class. Repeated rows are copies. Null ids come back
+    null; a class of null ids only has a null id. Only doc_id and text are read.
+    """
+    return _classified(docs).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, without those that have a near duplicate before them.
+
+    Of each class the row with the smallest doc_id stays, of equal rows one. Texts without
+    words stay as they are.
+    """
+    decided = stage_table(_classified(docs).where("kept"), "kept")
+    # Both keys are never null, so that one shuffle serves the join and the removal of repeats.
+    number, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.struct(F.col("doc_id").isNull(), F.col("text_hash"))
+    firsts = decided.where("not wordless").select(number.alias("__number"), F.xxhash64(mark).alias("__mark")).distinct()
+    hashed = docs.withColumn("__number", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    hashed = hashed.withColumn("__mark", F.xxhash64(F.struct(F.col("doc_id").isNull(), F.xxhash64("text"))))
+    chosen = hashed.join(firsts, ["__number", "__mark"], "left_semi").dropDuplicates(["__number", "__mark"])
+    has_word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return chosen.select(*docs.columns).unionByName(docs.where(~has_word))

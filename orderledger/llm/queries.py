@@ -37,7 +37,7 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8."""
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import stage_table
+from .words import text_slices
 
 #: Labelled documents, toxic and clean, that the classifier is fitted on, about.
 FIT_ROWS = {1: 5_000, 0: 15_000}
@@ -426,3 +427,20 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels that are not held out, score all documents."""
     scored = rate(docs, train(docs, labels))
     return scored.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is not predicted to be toxic."""
+    model = train(docs, labels)
+    column = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = WordScores(model)
+        for batch in text_slices(batches, column):
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            scores.learn(_distinct_words(texts))
+            logit = [model.slope * max(scores.best(t), -3.0) + model.shift for t in texts]
+            clean = [1 / (1 + math.exp(-min(x, 700.0))) < TOXIC_FROM if x > -700 else True for x in logit]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
