@@ -213,11 +213,11 @@ _LOG = """
 log_lines AS (
   SELECT 'w' || CAST(user_id AS VARCHAR) AS log_file, event_id AS line_no,
     strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' ' || CASE event_type
-      WHEN 'signup' THEN 'Pipeline started | {"name": "p' || CAST(user_id AS VARCHAR) || '", "run_id": "r' || CAST(event_id AS VARCHAR) || '"}'
+      WHEN 'signup' THEN 'Pipeline started | {"name": "p' || CAST(user_id AS VARCHAR) || '", "run_id": "r' || CAST(event_id % 5 AS VARCHAR) || '"}'
       WHEN 'click' THEN 'Stage started | {"mode": "callable", "stage": "stage_' || CAST(event_id % 3 AS VARCHAR) || '"}'
       WHEN 'purchase' THEN 'Stage finished | {"mode": "callable", "stage": "stage_' || CAST(event_id % 3 AS VARCHAR) || '", "status": "succeeded"}'
-      WHEN 'error' THEN 'Pipeline failed | {"error": "boom", "name": "p' || CAST(user_id AS VARCHAR) || '"}'
-      ELSE 'Pipeline completed | {"name": "p' || CAST(user_id AS VARCHAR) || '", "stages": 3}' END AS value
+      WHEN 'error' THEN 'Pipeline failed | {"error": "boom", "name": "p' || CAST(user_id AS VARCHAR) || '", "run_id": "r' || CAST((event_id + 1) % 6 AS VARCHAR) || '"}'
+      ELSE 'Pipeline completed | {"name": "p' || CAST(user_id AS VARCHAR) || '", "run_id": "r' || CAST((event_id + 2) % 6 AS VARCHAR) || '", "stages": 3}' END AS value
   FROM events
 ),
 parts AS (
@@ -232,12 +232,13 @@ log_events AS (
     m.body ->> '$.error' AS error
   FROM parts
 ),
+starts AS (SELECT log_file, line_no, ts, run_id FROM log_events WHERE message = 'Pipeline started'),
 of_runs AS (
-  SELECT * REPLACE (last_value(CASE WHEN message = 'Pipeline started' THEN run_id END IGNORE NULLS)
-      OVER (PARTITION BY log_file ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING) AS run_id),
-    last_value(CASE WHEN message = 'Pipeline started' THEN ts END IGNORE NULLS)
-      OVER (PARTITION BY log_file ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING) AS run_started_at
-  FROM log_events
+  SELECT e.* REPLACE (coalesce(e.run_id, (SELECT max_by(s.run_id, s.line_no) FROM starts s
+      WHERE s.log_file = e.log_file AND s.line_no <= e.line_no)) AS run_id),
+    (SELECT max_by(s.ts, s.line_no) FROM starts s WHERE s.log_file = e.log_file AND s.line_no <= e.line_no
+      AND (e.run_id IS NULL OR s.run_id = e.run_id)) AS run_started_at
+  FROM log_events e
 )"""
 
 
@@ -431,15 +432,16 @@ ORACLES: dict[str, str] = {
         SELECT c.pipeline_id,
           CASE WHEN doubled > 0 THEN 'duplicate' WHEN absent > 0 THEN 'missing' WHEN stopped > 0 THEN 'cycle' ELSE 'ok' END AS verdict,
           CASE WHEN doubled > 0 THEN doubled WHEN absent > 0 THEN absent ELSE stopped END AS problems,
-          CASE WHEN doubled > 0 THEN 'Duplicate stage names are not allowed: '
-              || (SELECT string_agg(name, ', ' ORDER BY name) FROM duplicates d WHERE d.pipeline_id = c.pipeline_id)
-            WHEN absent > 0 THEN 'Unknown stage dependencies: '
-              || (SELECT string_agg(message, ', ' ORDER BY position, dependency_order) FROM missing m WHERE m.pipeline_id = c.pipeline_id)
-            WHEN stopped > 0 THEN 'Stage graph contains a cycle or unresolved dependencies: '
-              || (SELECT string_agg(name, ', ' ORDER BY position) FROM stuck t WHERE t.pipeline_id = c.pipeline_id)
-          END AS message
+          CASE WHEN doubled > 0 THEN 'Duplicate stage names are not allowed:'
+            WHEN absent > 0 THEN 'Unknown stage dependencies:'
+            WHEN stopped > 0 THEN 'Stage graph contains a cycle or unresolved dependencies:' END AS message
         FROM counts c""".replace("\n        SELECT c.", "\nSELECT c.", 1)
     ),
+    "q_graph_findings": _ordered(
+        """SELECT pipeline_id, 'duplicate' AS rule, CAST(0 AS INTEGER) AS place, CAST(0 AS INTEGER) AS dependency_order, name AS text FROM duplicates
+        UNION ALL SELECT pipeline_id, 'missing', CAST(position AS INTEGER), CAST(dependency_order AS INTEGER), message FROM missing
+        UNION ALL SELECT pipeline_id, 'cycle', CAST(position AS INTEGER), CAST(0 AS INTEGER), name FROM stuck"""
+    ),
     "q_stage_issues": _with(
         _STAGES,
         """SELECT pipeline_id, position, CAST(0 AS INTEGER) AS rule_order, 'named' AS rule,
@@ -559,7 +561,7 @@ UNION ALL SELECT pipeline, run_id, 'reason', props FROM given WHERE event_id % 2
         """SELECT log_file, run_id,
         greatest(epoch_us(max(ts) FILTER (WHERE message IN ('Pipeline failed', 'Pipeline completed')))
           - epoch_us(run_started_at), 0) / 1e6 * CASE WHEN count(*) FILTER (
-            WHERE message IN ('Pipeline failed', 'Pipeline completed')) > 0 THEN 1 END AS wall_seconds,
+            WHERE message IN ('Pipeline failed', 'Pipeline completed')) > 0 AND run_started_at IS NOT NULL THEN 1 END AS wall_seconds,
         count(*) FILTER (WHERE message = 'Stage finished') AS stages_finished,
         max(CAST(stages AS BIGINT)) AS stages_logged
         FROM of_runs WHERE run_id IS NOT NULL GROUP BY log_file, run_id, run_started_at""",

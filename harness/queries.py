@@ -167,7 +167,8 @@ def q_sink_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = retail_frames(staging.raw_orders(spark, sf_dir))
     path = write_validation_report(frames, sf_dir, scratch_path(spark, "report"))
     document = spark.read.json(path + "/document", multiLine=True)
-    listed = spark.read.json(path + "/issues").agg(F.count(F.lit(1))).scalar()
+    listed = spark.read.schema("message string").json(path + "/issues").agg(F.count(F.lit(1))).scalar()
+    regions = spark.read.schema("region string").json(path + "/unique_regions")
     return document.select(
         "record_count",
         "issue_count",
@@ -175,7 +176,7 @@ def q_sink_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "passed",
         "first_order_date",
         "last_order_date",
-        F.array_join("unique_regions", "|").alias("unique_regions"),
+        regions.agg(F.array_join(F.array_sort(F.collect_list("region")), "|")).scalar().alias("unique_regions"),
     )
 
 
@@ -210,42 +211,40 @@ def q_validate_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = reports.sales_by(staging.sales(spark, sf_dir, ["region", "order_date"]), "region")
+    grouped = reports.sales_by(staging.sales(spark, sf_dir), "region")
     return _doubles(grouped.select("region", "revenue"), "revenue")
 
 
 @query
 def q_orders_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = reports.sales_by(staging.sales(spark, sf_dir, ["region", "order_date"]), "region")
+    grouped = reports.sales_by(staging.sales(spark, sf_dir), "region")
     return grouped.select("region", "orders")
 
 
 @query
 def q_units_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = staging.sales(spark, sf_dir, ["product"]).withColumn(
-        "order_date", F.lit(None).cast("date")
-    )
-    return reports.sales_by(clean, "product").select("product", "units")
+    clean = staging.sales(spark, sf_dir)
+    units = F.col("units").cast("bigint").alias("units")
+    return reports.sales_by(clean, "product").select("product", units)
 
 
 @query
 def q_revenue_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = staging.sales(spark, sf_dir, ["product"]).withColumn(
-        "order_date", F.lit(None).cast("date")
-    )
+    clean = staging.sales(spark, sf_dir)
     return _doubles(reports.sales_by(clean, "product").select("product", "revenue"), "revenue")
 
 
 @query
 def q_sales_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     breakdown = reports.sales_breakdown(staging.sales(spark, sf_dir), "order_id")
-    columns = ["dimension", "key", "orders", "units", "revenue"]
+    columns = ["dimension", "key", "orders", F.col("units").cast("bigint").alias("units"), "revenue"]
     return _doubles(breakdown.select(*columns), "revenue")
 
 
 @query
 def q_sales_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = reports.sales_totals(staging.sales(spark, sf_dir, ["order_date"]))
+    totals = reports.sales_totals(staging.sales(spark, sf_dir))
+    totals = totals.withColumn("total_units", F.col("total_units").cast("bigint"))
     return _doubles(totals, "total_revenue")
 
 
@@ -271,23 +270,23 @@ def q_sales_summary_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_top_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = staging.sales(spark, sf_dir, ["region", "order_date"])
+    clean = staging.sales(spark, sf_dir)
     grouped = reports.sales_by(clean, "region", "order_id")
     return _doubles(reports.top_key(grouped, "region"), "revenue")
 
 
 @query
 def q_top_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = staging.sales(spark, sf_dir, ["product", "order_date"])
+    clean = staging.sales(spark, sf_dir)
     grouped = reports.sales_by(clean, "product", "order_id")
     return _doubles(reports.top_key(grouped, "product"), "revenue")
 
 
 @query
 def q_region_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = reports.sales_by(staging.sales(spark, sf_dir, ["region", "order_date"]), "region")
+    grouped = reports.sales_by(staging.sales(spark, sf_dir), "region")
     path = scratch_path(spark, "region-csv")
-    write_csv(reports.region_breakdown(grouped), path, REGION_COLUMNS, single_file=True)
+    write_csv(reports.region_breakdown(grouped), path, REGION_COLUMNS)
     back = spark.read.csv(path, header=True)
     return back.select(
         "region", F.col("orders").cast("bigint").alias("orders"), F.col("revenue").cast("double").alias("revenue")
@@ -300,12 +299,13 @@ def q_sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_sales_summary(stage_table(breakdown, "breakdown"), scratch_path(spark, "summary"))
     schema = (
         "total_orders bigint, total_revenue decimal(38,2), top_region string, top_product string, "
-        "first_order_date string, last_order_date string, revenue_by_region map<string,decimal(38,2)>, "
-        "units_by_product map<string,bigint>"
+        "first_order_date string, last_order_date string"
     )
     document = spark.read.schema(schema).json(path + "/document", multiLine=True)
-    top_units = F.col("units_by_product")[F.col("top_product")]
-    top_revenue = F.col("revenue_by_region")[F.col("top_region")]
+    units = spark.read.schema("product string, units bigint").json(path + "/units_by_product")
+    revenues = spark.read.schema("region string, revenue decimal(38,2)").json(path + "/revenue_by_region")
+    document = document.join(units, F.col("top_product") == units["product"], "left")
+    document = document.join(revenues, F.col("top_region") == revenues["region"], "left")
     return document.select(
         "total_orders",
         F.col("total_revenue").cast("double").alias("total_revenue"),
@@ -313,9 +313,9 @@ def q_sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "top_product",
         "first_order_date",
         "last_order_date",
-        F.size("units_by_product").cast("bigint").alias("products"),
-        top_units.alias("top_product_units"),
-        top_revenue.cast("double").alias("top_region_revenue"),
+        units.agg(F.count(F.lit(1))).scalar().alias("products"),
+        F.col("units").alias("top_product_units"),
+        F.col("revenue").cast("double").alias("top_region_revenue"),
     )
 
 
@@ -401,6 +401,11 @@ def q_graph_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_graph.graph_verdicts(_stages(spark, sf_dir))
 
 
+@query
+def q_graph_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_graph.graph_findings(_stages(spark, sf_dir))
+
+
 @query
 def q_stage_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, i = F.col("pipeline_id"), F.col("i")

@@ -6,8 +6,6 @@ do not choose rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,38 +76,25 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("region", "product", "order_date")
-) -> DataFrame:
-    """The clean sales table: order_id, quantity, unit_price, order_value and ``columns``.
-
-    Every lineitem has its order, customer and part, so a dimension that is not
-    asked for is not joined. Catalyst does not know the keys and would join it.
-    """
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean sales table: every lineitem with its order, customer, region and part."""
     quantity = F.col("l_quantity").cast("bigint")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        "l_partkey",
-        quantity.alias("quantity"),
-        price.alias("unit_price"),
-        (quantity * price).cast("decimal(18,2)").alias("order_value"),
-    )
-    if "region" in columns or "order_date" in columns:
-        orders = table(spark, sf_dir, "orders")
-        if "region" in columns:
-            orders = orders.join(
-                _customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")
-            ).withColumnRenamed("r_name", "region")
-        orders = orders.withColumn("order_date", F.col("o_orderdate").cast("date"))
-        kept = [c for c in ("region", "order_date") if c in columns]
-        rows = rows.join(
-            orders.select(F.col("o_orderkey").alias("order_id"), *kept), "order_id"
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(_customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("r_name").alias("region"),
+            F.col("p_name").alias("product"),
+            F.col("o_orderdate").cast("date").alias("order_date"),
+            quantity.alias("quantity"),
+            price.alias("unit_price"),
+            (quantity * price).cast("decimal(18,2)").alias("order_value"),
         )
-    if "product" in columns:
-        parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("product"))
-        rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select("order_id", *columns, "quantity", "unit_price", "order_value")
+    )
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +169,11 @@ def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log line per event; a user is a log file."""
+    """One log line per event; a user is a log file.
+
+    Five ids are used again and again; ends name another run than the last one started, or
+    one whose start the log does not hold.
+    """
     event, text = F.col("event_id"), F.lit
     user = F.col("user_id").cast("string")
     stage = F.concat(text("stage_"), (event % 3).cast("string"))
@@ -193,7 +182,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_type") == "signup",
             F.concat(
                 text('Pipeline started | {"name": "p'), user, text('", "run_id": "r'),
-                event.cast("string"), text('"}'),
+                (event % 5).cast("string"), text('"}'),
             ),
         )
         .when(
@@ -209,10 +198,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .when(
             F.col("event_type") == "error",
-            F.concat(text('Pipeline failed | {"error": "boom", "name": "p'), user, text('"}')),
+            F.concat(
+                text('Pipeline failed | {"error": "boom", "name": "p'), user, text('", "run_id": "r'),
+                ((event + 1) % 6).cast("string"), text('"}'),
+            ),
         )
         .otherwise(
-            F.concat(text('Pipeline completed | {"name": "p'), user, text('", "stages": 3}'))
+            F.concat(
+                text('Pipeline completed | {"name": "p'), user, text('", "run_id": "r'),
+                ((event + 2) % 6).cast("string"), text('", "stages": 3}'),
+            )
         )
     )
     return table(spark, sf_dir, "events").select(

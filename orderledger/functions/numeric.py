@@ -19,6 +19,7 @@ MONEY = "decimal(18,2)"
 _DIGITS = r"\d+(?:_\d+)*"
 INT_TEXT = rf"^[+-]?{_DIGITS}$"
 FINITE_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_HUGE_EXPONENT = r"[eE][+-]?0*[1-9]\d{3,}$"
 FLOAT_TEXT = rf"{FINITE_TEXT}|^[+-]?(?i:inf|infinity)$"
 
 
@@ -47,8 +48,16 @@ def whole_number(c: Column | str) -> Column:
 
 
 def decimal_amount(c: Column | str) -> Column:
-    """The amount as decimal(18,2), or null; NaN and infinity have no decimal."""
-    return _parsed(c, FINITE_TEXT, MONEY)
+    """The amount as decimal(18,2), or null; NaN and infinity have no decimal.
+
+    A cast writes an exponent out in digits, so one of four digits or more never reaches it:
+    such an amount is 0.00 if the exponent is negative, else null.
+    """
+    text = strip(c)
+    digits = F.replace(text, F.lit("_"), F.lit(""))
+    huge = digits.rlike(_HUGE_EXPONENT)
+    value = F.when(~huge, digits.try_cast(MONEY)).when(digits.rlike("[eE]-"), F.lit(0).cast(MONEY))
+    return F.when(text.rlike(FINITE_TEXT), value)
 
 
 def money_product(quantity: Column, unit_price: Column) -> Column:

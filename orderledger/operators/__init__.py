@@ -30,7 +30,6 @@ from .rules import (
 from .run_history import (
     last_results,
     latest_runs,
-    manifest_documents,
     result_for,
     run_ids,
     run_manifest,
@@ -47,6 +46,7 @@ from .run_history import (
 from .stage_graph import (
     dependency_edges,
     duplicate_stages,
+    graph_findings,
     graph_verdicts,
     lookup_dependencies,
     missing_dependencies,

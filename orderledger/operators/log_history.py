@@ -1,7 +1,7 @@
 """Runs and stages from event logs.
 
-Stage events name no run: a stage event belongs to the last run started before
-it in its log. One log may hold much of all events, so that look-back never
+Starts, failures and completions name their run. Stage events name none: a stage
+event belongs to the last run started before it in its log. One log may hold much of all events, so that look-back never
 runs over a whole log in one task (see ``attribute_events``).
 """
 
@@ -32,14 +32,18 @@ _CHUNK_LINES = 100_000
 def attribute_events(events: DataFrame, chunk_lines: int = _CHUNK_LINES) -> DataFrame:
     """Give each event of a run the run_id and start of the run it belongs to.
 
+    An event that names its run keeps that id, and takes the last start of the id
+    at or before it in the log, null if there is none (a log that begins in the
+    middle of a run). Other events take id and start of the last run started.
     Messages from outside a run are left out. Runs are told apart by id and
     start, as one id can be used again. Order is line order: log times are
     local, so they tie and can step back, while lines are written in turn.
 
     A log is cut into chunks of ``chunk_lines`` line numbers. One look back runs
     inside each chunk and one over the chunks of a log, a row each, so no task
-    sorts a whole log. ``events`` is read three times, twice for a few narrow
-    columns: give it a stored table, not text still to be parsed.
+    sorts a whole log. Events that name a run, two per run, look back among those
+    of their id. ``events`` is read four times, twice for a few narrow columns:
+    give it a stored table, not text still to be parsed.
     """
     started = F.col("message") == _STARTED
     marked = events.where(F.col("message").isin(*RUN_MESSAGES)).withColumn(
@@ -68,12 +72,20 @@ def attribute_events(events: DataFrame, chunk_lines: int = _CHUNK_LINES) -> Data
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     kept = [c for c in events.columns if c != "run_id"]
-    return (
+    named = F.col("run_id").isNotNull()
+    of_id = Window.partitionBy("log_file", "run_id").orderBy("line_no")
+    own_start = F.last(F.when(started, F.col("ts")), ignorenulls=True).over(
+        of_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    own = marked.where(named).select(*kept, "run_id", own_start.alias("run_started_at"))
+    others = (
         marked.withColumn("_latest", so_far)
+        .where(~named)
         .join(before, chunk, "left")
         .withColumn("_run", F.coalesce("_latest", "_earlier"))
         .select(*kept, "_run.run_id", "_run.run_started_at")
     )
+    return own.unionByName(others)
 
 
 def log_stage_durations(attributed: DataFrame) -> DataFrame:

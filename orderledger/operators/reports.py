@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REVENUE = "decimal(38,2)"
+#: Sums of 64-bit quantities do not fit 64 bits.
+UNITS = "decimal(38,0)"
 
 _FIRST_DAY = "0001-01-01"
 _ORDINAL_BITS = 41
@@ -38,7 +40,7 @@ def first_seen(order_date: str = "order_date", ordinal: str | None = None) -> Co
 def _measures(ordinal: str | None) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("orders"),
-        F.sum("quantity").alias("units"),
+        F.sum(F.col("quantity").cast("decimal(19,0)")).cast(UNITS).alias("units"),
         F.sum("order_value").cast(REVENUE).alias("revenue"),
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
@@ -58,7 +60,7 @@ def sales_totals(clean: DataFrame) -> DataFrame:
     """One row: total_orders, total_units, total_revenue, first and last order date."""
     return clean.agg(*_measures(None)).select(
         F.col("orders").alias("total_orders"),
-        F.coalesce("units", F.lit(0)).alias("total_units"),
+        F.coalesce("units", F.lit(0).cast(UNITS)).alias("total_units"),
         F.coalesce("revenue", F.lit(0).cast(REVENUE)).alias("total_revenue"),
         "first_order_date",
         "last_order_date",
@@ -77,7 +79,7 @@ def sales_breakdown(clean: DataFrame, ordinal: str | None = None) -> DataFrame:
         [[F.col("region")], [F.col("product")], []], F.col("region"), F.col("product")
     ).agg(
         F.sum("orders").alias("orders"),
-        F.sum("units").alias("units"),
+        F.sum("units").cast(UNITS).alias("units"),
         F.sum("revenue").cast(REVENUE).alias("revenue"),
         F.min("first_order_date").alias("first_order_date"),
         F.max("last_order_date").alias("last_order_date"),
@@ -94,7 +96,7 @@ def sales_breakdown(clean: DataFrame, ordinal: str | None = None) -> DataFrame:
         dimension.alias("dimension"),
         key.alias("key"),
         F.coalesce("orders", zero).alias("orders"),
-        F.coalesce("units", zero).alias("units"),
+        F.coalesce("units", zero.cast(UNITS)).alias("units"),
         F.coalesce("revenue", zero.cast(REVENUE)).alias("revenue"),
         "first_order_date",
         "last_order_date",
@@ -124,16 +126,35 @@ def orders_by_date(clean: DataFrame, ordinal: str = "order_id") -> DataFrame:
     return clean.orderBy("order_date", ordinal)
 
 
+def _with_average(totals: DataFrame) -> DataFrame:
+    # Whole cents, rounded half up by one integer division: a decimal quotient is rounded already.
+    average = F.expr(
+        """cast(sign(total_revenue) * ((2 * cast(abs(total_revenue) * 100 AS decimal(37,0)) + row_count)
+        div (2 * row_count)) AS decimal(20,0)) / cast(100 AS decimal(3,0))"""
+    ).cast("decimal(18,2)")
+    return totals.withColumn(
+        "average_order_value",
+        F.when(F.col("row_count") > 0, average).otherwise(F.lit(0).cast("decimal(18,2)")),
+    )
+
+
 def clean_summary(clean: DataFrame) -> DataFrame:
     """One row: row_count, total_revenue, average_order_value (0 when empty)."""
     totals = clean.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("order_value").cast(REVENUE), F.lit(0).cast(REVENUE)).alias("total_revenue"),
     )
-    average = F.round(F.col("total_revenue") / F.col("row_count"), 2).cast("decimal(18,2)")
-    return totals.withColumn(
-        "average_order_value",
-        F.when(F.col("row_count") > 0, average).otherwise(F.lit(0).cast("decimal(18,2)")),
+    return _with_average(totals)
+
+
+def clean_summary_of(breakdown: DataFrame) -> DataFrame:
+    """The same row from the breakdown's total."""
+    total = breakdown.where(F.col("dimension") == "total")
+    return _with_average(
+        total.agg(
+            F.coalesce(F.max("orders"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.max("revenue"), F.lit(0).cast(REVENUE)).alias("total_revenue"),
+        )
     )
 
 

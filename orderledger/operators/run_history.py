@@ -166,23 +166,6 @@ def run_manifest(results: DataFrame) -> DataFrame:
     )
 
 
-def manifest_documents(manifest: DataFrame, limit: int = 1_000) -> DataFrame:
-    """One row per run with ``stages_run`` and ``outputs`` gathered.
-
-    Both are null for a run of more than ``limit`` results, counted first; its
-    rows in the long form are the whole record.
-    """
-    sizes = manifest.groupBy(*RUN).agg(F.count(F.lit(1)).alias("results"))
-    short = manifest.join(sizes.where(F.col("results") <= limit), list(RUN), "left_semi")
-    stages = F.array_sort(F.collect_list(F.struct("place", "name")))
-    outputs = F.array_sort(F.collect_list(F.when(F.col("last"), F.struct("name", "outputs"))))
-    gathered = short.groupBy(*RUN).agg(
-        F.transform(stages, lambda entry: entry["name"]).alias("stages_run"),
-        F.map_from_entries(outputs).alias("outputs"),
-    )
-    return sizes.join(gathered, list(RUN), "left")
-
-
 def upstream_outputs(edges: DataFrame, results: DataFrame) -> DataFrame:
     """What each executed stage finds recorded for its dependencies; null if nothing.
 

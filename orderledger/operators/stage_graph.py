@@ -20,7 +20,6 @@ from ..sources.shared import scratch_path, stage_table
 from .rules import Rule, row_issues
 
 GRAPH = "pipeline_id"
-MESSAGE_LIMIT = 1_000
 
 # The verdicts' message texts.
 _MESSAGES = {
@@ -175,32 +174,40 @@ def topological_order(placed: DataFrame) -> DataFrame:
     return ordered.select(GRAPH, "name", "level", "place")
 
 
-def graph_verdicts(stages: DataFrame, message_limit: int = MESSAGE_LIMIT) -> DataFrame:
-    """One row per graph: the first broken rule (duplicate, missing, cycle) or ``ok``.
+def graph_findings(stages: DataFrame) -> DataFrame:
+    """Every broken rule: (pipeline_id, rule, place, dependency_order, text).
 
-    ``problems`` counts its findings and ``message`` words them. Beyond
-    ``message_limit`` findings the message is null: the findings' own tables
-    have them all.
+    ``rule`` is duplicate, missing or cycle; within a rule the texts are in the
+    order of (place, dependency_order, text). ``opening`` words the rule.
     """
+    zero = F.lit(0)
     findings = reduce(
         DataFrame.unionByName,
         [
             duplicate_stages(stages).select(
-                GRAPH, F.lit("duplicate").alias("rule"), F.lit(0).alias("at"), F.lit(0).alias("then"), "name"
+                GRAPH, F.lit("duplicate").alias("rule"), zero.alias("place"), zero.alias("dependency_order"),
+                F.col("name").alias("text"),
             ),
             missing_dependencies(stages).select(
-                GRAPH,
-                F.lit("missing").alias("rule"),
-                F.col("position").cast("int").alias("at"),
-                F.col("dependency_order").alias("then"),
-                F.col("message").alias("name"),
+                GRAPH, F.lit("missing").alias("rule"), F.col("position").cast("int").alias("place"),
+                F.col("dependency_order").cast("int").alias("dependency_order"), F.col("message").alias("text"),
             ),
             unresolved_stages(place_stages(orderable_stages(stages))).select(
-                GRAPH, F.lit("cycle").alias("rule"), F.col("position").alias("at"), F.lit(0).alias("then"), "name"
+                GRAPH, F.lit("cycle").alias("rule"), F.col("position").cast("int").alias("place"),
+                zero.alias("dependency_order"), F.col("name").alias("text"),
             ),
         ],
     )
-    findings = stage_table(findings, "stage-findings")
+    return stage_table(findings, "stage-findings")
+
+
+def graph_verdicts(stages: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """One row per graph: the first broken rule (duplicate, missing, cycle) or ``ok``.
+
+    ``problems`` counts the findings of that rule and ``message`` opens their
+    list; ``graph_findings`` has them all.
+    """
+    findings = graph_findings(stages) if findings is None else findings
 
     def problems(rule: str) -> Column:
         return F.count(F.when(F.col("rule") == rule, F.lit(1)))
@@ -208,24 +215,14 @@ def graph_verdicts(stages: DataFrame, message_limit: int = MESSAGE_LIMIT) -> Dat
     counts = findings.groupBy(GRAPH).agg(*[problems(rule).alias(rule) for rule in _MESSAGES])
     verdict = F.coalesce(*[F.when(F.col(rule) > 0, F.lit(rule)) for rule in _MESSAGES])
     number = F.coalesce(*[F.when(F.col(rule) > 0, F.col(rule)) for rule in _MESSAGES])
-    broken = counts.select(GRAPH, verdict.alias("rule"), number.alias("problems"))
-
-    few = broken.where(F.col("problems") <= message_limit)
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("at", "then", "name"))), lambda entry: entry["name"]
-    )
-    opening = F.coalesce(*[F.when(F.col("rule") == r, F.lit(text)) for r, text in _MESSAGES.items()])
-    messages = (
-        findings.join(few.select(GRAPH, "rule"), [GRAPH, "rule"], "left_semi")
-        .groupBy(GRAPH, "rule")
-        .agg(F.array_join(listed, ", ").alias("names"))
-        .select(GRAPH, F.concat(opening, "names").alias("message"))
+    opening = F.coalesce(*[F.when(F.col(rule) > 0, F.lit(text)) for rule, text in _MESSAGES.items()])
+    broken = counts.select(
+        GRAPH, verdict.alias("rule"), number.alias("problems"), F.rtrim(opening).alias("message")
     )
     return (
         stages.select(GRAPH)
         .distinct()
         .join(broken, GRAPH, "left")
-        .join(messages, GRAPH, "left")
         .select(
             GRAPH,
             F.coalesce("rule", F.lit("ok")).alias("verdict"),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import clean_orders, rejected_orders
 from ..operators.reports import (
     clean_summary,
+    clean_summary_of,
     dimension_rows,
-    distinct_values,
     region_breakdown,
     sales_breakdown,
     summary_row,
@@ -23,7 +23,7 @@ from ..operators.rules import (
     unique_regions,
     validation_report,
 )
-from ..sources.documents import INLINE_LIMIT, ListField, MapField, write_json_document
+from ..sources.documents import ListField, MapField, write_json_document
 from ..sources.numbering import number_file_records
 from ..sources.orders import (
     CLEAN_COLUMNS,
@@ -69,29 +69,23 @@ def retail_frames(
     )
 
 
-def write_validation_report(
-    frames: RetailFrames, source_path: str, path: str, inline_limit: int = INLINE_LIMIT
-) -> str:
-    """The validation report as a JSON document, with the whole issue list."""
+def write_validation_report(frames: RetailFrames, source_path: str, path: str) -> str:
+    """The validation report as a JSON document, with the whole issue list beside it."""
     profile = stage_table(frames.profile, "profile")
     columns = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
     scalars = validation_report(profile).select(
         "*", F.lit(source_path).alias("source_path"), columns.alias("required_columns")
     )
     place = [c for c in ("source_file", "row_number") if c in frames.issues.columns]
-    # The profile has counted the issues, so the rows are read once more and no further.
-    found = scalars.first()["issue_count"]
     fields = {
-        "issues": ListField(frames.issues, "message", (*place, "rule_order"), found),
+        "issues": ListField(frames.issues, "message", (*place, "rule_order")),
         "unique_regions": ListField(unique_regions(profile), "region", ("region",)),
     }
-    return write_json_document(scalars, path, fields, inline_limit)
+    return write_json_document(scalars, path, fields)
 
 
-def write_sales_summary(
-    breakdown: DataFrame, path: str, inline_limit: int = INLINE_LIMIT
-) -> str:
-    """The sales summary as a JSON document with its four maps.
+def write_sales_summary(breakdown: DataFrame, path: str) -> str:
+    """The sales summary as a JSON document with its four maps beside it.
 
     Reads ``breakdown`` once per map: give it a stored table.
     """
@@ -103,7 +97,7 @@ def write_sales_summary(
         "units_by_product": MapField(products, "product", "units"),
         "revenue_by_product": MapField(products, "product", "revenue"),
     }
-    return write_json_document(summary_row(breakdown), path, fields, inline_limit)
+    return write_json_document(summary_row(breakdown), path, fields)
 
 
 def run_retail(
@@ -111,7 +105,7 @@ def run_retail(
     raw_path: str,
     out_dir: str,
     strict: bool = False,
-    multi_line: bool | None = None,
+    multi_line: bool = False,
 ) -> dict[str, str]:
     """Read raw CSV, write every output below ``out_dir`` and return the paths.
 
@@ -123,7 +117,8 @@ def run_retail(
     )
     frames = retail_frames(raw, strict=strict)
     breakdown = stage_table(frames.breakdown, "breakdown")
-    values = stage_table(distinct_values(frames.clean), "values")
+    # The breakdown's total row and keys are the clean summary: no second look at the rows.
+    values = breakdown.where(F.col("dimension") != "total").select("dimension", "key")
     paths = {
         "raw_path": raw_path,
         "report_path": posixpath.join(out_dir, "interim", "0_validation_report"),
@@ -136,21 +131,16 @@ def run_retail(
     write_validation_report(frames, raw_path, paths["report_path"])
     write_csv(frames.clean, paths["clean_path"], CLEAN_COLUMNS)
     write_csv(frames.rejects, paths["rejects_path"], frames.rejects.columns)
-    totals = frames.summary.select(
+    totals = clean_summary_of(breakdown).select(
         "*", F.lit(raw_path).alias("source_path"), F.lit(paths["clean_path"]).alias("clean_path")
     )
     named = {"regions": "region", "products": "product"}
     lists = {
-        field: ListField(values.where(F.col("column_name") == column), "value", ("value",))
+        field: ListField(values.where(F.col("dimension") == column), "key", ("key",))
         for field, column in named.items()
     }
     write_json_document(totals, paths["clean_summary_path"], lists)
     write_sales_summary(breakdown, paths["summary_path"])
-    regions = dimension_rows(breakdown, "region")
-    write_csv(
-        region_breakdown(regions),
-        paths["region_breakdown_path"],
-        REGION_COLUMNS,
-        single_file=regions.count() <= INLINE_LIMIT,
-    )
+    regions = region_breakdown(dimension_rows(breakdown, "region"))
+    write_csv(regions, paths["region_breakdown_path"], REGION_COLUMNS)
     return paths

@@ -1,6 +1,6 @@
 """Scans, sinks, record numbers and the shared folder."""
 
-from .documents import INLINE_LIMIT, write_json_document
+from .documents import write_json_document
 from .event_log import parse_log_lines, read_log_lines, unparsed_lines
 from .handoff import recorded_path
 from .numbering import FILE_COLUMN, number_file_records, position_in_group
@@ -19,7 +19,6 @@ from .shared import pin_partitions, scratch_path, shared_dir, stage_table
 __all__ = [
     "CLEAN_COLUMNS",
     "FILE_COLUMN",
-    "INLINE_LIMIT",
     "REGION_COLUMNS",
     "REQUIRED_COLUMNS",
     "has_multiline_records",

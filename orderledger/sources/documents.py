@@ -1,8 +1,7 @@
-"""JSON report documents: one row of scalars plus lists and maps of any length.
+"""JSON report documents: one row of scalars, and a folder of JSON lines for each list or map.
 
-A list or map goes inside the document when its counted length is at most
-``INLINE_LIMIT``. A longer one is written whole as a folder of JSON lines next
-to the document, which then names the folder and the count in its place.
+The document names the folder and the number of rows of each, whatever their
+number: a reader meets one shape.
 """
 
 from __future__ import annotations
@@ -11,71 +10,50 @@ import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-INLINE_LIMIT = 1_000
-
 
 @dataclass(frozen=True)
 class ListField:
-    """The ``value`` column of ``rows`` in the order of ``order``.
-
-    ``count`` is the number of rows where it is known already.
-    """
+    """The ``value`` column of ``rows``; every row keeps its ``order`` columns as its place."""
 
     rows: DataFrame
     value: str
     order: tuple[str, ...]
-    count: int | None = None
 
 
 @dataclass(frozen=True)
 class MapField:
-    """``key`` to ``value`` of ``rows``, in key order."""
+    """``key`` to ``value`` of ``rows``."""
 
     rows: DataFrame
     key: str
     value: str
-    count: int | None = None
-
-
-def _inline(field: ListField | MapField) -> Column:
-    if isinstance(field, MapField):
-        pairs = F.array_sort(F.collect_list(F.struct(field.key, field.value)))
-        return F.map_from_entries(pairs)
-    keyed = F.struct(F.struct(*field.order).alias("place"), F.col(field.value).alias("item"))
-    return F.transform(F.array_sort(F.collect_list(keyed)), lambda entry: entry["item"])
 
 
 def write_json_document(
-    scalars: DataFrame,
-    path: str,
-    fields: Mapping[str, ListField | MapField] | None = None,
-    inline_limit: int = INLINE_LIMIT,
+    scalars: DataFrame, path: str, fields: Mapping[str, ListField | MapField] | None = None
 ) -> str:
-    """Write the one-row frame and its fields as an indented document, keys in name order."""
+    """Write the one-row frame as an indented document, keys in name order, fields beside it.
+
+    What an earlier run left at the path is replaced.
+    """
     columns = {name: F.col(name) for name in scalars.columns}
     for name, field in (fields or {}).items():
         if isinstance(field, MapField):
             rows = field.rows.select(field.key, field.value)
         else:
             rows = field.rows.select(*dict.fromkeys((*field.order, field.value)))
-        # Without a known count, one row more than fits is enough to know.
-        size = rows.limit(inline_limit + 1).count() if field.count is None else field.count
-        if size <= inline_limit:
-            columns[name] = rows.agg(_inline(field)).scalar()
-        else:
-            folder = posixpath.join(path, name)
-            written = Observation()
-            # Unsorted: every row carries its place.
-            rows.observe(written, F.count(F.lit(1)).alias("rows")).write.json(
-                folder, ignoreNullFields=False
-            )
-            columns[name] = F.struct(
-                F.lit(folder).alias("folder"), F.lit(written.get["rows"]).alias("rows")
-            )
+        folder = posixpath.join(path, name)
+        written = Observation()
+        counted = rows.observe(written, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").json(folder, ignoreNullFields=False)
+        columns[name] = F.struct(
+            F.lit(folder).alias("folder"), F.lit(written.get["rows"]).alias("rows")
+        )
     body = F.struct(*[columns[name].alias(name) for name in sorted(columns)])
     text = F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"})
-    scalars.select(text.alias("value")).coalesce(1).write.text(posixpath.join(path, "document"))
+    document = scalars.select(text.alias("value")).coalesce(1)
+    document.write.mode("overwrite").text(posixpath.join(path, "document"))
     return path

@@ -71,40 +71,36 @@ def with_required_columns(df: DataFrame) -> DataFrame:
 
 
 def read_raw_orders(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
 ) -> DataFrame:
     """Scan raw order files, every column text, absent required columns null.
 
-    ``multi_line=None`` looks at the quotes first (one pass over the text):
-    files with quoted line breaks can only be read whole, one task per file.
+    Files with line breaks inside quotes need ``multi_line=True`` and are then
+    read whole, one task per file. ``has_multiline_records`` tells, by one pass
+    over the text.
     """
-    if multi_line is None:
-        multi_line = has_multiline_records(spark, path)
     return with_required_columns(_csv(spark, path, multi_line))
 
 
 def read_clean_orders(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
 ) -> DataFrame:
     """Scan a clean-orders file back into its types; a value that does not fit is an error."""
-    if multi_line is None:
-        multi_line = has_multiline_records(spark, path)
     raw = _csv(spark, path, multi_line)
     typed = {c: F.col(c).cast(kind) for c, kind in _CLEAN_TYPES.items()}
     blank = F.lit("")
     return raw.select(*[typed.get(c, F.coalesce(c, blank)).alias(c) for c in CLEAN_COLUMNS])
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], single_file: bool = False) -> str:
-    """Write ``columns`` in order with a header; a folder of part files.
+def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> str:
+    """Write ``columns`` in order with a header, a folder of part files in the frame's order.
 
-    ``single_file`` is for small results such as one row per region.
+    What an earlier run left at the path is replaced.
     """
-    out = df.select(*columns)
-    if single_file:
-        out = out.coalesce(1)
     (
-        out.write.option("header", True)
+        df.select(*columns)
+        .write.mode("overwrite")
+        .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)

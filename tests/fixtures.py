@@ -2,6 +2,7 @@
 
 ORDER_FIELDS = ["order_id", "customer_name", "region", "product", "quantity", "unit_price", "order_date"]
 
+# The sample rows whose results are known.
 SAMPLE_ORDERS = [
     ("1001", "Alice Johnson", "North", "Notebook", "2", "3.50", "2026-06-01"),
     ("1002", "Ben Carter", "South", "Pen", "5", "1.20", "2026-06-01"),

@@ -8,6 +8,7 @@ from fixtures import DIRTY_ORDERS, ORDER_FIELDS, SAMPLE_ORDERS, csv_text, orders
 from orderledger.operators.cleaning import clean_orders, rejected_orders
 from orderledger.operators.reports import (
     clean_summary,
+    clean_summary_of,
     dimension_rows,
     sales_breakdown,
     sales_by,
@@ -26,6 +27,11 @@ def document(path):
         return json.load(handle)
 
 
+def listed(spark, folder, column):
+    return sorted(r[column] for r in spark.read.json(folder).collect())
+
+
+# The known results of the sample rows.
 def test_sample_outputs_match_the_golden_files(spark, tmp_path):
     raw = tmp_path / "orders.csv"
     raw.write_text(csv_text(SAMPLE_ORDERS), encoding="utf-8")
@@ -35,14 +41,15 @@ def test_sample_outputs_match_the_golden_files(spark, tmp_path):
     assert report == {
         "first_order_date": "2026-06-01",
         "issue_count": 0,
-        "issues": [],
+        "issues": {"folder": f"{paths['report_path']}/issues", "rows": 0},
         "last_order_date": "2026-06-04",
         "passed": True,
         "record_count": 6,
         "required_columns": ORDER_FIELDS,
         "source_path": str(raw),
-        "unique_regions": ["East", "North", "South", "West"],
+        "unique_regions": {"folder": f"{paths['report_path']}/unique_regions", "rows": 4},
     }
+    assert listed(spark, f"{paths['report_path']}/unique_regions", "region") == ["East", "North", "South", "West"]
     assert list(report) == sorted(report)
 
     clean = {r.order_id: r for r in read_clean_orders(spark, paths["clean_path"]).collect()}
@@ -51,23 +58,31 @@ def test_sample_outputs_match_the_golden_files(spark, tmp_path):
     }
     assert (clean["1006"].region, clean["1006"].product) == ("North", "Notebook")
 
-    assert document(paths["summary_path"]) == {
-        "first_order_date": "2026-06-01",
-        "last_order_date": "2026-06-04",
+    summary = document(paths["summary_path"])
+    maps = {
         "orders_by_region": {"East": 1, "North": 3, "South": 1, "West": 1},
         "revenue_by_product": {"Folder": 8.25, "Notebook": 17.5, "Pen": 10.8},
         "revenue_by_region": {"East": 4.8, "North": 17.5, "South": 6.0, "West": 8.25},
+        "units_by_product": {"Folder": 3, "Notebook": 5, "Pen": 9},
+    }
+    for name, expected in maps.items():
+        field = summary.pop(name)
+        measure, key = name.split("_by_")
+        rows = spark.read.json(field["folder"]).collect()
+        assert {r[key]: r[measure] for r in rows} == expected and field["rows"] == len(expected)
+    assert summary == {
+        "first_order_date": "2026-06-01",
+        "last_order_date": "2026-06-04",
         "top_product": "Notebook",
         "top_region": "North",
         "total_orders": 6,
         "total_revenue": 36.55,
-        "units_by_product": {"Folder": 3, "Notebook": 5, "Pen": 9},
     }
     assert document(paths["clean_summary_path"]) == {
         "average_order_value": 6.09,
         "clean_path": paths["clean_path"],
-        "products": ["Folder", "Notebook", "Pen"],
-        "regions": ["East", "North", "South", "West"],
+        "products": {"folder": f"{paths['clean_summary_path']}/products", "rows": 3},
+        "regions": {"folder": f"{paths['clean_summary_path']}/regions", "rows": 4},
         "row_count": 6,
         "source_path": str(raw),
         "total_revenue": 36.55,
@@ -159,10 +174,11 @@ def test_average_uses_the_rounded_total(spark):
 def test_a_long_issue_list_is_written_whole_beside_the_document(spark, tmp_path):
     rows = [("", "Ann", "North", "Pen", "1", "1.00", "2026-06-01")] * 25
     frames = retail_frames(orders_frame(spark, rows))
-    path = write_validation_report(frames, "raw", str(tmp_path / "report"), inline_limit=10)
+    path = write_validation_report(frames, "raw", str(tmp_path / "report"))
     report = document(path)
     assert report["issues"] == {"folder": path + "/issues", "rows": 25}
-    assert report["issue_count"] == 25 and report["unique_regions"] == ["North"]
+    assert report["issue_count"] == 25
+    assert report["unique_regions"] == {"folder": path + "/unique_regions", "rows": 1}
     listed = spark.read.json(path + "/issues")
     assert listed.count() == 25
     assert {r.message for r in listed.collect()} == {
@@ -170,6 +186,41 @@ def test_a_long_issue_list_is_written_whole_beside_the_document(spark, tmp_path)
     }
 
 
+def test_documents_have_one_shape_and_can_be_written_again(spark, tmp_path):
+    shapes = set()
+    for n in (5000, 1, 0):
+        rows = [("", "Ann", f"N{i}", "Pen", "1", "1.00", "2026-06-01") for i in range(n)]
+        path = write_validation_report(retail_frames(orders_frame(spark, rows)), "raw", str(tmp_path / "report"))
+        report = document(path)
+        shapes.add(tuple((k, type(v).__name__) for k, v in sorted(report.items()) if not k.endswith("_date")))
+        assert report["issues"]["rows"] == report["unique_regions"]["rows"] == n
+        assert spark.read.schema("message string").json(path + "/issues").count() == n
+    assert len(shapes) == 1
+
+
+def test_numbers_that_could_stop_a_job(spark):
+    rows = [
+        ("1", "A", "N", "P", "9000000000000000000", "0.001", "2026-06-01"),
+        ("2", "A", "N", "P", "9000000000000000000", "0.001", "2026-06-01"),
+        ("3", "A", "N", "P", "1", "1e-99999999", "2026-06-01"),
+        ("4", "A", "N", "P", "1", "1e99999999", "2026-06-01"),
+        ("5", "A", "N", "P", "1", "1e-0003", "2026-06-01"),
+        ("6", "A", "N", "P", "1", "12e0001", "2026-06-01"),
+    ]
+    clean = clean_orders(orders_frame(spark, rows))
+    prices = {r.order_id: r.unit_price for r in clean.collect()}
+    assert prices == {str(k): Decimal(v) for k, v in ((1, "0.00"), (2, "0.00"), (3, "0.00"), (5, "0.00"), (6, "120.00"))}
+    total = sales_breakdown(clean).where("dimension = 'total'").collect()[0]
+    assert total.units == 18000000000000000003
+
+
+def test_average_is_rounded_once(spark):
+    frame = spark.range(1).selectExpr("100000001L AS orders", "CAST(12500000 AS DECIMAL(38,2)) AS revenue", "'total' AS dimension")
+    assert clean_summary_of(frame).collect()[0].average_order_value == Decimal("0.12")
+    half = frame.selectExpr("2L AS orders", "CAST(-0.05 AS DECIMAL(38,2)) AS revenue", "dimension")
+    assert clean_summary_of(half).collect()[0].average_order_value == Decimal("-0.03")
+
+
 def test_row_steps_accept_a_streaming_frame(spark, tmp_path):
     orders_frame(spark, SAMPLE_ORDERS).write.parquet(str(tmp_path / "in"))
     schema = orders_frame(spark, []).schema

@@ -27,7 +27,7 @@ def test_scan_agrees_with_the_csv_module(spark, tmp_path):
     path = tmp_path / "orders.csv"
     rows = [*SAMPLE_ORDERS, ("7", 'quo"te, "x"', "line\nbreak", "a,b", "", "1", "2026-06-01")]
     path.write_text(csv_text(rows) + "8,short\n\n9,a,b,c,1,2,2026-06-01,surplus\n", encoding="utf-8")
-    scanned = number_file_records(read_raw_orders(spark, str(path)))
+    scanned = number_file_records(read_raw_orders(spark, str(path), multi_line=True))
     got = [tuple(r) for r in scanned.orderBy("row_number").select("row_number", *ORDER_FIELDS).collect()]
     expected = [
         (n, *[row[f] or None for f in ORDER_FIELDS]) for n, row in enumerate(rows_of(path), start=2)
@@ -102,12 +102,12 @@ def test_written_csv_keeps_padding_and_order(spark, tmp_path):
     raw = tmp_path / "raw.csv"
     raw.write_text(csv_text([*SAMPLE_ORDERS, *DIRTY_ORDERS]), encoding="utf-8")
     frame = read_raw_orders(spark, str(raw))
-    out = write_csv(frame, str(tmp_path / "copy"), ORDER_FIELDS, single_file=True)
+    out = write_csv(frame, str(tmp_path / "copy"), ORDER_FIELDS)
     back = read_raw_orders(spark, out)
     assert sorted(map(tuple, back.select(ORDER_FIELDS).collect()), key=str) == sorted(
         map(tuple, frame.select(ORDER_FIELDS).collect()), key=str
     )
-    clean = write_csv(clean_orders(frame), str(tmp_path / "clean"), CLEAN_COLUMNS, single_file=True)
+    clean = write_csv(clean_orders(frame), str(tmp_path / "clean"), CLEAN_COLUMNS)
     [part] = (tmp_path / "clean").glob("part-*.csv")
     assert part.read_text().splitlines()[:2] == [
         "order_id,customer_name,region,product,order_date,quantity,unit_price,order_value",

@@ -5,6 +5,7 @@ import pytest
 from orderledger.operators.stage_graph import (
     dependency_edges,
     duplicate_stages,
+    graph_findings,
     graph_verdicts,
     lookup_dependencies,
     missing_dependencies,
@@ -87,13 +88,22 @@ def test_findings_and_verdicts(spark):
     verdicts = {r.pipeline_id: tuple(r)[1:] for r in graph_verdicts(stages).collect()}
     assert verdicts == {
         1: ("ok", 0, None),
-        2: ("duplicate", 2, "Duplicate stage names are not allowed: a, z"),
-        3: ("missing", 2, "Unknown stage dependencies: a -> ghost, b -> x"),
-        4: ("cycle", 4, "Stage graph contains a cycle or unresolved dependencies: b, c, d, e"),
-        5: ("cycle", 1, "Stage graph contains a cycle or unresolved dependencies: a"),
+        2: ("duplicate", 2, "Duplicate stage names are not allowed:"),
+        3: ("missing", 2, "Unknown stage dependencies:"),
+        4: ("cycle", 4, "Stage graph contains a cycle or unresolved dependencies:"),
+        5: ("cycle", 1, "Stage graph contains a cycle or unresolved dependencies:"),
     }
-    short = {r.pipeline_id: r.message for r in graph_verdicts(stages, message_limit=1).collect()}
-    assert short[3] is None and short[5] is not None
+    found = graph_findings(stages).orderBy("place", "dependency_order", "text").collect()
+    texts = {(g, rule): [r.text for r in found if (r.pipeline_id, r.rule) == (g, rule)] for g, (rule, *_) in verdicts.items()}
+    assert texts[2, "duplicate"] == ["a", "z"] and texts[3, "missing"] == ["a -> ghost", "b -> x"]
+    assert texts[4, "cycle"] == ["b", "c", "d", "e"] and texts[5, "cycle"] == ["a"]
+
+
+def test_every_finding_of_a_large_graph_is_listed(spark):
+    stages = normalized_stages(frame(spark, {1: [(f"s{i}", [f"ghost{i}"]) for i in range(1500)]}))
+    found = graph_findings(stages)
+    [verdict] = graph_verdicts(stages, found).collect()
+    assert (verdict.verdict, verdict.problems) == ("missing", 1500) and found.count() == 1500
 
 
 def test_two_stage_cycle(spark):
