@@ -108,24 +108,19 @@ def run_parameters(configs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
 
 
 def last_results(results: DataFrame) -> DataFrame:
-    """The last recorded result per run and stage name."""
-    rest = [c for c in results.columns if c not in (*RUN, "name", "seq")]
-    return (
-        results.groupBy(*RUN, "name")
-        .agg(F.max(F.struct("seq", *rest)).alias("_last"))
-        .select(*RUN, "name", "_last.*")
-    )
+    """The last recorded result per run and stage name.
+
+    Only the numbers are aggregated, by hashing; whole rows would have to be sorted.
+    """
+    last = results.groupBy(*RUN, "name").agg(F.max("seq").alias("seq"))
+    return results.join(last, [*RUN, "name", "seq"], "left_semi")
 
 
 def result_for(results: DataFrame, stage: str) -> DataFrame:
     """The first result of the named stage in each run; runs without one have no row."""
-    rest = [c for c in results.columns if c not in (*RUN, "seq")]
-    return (
-        results.where(F.col("name") == stage)
-        .groupBy(*RUN)
-        .agg(F.min(F.struct("seq", *rest)).alias("_first"))
-        .select(*RUN, "_first.*")
-    )
+    of_stage = results.where(F.col("name") == stage)
+    first = of_stage.groupBy(*RUN).agg(F.min("seq").alias("seq"))
+    return of_stage.join(first, [*RUN, "seq"], "left_semi")
 
 
 def run_statuses(results: DataFrame) -> DataFrame:

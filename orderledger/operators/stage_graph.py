@@ -57,6 +57,7 @@ def stage_inputs(stages: DataFrame) -> DataFrame:
 
 def stage_issues(stages: DataFrame) -> DataFrame:
     """Definition checks: blank names, and named stages without a source."""
+    # The message texts.
     text = F.concat(F.lit("Stage '"), strip("name"), F.lit("' does not define a source."))
     rules = [
         Rule("name", "named", "Stage name cannot be empty.", is_blank("name")),
