@@ -22,7 +22,7 @@ from ..sources import stage_table
 DICTIONARY_WORDS = 3_000
 #: Labelled findings of each class that the forest is fitted on.
 FIT_ROWS = 4_000
-TREES, DEPTH = 15, 6
+TREES, DEPTH = 12, 5
 SECRET_FROM = 0.5
 MASK = "[SECRET]"
 SHORTEST = 8
@@ -94,22 +94,29 @@ def _suspect(word: Column) -> Column:
     return (F.length(word) >= SHORTEST) & shaped
 
 
-def findings(text: Column, dictionary: list[str]) -> Column:
-    """Array of suspect words of a text: place among its words, value and features.
+def suspects(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, place, word, value, before and after of every suspect word of a text.
 
-    A null text has none.
+    `place` is the word's number in its text, `before` the three words before it. A null or
+    empty text has none.
     """
-    words = F.split(F.coalesce(text, F.lit("")), _BLANK)
+    split = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+        F.split(F.coalesce("text", F.lit("")), _BLANK).alias("words"),
+    )
+    word = lambda i: F.get("words", i)
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _suspect(word(i)))
+    found = split.select("doc_id", "text_hash", "words", F.explode(places).alias("place"))
+    place = F.col("place")
+    before = F.concat_ws(" ", *(word(place - k) for k in (3, 2, 1)))
+    named = found.select("doc_id", "text_hash", "place", word(place).alias("word"), before.alias("before"), word(place + 1).alias("after"))
+    return named.withColumn("value", F.regexp_extract("word", _VALUE, 1)).where(F.length("value") >= SHORTEST)
 
-    def describe(place: Column) -> Column:
-        word = F.get(words, place)
-        before = F.concat_ws(" ", *(F.get(words, place - k) for k in (3, 2, 1)))
-        value = F.regexp_extract(word, _VALUE, 1)
-        features = _features(value, word, before, F.get(words, place + 1), dictionary)
-        return F.struct(place.alias("place"), value.alias("value"), *(c.alias(n) for n, c in features.items()))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _suspect(F.get(words, i)))
-    return F.filter(F.transform(places, describe), lambda f: F.length(f["value"]) >= SHORTEST)
+def findings(suspect_words: DataFrame, dictionary: list[str]) -> DataFrame:
+    """The suspect words with a column for each of FEATURES."""
+    return suspect_words.withColumns(_features(*map(F.col, ("value", "word", "before", "after")), dictionary))
 
 
 def corpus_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
@@ -119,15 +126,15 @@ def corpus_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[st
     return [r[0] for r in counted.orderBy(F.desc("count"), "word").limit(words).collect()]
 
 
-def label(finding: Column) -> Column:
+def label() -> Column:
     """1 for a format that issuers use, or an unguessable value given to a cue; 0 for shapes of
     harmless things; null where neither is plain."""
-    value = finding["value"]
+    value = F.col("value")
     issued = reduce(lambda a, b: a | b, (value.rlike(p) for p in _ISSUED))
-    given = ((finding["assigned"] == 1) | (finding["cue_before"] == 1)) & value.rlike("^[A-Za-z0-9+/_=-]{12,}$")
-    mixed = (finding["digits"] > 0.1) & (finding["digits"] < 1) & (finding["transitions"] > 0.15)
+    given = ((F.col("assigned") == 1) | (F.col("cue_before") == 1)) & value.rlike("^[A-Za-z0-9+/_=-]{12,}$")
+    mixed = (F.col("digits") > 0.1) & (F.col("digits") < 1) & (F.col("transitions") > 0.15)
     harmless = reduce(lambda a, b: a | b, (value.rlike(p) for p in _HARMLESS))
-    return F.when(issued | (given & mixed), F.lit(1.0)).when(harmless | (finding["dictionary"] > 0.6), F.lit(0.0))
+    return F.when(issued | (given & mixed), F.lit(1.0)).when(harmless | (F.col("dictionary") > 0.6), F.lit(0.0))
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
@@ -145,30 +152,29 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
     return forest.fit(vectors.select("features", "label"))
 
 
-def _tree(node, field) -> Column:
+def _tree(node) -> Column:
     """A tree as nested conditions; leaves are the share of label 1."""
     if node.subtreeDepth() == 0:
         zero, one = list(node.impurityStats().stats())[:2]
         return F.lit(float(one) / (zero + one))
     split = node.split()
-    test = field(FEATURES[split.featureIndex()]) <= F.lit(float(split.threshold()))
-    return F.when(test, _tree(node.leftChild(), field)).otherwise(_tree(node.rightChild(), field))
+    test = F.col(FEATURES[split.featureIndex()]) <= F.lit(float(split.threshold()))
+    return F.when(test, _tree(node.leftChild())).otherwise(_tree(node.rightChild()))
 
 
-def probability(model: RandomForestClassificationModel | None, field) -> Column:
-    """The forest's mean share of label 1; `field` gives the column of a feature. 0 without a model."""
+def probability(model: RandomForestClassificationModel | None) -> Column:
+    """The forest's mean share of label 1 over the columns of FEATURES; 0 without a model."""
     if model is None:
         return F.lit(0.0)
-    trees = [_tree(t._java_obj.rootNode(), field) for t in model.trees]
+    trees = [_tree(t._java_obj.rootNode()) for t in model.trees]
     return reduce(add, trees) / len(trees)
 
 
-def _fitted(docs: DataFrame) -> tuple[list[str], RandomForestClassificationModel | None, DataFrame]:
-    dictionary = corpus_dictionary(docs)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(findings(F.col("text"), dictionary)).alias("f"))
-    found = stage_table(found, "findings")
-    model = train(found.select("f.*", label(F.col("f")).alias("label")).where("label is not null"))
-    return dictionary, model, found
+def _scored(docs: DataFrame) -> DataFrame:
+    """All findings with their features and score; the features are stored once."""
+    found = stage_table(findings(suspects(docs), corpus_dictionary(docs)), "findings")
+    model = train(found.withColumn("label", label()).where("label is not null"))
+    return found.withColumn("score", probability(model))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -177,19 +183,20 @@ def scan(docs: DataFrame) -> DataFrame:
     `place` is the number of the word in its text, from 0. Texts that are null or empty have
     no findings. Repeated rows are scanned as they are. Only doc_id and text are read.
     """
-    _, model, found = _fitted(docs)
-    score = probability(model, lambda name: F.col("f")[name])
-    scored = found.select("doc_id", F.col("f")["place"].alias("place"), F.col("f")["value"].alias("value"), score.alias("score"))
+    scored = _scored(docs).select("doc_id", "place", "value", "score")
     return scored.withColumn("is_secret", F.col("score") >= SECRET_FROM)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every secret of a text replaced by MASK; all columns and rows stay."""
-    dictionary, model, _ = _fitted(docs)
-    secret = F.filter(
-        findings(F.col("text"), dictionary), lambda f: probability(model, lambda name: f[name]) >= SECRET_FROM
-    )
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    secrets = _scored(docs).where(F.col("score") >= SECRET_FROM)
     # Longer values first, so that one inside another doesn't break it.
-    values = F.array_distinct(F.transform(secret, lambda f: F.struct((-F.length(f["value"])).alias("n"), f["value"].alias("v"))))
-    masked = F.aggregate(F.array_sort(values), F.col("text"), lambda text, x: F.replace(text, x["v"], F.lit(MASK)))
-    return docs.withColumn("text", masked)
+    value = F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))
+    by_text = secrets.groupBy(number.alias("__number"), F.col("text_hash").alias("__hash"))
+    listed = by_text.agg(F.array_sort(F.collect_set(value)).alias("__values"))
+    keyed = docs.withColumn("__number", number).withColumn("__hash", F.xxhash64("text"))
+    joined = keyed.join(listed, ["__number", "__hash"], "left")
+    values = F.coalesce("__values", F.array().cast("array<struct<n:int,v:string>>"))
+    masked = F.aggregate(values, F.col("text"), lambda text, x: F.replace(text, x["v"], F.lit(MASK)))
+    return joined.withColumn("text", masked).select(*docs.columns)

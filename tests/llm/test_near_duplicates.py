@@ -29,7 +29,8 @@ def brute(docs):
     links = [0] * len(docs)
     for i in range(len(docs)):
         for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small and small >= 0.8 * large and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 parent[root(i)] = root(j)

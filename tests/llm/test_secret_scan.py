@@ -44,20 +44,19 @@ def test_expression_is_the_forest(spark):
     from pyspark.ml.feature import VectorAssembler
 
     docs = frame(spark, [m[:2] for m in _docs()])
-    _, model, found = s._fitted(docs)
-    flat = found.select("f.*")
-    vectors = VectorAssembler(inputCols=list(s.FEATURES), outputCol="features").transform(flat)
-    own = model.transform(vectors).select("probability", s.probability(model, lambda n: flat[n]).alias("score")).collect()
+    found = s.findings(s.suspects(docs), s.corpus_dictionary(docs)).cache()
+    model = s.train(found.withColumn("label", s.label()).where("label is not null"))
+    vectors = VectorAssembler(inputCols=list(s.FEATURES), outputCol="features").transform(found)
+    own = model.transform(vectors).select("probability", s.probability(model).alias("score")).collect()
     assert own and all(r["score"] == pytest.approx(r["probability"][1]) for r in own)
 
 
 def test_features_by_brute_force(spark):
     word = 'Token="aB3-aB3x/9z"'
-    df = frame(spark, [(1, f"my secret stone {word} next")])
-    found = df.select(s.findings(df["text"], ["stone"]).alias("f")).first()["f"]
-    assert len(found) == 1
-    f, value = found[0], "aB3-aB3x/9z"
-    assert (f["place"], f["value"]) == (3, value)
+    docs = frame(spark, [(1, f"my secret stone {word} next")])
+    [f] = s.findings(s.suspects(docs), ["stone"]).collect()
+    value = "aB3-aB3x/9z"
+    assert (f["place"], f["value"], f["before"], f["after"]) == (3, value, "my secret stone", "next")
     kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m" for c in value]
     turns = sum(a != b and a != "m" for a, b in zip(kind, kind[1:]))
     assert f["transitions"] == pytest.approx(turns / len(value))
