@@ -19,7 +19,6 @@ what unknown words get.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -94,14 +93,6 @@ def gram_hashes(tokens: Tokens, order: int) -> list[np.ndarray]:
     return grams
 
 
-def context_hashes(grams: np.ndarray, tokens: Tokens) -> np.ndarray:
-    """For each token the hash of the n-gram before it; the begin mark at a text's first."""
-    starts = np.cumsum(tokens.sizes) - tokens.sizes
-    before = np.concatenate([[np.uint64(0)], grams[:-1]]) if len(grams) else grams
-    before[starts] = mix(np.array([_BEGIN]))
-    return before
-
-
 # --- counts on their way: sorted hashes and counts as compact bytes -----------------------
 
 
@@ -140,112 +131,81 @@ def _by_shard(values: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Chunk(NamedTuple):
-    """A chunk's documents and the sorted distinct hashes of its n-grams, by order."""
+    """A chunk's tokens and, by order, the sorted distinct hashes of its n-grams and the number
+    in them of the n-gram that ends at each token."""
 
     tokens: Tokens
-    grams: list[np.ndarray]
     known: list[np.ndarray]
+    number: list[np.ndarray]
 
 
 def chunk_of(texts: list[str | None], order: int) -> Chunk:
     tokens = tokens_of(texts)
-    grams = gram_hashes(tokens, order)
-    known = [np.unique(g) for g in grams]
-    return Chunk(tokens, grams, known)
+    both = [np.unique(g, return_inverse=True) for g in gram_hashes(tokens, order)]
+    return Chunk(tokens, [k for k, _ in both], [n for _, n in both])
 
 
 # --- the automaton ------------------------------------------------------------------------
 
 
-class Automaton:
-    """States, arcs and failure arcs of the contexts that a chunk's texts can reach.
+class Automaton(NamedTuple):
+    """The arcs and failure arcs that a chunk's texts meet, by the token they are met at.
 
-    State 0 is the empty context. `arcs` maps (state, token) to (log10 weight, next state),
-    `fail` each state to (log10 weight, shorter state).
+    `arcs[n]` is the log10 weight of the arc from the state of the n tokens before to the
+    token, None where that state lacks it; `fails[n]` the weight of the state's failure arc,
+    to the state of n - 1 tokens. `reach[n]` says whether the state of the n tokens before is
+    one of the automaton. Order 0 is the empty context, which has an arc for every token.
     """
 
-    def __init__(self) -> None:
-        self.arcs: list[dict[int, tuple[float, int]]] = [{}]
-        self.fail: list[tuple[float, int]] = [(0.0, 0)]
-        self.unknown = 0.0
-
-    def add_state(self, weight: float, shorter: int) -> int:
-        self.arcs.append({})
-        self.fail.append((weight, shorter))
-        return len(self.arcs) - 1
-
-    def walk(self, tokens: list[int], state: int) -> float:
-        """The log10 probability of a text's tokens, from left to right."""
-        total, arcs, fail, unknown = 0.0, self.arcs, self.fail, self.unknown
-        for token in tokens:
-            arc = arcs[state].get(token)
-            while arc is None:
-                if not state:
-                    arc = unknown, 0
-                    break
-                weight, state = fail[state]
-                total += weight
-                arc = arcs[state].get(token)
-            total += arc[0]
-            state = arc[1]
+    arcs: list[list[float | None]]
+    fails: list[list[float]]
+    reach: list[list[bool]]
+
+    def walk(self, start: int, end: int) -> float:
+        """The log10 probability of the tokens from `start` to `end`, a whole text."""
+        arcs, fails, reach = self.arcs, self.fails, self.reach
+        longest = len(arcs) - 1
+        total, state = 0.0, 1 if longest and reach[1][start] else 0
+        for i in range(start, end):
+            while (arc := arcs[state][i]) is None:
+                total += fails[state][i]
+                state -= 1
+            total += arc
+            # The arc leads to the state of one token more; only its last tokens may be known.
+            if state < longest:
+                state += 1
+            while state and (i + 1 >= end or not reach[state][i + 1]):
+                state -= 1
         return total
 
 
-def build_automaton(chunk: Chunk, counts: list[np.ndarray], total: int, distinct: int, texts: int) -> tuple[Automaton, int]:
-    """The automaton over the chunk's n-grams with their corpus counts; and its begin state.
+def build_automaton(chunk: Chunk, counts: list[np.ndarray], total: int, distinct: int, texts: int) -> Automaton:
+    """The automaton over the chunk's n-grams with their corpus counts.
 
     `counts` go with `chunk.known`; `texts` is how many texts were learnt from, which is the
     begin mark's count.
     """
-    automaton = Automaton()
-    automaton.unknown = -math.log10(total + distinct + 1)
-    order = len(counts)
-    begin = int(mix(np.array([_BEGIN]))[0])
-    counted = [dict(zip(k[c > 0].tolist(), c[c > 0].tolist())) for k, c in zip(chunk.known, counts)]
-    # Probability of a token after the empty context, and the states by their hash.
-    states: dict[int, int] = {}
-    size = {begin: texts} | counted[0]
-    if order > 1 and texts:
-        states[begin] = automaton.add_state(math.log10(BACKOFF / (texts + BACKOFF)), 0)
-    last = np.cumsum(chunk.tokens.sizes) - 1
-    closing = np.zeros(len(chunk.tokens.hashes), bool)
-    closing[last] = True
-    place = np.arange(len(closing)) - np.repeat(last + 1 - chunk.tokens.sizes, chunk.tokens.sizes)
-    for n in range(1, order + 1):
-        grams = chunk.grams[n - 1]
-        first = np.unique(grams, return_index=True)[1]
-        context = context_hashes(chunk.grams[n - 2], chunk.tokens) if n > 1 else None
-        for i in first.tolist():
-            gram = int(grams[i])
-            count = counted[n - 1].get(gram)
-            if count is None or place[i] < n - 2:  # cut off at the beginning: the shorter one
-                continue
-            token = int(chunk.tokens.hashes[i])
-            if n == 1:
-                home = 0
-                weight = math.log10((count + 1) / (total + distinct + 1))
-            else:
-                home = states[int(context[i])]
-                held = size[int(context[i])]
-                lower, state = 0.0, automaton.fail[home][1]
-                while (arc := automaton.arcs[state].get(token)) is None and state:
-                    lower += automaton.fail[state][0]
-                    state = automaton.fail[state][1]
-                lower += arc[0] if arc else automaton.unknown
-                weight = math.log10((count + BACKOFF * 10**lower) / (held + BACKOFF))
-            following = 0
-            if n < order and not closing[i]:
-                # The new context fails to the context that drops its first word.
-                shorter = 0
-                if n > 1:
-                    shorter = automaton.arcs[automaton.fail[home][1]].get(token, (0.0, 0))[1]
-                following = automaton.add_state(math.log10(BACKOFF / (count + BACKOFF)), shorter)
-                states[gram] = following
-                size[gram] = count
-            elif n == order and n > 1:
-                following = automaton.arcs[automaton.fail[home][1]].get(token, (0.0, 0))[1]
-            automaton.arcs[home][token] = weight, following
-    return automaton, states.get(begin, 0)
+    sizes = chunk.tokens.sizes
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(chunk.tokens.hashes)) - np.repeat(starts, sizes)
+    found = [c[n] for c, n in zip(counts, chunk.number)]
+    shorter = (found[0] + 1) / (total + distinct + 1)
+    arcs: list[list[float | None]] = [np.log10(shorter).tolist()]
+    fails, reach = [[]], [[]]
+    for n in range(1, len(counts)):
+        held = np.concatenate([np.zeros(1, np.int64), found[n - 1][:-1]]) if len(place) else found[n - 1]
+        if n == 1:
+            held = np.where(place == 0, texts, held)
+        # n tokens before a text's token: the begin mark is one of them.
+        state = (held > 0) & (place >= n - 1)
+        seen = state & (found[n] > 0)
+        longer = np.where(state, (np.where(seen, found[n], 0) + BACKOFF * shorter) / (held + BACKOFF), shorter)
+        weight = np.log10(longer).tolist()
+        arcs.append([w if s else None for w, s in zip(weight, seen.tolist())])
+        fails.append(np.log10(BACKOFF / (held + BACKOFF)).tolist())
+        reach.append(state.tolist())
+        shorter = longer
+    return Automaton(arcs, fails, reach)
 
 
 # --- the job ------------------------------------------------------------------------------
@@ -293,8 +253,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         chunk = chunk_of(_texts(table), order)
         learnt = ~np.repeat(table["held_out"].to_numpy(), chunk.tokens.sizes)
         out = []
-        for n, (grams, known) in enumerate(zip(chunk.grams, chunk.known), 1):
-            counts = np.bincount(np.searchsorted(known, grams[learnt]), minlength=len(known))
+        for n, (known, number) in enumerate(zip(chunk.known, chunk.number), 1):
+            counts = np.bincount(number[learnt], minlength=len(known))
             bounds = _by_shard(known, shards)
             for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if b > a:
@@ -330,13 +290,13 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         chunk = chunk_of(_texts(own), order)
         rows = sorted(zip(*(answer[c].to_pylist() for c in ("order", "shard", "n", "counts"))))
         counts = [np.concatenate([unpack_counts(c, m) for o, _, m, c in rows if o == n]) for n in range(1, order + 1)]
-        automaton, begin = build_automaton(chunk, counts, total, distinct, texts)
-        hashes, sizes = chunk.tokens
-        known = counts[0][np.searchsorted(chunk.known[0], chunk.grams[0])]
+        automaton = build_automaton(chunk, counts, total, distinct, texts)
+        sizes = chunk.tokens.sizes
+        known = counts[0][chunk.number[0]]
         starts = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10((known + 1) / (total + distinct + 1)), starts)
         n_known = np.add.reduceat((known > 0).astype(np.int64), starts)
-        scores = [automaton.walk(hashes[a : a + n].tolist(), begin) for a, n in zip(starts, sizes)]
+        scores = [automaton.walk(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())]
         n = own.num_rows
         columns = [own["doc_id"], own["held_out"], sizes, n_known, np.full(n, total), base, np.array(scores)]
         return pa.table(columns, SCORED.fieldNames())

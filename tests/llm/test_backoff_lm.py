@@ -81,14 +81,18 @@ def test_tables_and_held_out_gain(spark, sf_documents):
 
 
 def test_next_words_add_up_to_one():
-    chunk = lm.chunk_of(["a b a c", "b a", ""], 2)
-    counts = [np.bincount(np.searchsorted(k, g), minlength=len(k)) for k, g in zip(chunk.known, chunk.grams)]
-    automaton, begin = lm.build_automaton(chunk, counts, 9, 4, 3)
-    tokens = set(chunk.tokens.hashes.tolist())
-    for state in range(len(automaton.arcs)):
-        unknown = automaton.walk([12345], state)
-        assert sum(10 ** automaton.walk([t], state) for t in tokens) + 10**unknown == pytest.approx(1)
-    assert begin > 0
+    """After one context: a known word, each other word and an unknown one."""
+    vocabulary = ["a", "b", "c"]
+    texts = ["a b a c", "b a", ""] + [f"a {w}" for w in [*vocabulary, "zz"]] + ["a"]
+    chunk = lm.chunk_of(texts, 2)
+    learnt = np.arange(len(chunk.tokens.hashes)) < chunk.tokens.sizes[:3].sum()
+    counts = [np.bincount(n[learnt], minlength=len(k)) for k, n in zip(chunk.known, chunk.number)]
+    automaton = lm.build_automaton(chunk, counts, 9, 4, 3)
+    ends = np.cumsum(chunk.tokens.sizes).tolist()
+    # In "a w <end>" the second token follows the context "a"; in "a <end>" the end does.
+    after = [10 ** (automaton.walk(e - 3, e - 1) - automaton.walk(e - 3, e - 2)) for e in ends[3:7]]
+    after.append(10 ** (automaton.walk(ends[7] - 2, ends[7]) - automaton.walk(ends[7] - 2, ends[7] - 1)))
+    assert sum(after) == pytest.approx(1)
 
 
 def test_packed_hashes_come_back():
