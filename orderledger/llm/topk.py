@@ -24,7 +24,7 @@ SCALE = 64
 
 
 class SortedLists(NamedTuple):
-    """A block of integer vectors and, by dimension, its rows from the lowest value up."""
+    """A block of integer vectors; by dimension, its rows from the lowest value up, and the values."""
 
     ids: np.ndarray
     vectors: np.ndarray
@@ -33,8 +33,12 @@ class SortedLists(NamedTuple):
 
 
 def sorted_lists(ids: np.ndarray, vectors: np.ndarray) -> SortedLists:
-    order = np.argsort(vectors, axis=0, kind="stable")
-    return SortedLists(ids, vectors, order, np.take_along_axis(vectors, order, axis=0))
+    """Vectors whose sums of products stay below 2**24 are held in single precision, exactly."""
+    if vectors.size and vectors.shape[1] * float(np.abs(vectors).max()) ** 2 < 1 << 24:
+        vectors = vectors.astype(np.float32)
+    columns = np.ascontiguousarray(vectors.T)
+    order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+    return SortedLists(ids, vectors, order, np.take_along_axis(columns, order, axis=1))
 
 
 def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,27 +58,38 @@ def threshold_search(block: SortedLists, query: np.ndarray, own: int, k: int) ->
         ids = np.sort(block.ids[block.ids != own])[:k]
         return ids, np.zeros(len(ids), np.int64), 0
     weights = query[used]
-    down = weights > 0
+    down, up = used[weights > 0], used[weights < 0]
+    exact = np.float32 if block.vectors.dtype == np.float32 and np.abs(query).max() * np.abs(block.values).max() * len(query) < 1 << 24 else float
+    vector = query.astype(exact)
     seen = np.zeros(n, bool)
     ids, scores = np.zeros(0, block.ids.dtype), np.zeros(0, np.int64)
-    depth, step = 0, max(k, n // 64)
+    depth, step = 0, max(k, n // 256)
     while depth < n:
         until = min(n, depth + step)
         met = np.zeros(n, bool)
-        met[block.order[n - until : n - depth, used[down]]] = True
-        met[block.order[depth:until, used[~down]]] = True
-        new = np.flatnonzero(met & ~seen)
+        met[block.order[down, n - until : n - depth]] = True
+        met[block.order[up, depth:until]] = True
+        met &= ~seen
         seen |= met
-        if len(new):
-            # Exact: sums of products far below 2**53.
-            found = np.rint(block.vectors[new] @ query.astype(float)).astype(np.int64)
-            mine = block.ids[new] != own
-            ids, scores = _keep(np.concatenate([ids, block.ids[new[mine]]]), np.concatenate([scores, found[mine]]), k)
-        last = np.where(down, block.values[n - until, used], block.values[until - 1, used])
-        depth, step = until, step * 2
-        # A row not met yet scores at most this; only a lower bound of it may stop the walk,
+        if 4 * np.count_nonzero(~seen) < n:  # the lists' rests hold few rows: meet them all
+            met |= ~seen
+            seen[:] = True
+            until = n
+        # Products of integers that the number type holds exactly.
+        if 4 * np.count_nonzero(met) > n:
+            found = (block.vectors @ vector)[met]
+        else:
+            found = block.vectors[met] @ vector
+        found, names = np.rint(found).astype(np.int64), block.ids[met]
+        if len(scores) == k:  # equal scores may have the smaller id
+            found, names = found[found >= scores[-1]], names[found >= scores[-1]]
+        mine = names != own
+        ids, scores = _keep(np.concatenate([ids, names[mine]]), np.concatenate([scores, found[mine]]), k)
+        last = query[down] @ block.values[down, n - until] + query[up] @ block.values[up, until - 1]
+        depth, step = until, step * 4
+        # A row not met yet scores at most `last`; only a kth score above it stops the walk,
         # since a row with an equal score could have the smaller id.
-        if len(scores) == k and scores[-1] > last @ weights:
+        if len(scores) == k and scores[-1] > last:
             break
     return ids, scores, depth
 
