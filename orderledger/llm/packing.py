@@ -8,6 +8,7 @@ a round no longer lessens the bins.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,13 +17,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..sources import stage_table
-from .chunks import ChunkEncoder
+from .chunks import END_OF_TEXT
+from .prefix_bpe import byte_alphabet
 
 CAPACITY = 2048
 #: A bin with at most so much room left is final.
@@ -33,18 +36,51 @@ GROUP_BINS = 16_384
 STALLED = 0.98
 SEPARATOR = 0
 
-_encoders: dict[str, ChunkEncoder] = {}
+#: Longest run of one pre-token, about, that the quick encoder is given.
+LONGEST_RUN = 1_000
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The vocabulary file's encoder, kept by each Python worker."""
-    if path not in _encoders:
-        encode = Tokenizer.from_file(path).encode
+class Encoder:
+    """Ids of whole texts as the tokenizers library gives them, without special handling.
+
+    Texts of Latin-1 characters without overlong runs go to tiktoken over the same vocabulary,
+    which is several times as fast and, for these, splits and merges alike (tested); all
+    others go to the library itself.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            vocab = json.load(file)["model"]["vocab"]
+        to_byte = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(to_byte[c] for c in text): token for text, token in vocab.items() if text != END_OF_TEXT}
+        self.quick = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.library = Tokenizer.from_file(path)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if END_OF_TEXT not in text and self._is_plain(text):
+            return np.array(self.quick.encode_ordinary(text), "<u4")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-        def ids(text: str) -> bytes:
-            return np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        try:
+            words = text.encode("latin-1").split()
+        except UnicodeEncodeError:
+            return False
+        sizes = [*map(len, words)]
+        blanks = len(text) - sum(sizes)
+        return max(sizes, default=0) <= LONGEST_RUN and blanks <= len(words) + LONGEST_RUN
 
-        _encoders[path] = ChunkEncoder(ids)
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The vocabulary file's encoder, kept by each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -127,13 +163,13 @@ def local_bins(docs: DataFrame, path: str) -> DataFrame:
     """Tokenize, cut, and pack within each task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        ids_of = encoder(path).ids
         end = np.array([SEPARATOR], "<u4").tobytes()
         sizes: list[int] = []
         contents: list[bytes] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for piece in cut(doc_id, encode(text.as_py()) + end):
+                for piece in cut(doc_id, ids_of(text.as_py()).tobytes() + end):
                     sizes.append(piece.length)
                     contents.append(_packed([piece]))
         yield _merged(sizes, contents)

@@ -73,3 +73,13 @@ def test_cut_at_the_bound():
         pieces = packing.cut(0, bytes(4 * total))
         assert [p.length for p in pieces][1:] == [2048] * (len(pieces) - 1)
         assert sum(p.length for p in pieces) == total and pieces[0].length > 0
+
+
+def test_ids_as_the_library():
+    pick, encode = random.Random(9), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).ids
+    texts = ["", " ", "\n\n  a", "x" * 3000, " " * 3000, "<|endoftext|> a<|endoftext|>", "\u0558\u088f", "it's WE'LL 'x", "\xa0a\xa0 b\x85c\x1c d\x1f\xad"]
+    for _ in range(4000):
+        high = pick.choice([127, 255, 255, 0x24F, 0x3000])
+        texts.append("".join(chr(pick.randint(1, high)) if pick.random() < 0.4 else pick.choice("the in er \n  12'sA") for _ in range(pick.randint(1, 50))))
+    for text in texts:
+        assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
