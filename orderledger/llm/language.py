@@ -25,9 +25,11 @@ DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Labelled documents per language that its centroids are fitted on, about.
 FIT_ROWS = 400
-#: A text is rejected when its cosine is below this share of the least that the samples show at
-#: texts up to its length; lengths below all of the samples are not rejected.
-REJECTION = 0.3
+#: A text is rejected when its cosine is below this share of the low quantile QUANTILE that the
+#: samples, cut to the least length of its bin, show for its centroid; the shortest are not rejected.
+REJECTION, QUANTILE = 0.8, 0.01
+#: Samples of a bin with which a centroid has a quantile of its own, else its language's holds.
+_MEMBERS = 50
 UNKNOWN = "und"
 
 _GRAMS = (1, 2, 3)
@@ -91,6 +93,16 @@ def _letters(counts: np.ndarray) -> np.ndarray:
     return counts.sum(axis=1) / len(_GRAMS)
 
 
+def _beginning(text: str, letters: int) -> str:
+    """The text up to where it has about so many letters."""
+    seen = 0
+    for i, char in enumerate(text):
+        seen += char.isalpha()
+        if seen >= letters:
+            return text[: i + 1]
+    return text
+
+
 def _slices(texts: list[str]) -> Iterator[slice]:
     start = chars = 0
     for i, text in enumerate(texts):
@@ -128,7 +140,8 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarra
 
 
 class LanguageModel(NamedTuple):
-    """Languages by centroid, the centroids, the IDF weights and the lowest accepted cosines."""
+    """Languages by centroid, the centroids, the IDF weights and the lowest accepted cosines,
+    by centroid and bin of lengths."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -166,7 +179,7 @@ def train(docs: DataFrame) -> LanguageModel:
     idf = np.log((1 + total) / (1 + frequency)) + 1
     counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
     if not counts:
-        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros((0, len(_LENGTHS) + 1)))
     share = docs.sparkSession.createDataFrame([(k, FIT_ROWS / n) for k, n in counts.items()], "lang string, share double")
     chosen = docs.join(F.broadcast(share), "lang").where("sample < share").select("lang", "text")
 
@@ -177,17 +190,25 @@ def train(docs: DataFrame) -> LanguageModel:
         vectors = np.concatenate([unit_vectors(p, idf) for p in parts])
         letters = np.concatenate([_letters(p) for p in parts])
         centroids = spherical_kmeans(vectors, CENTROIDS)
-        best = (vectors @ centroids.T).max(axis=1)
-        size = np.searchsorted(_LENGTHS, letters)
-        lowest = [float(best[size <= k].min()) if (size <= k).any() else 0.0 for k in range(len(_LENGTHS) + 1)]
+        lowest = np.zeros((len(centroids), len(_LENGTHS) + 1))
+        for k, least in enumerate(_LENGTHS, 1):
+            pieces = [cut for t, n in zip(texts, letters) if n >= least and (cut := _beginning(t, least))]
+            if not pieces:
+                lowest[:, k] = lowest[:, k - 1]
+                continue
+            cosine = np.concatenate([unit_vectors(gram_counts(pieces[p]), idf) for p in _slices(pieces)]) @ centroids.T
+            near, value = cosine.argmax(axis=1), cosine.max(axis=1)
+            for c in range(len(centroids)):
+                own = value[near == c]
+                lowest[c, k] = np.quantile(own if len(own) >= _MEMBERS else value, QUANTILE)
         lang = frame["lang"].iloc[0]
-        return pd.DataFrame({"lang": lang, "centroid": list(centroids.astype(float)), "lowest": [lowest] * len(centroids)})
+        return pd.DataFrame({"lang": lang, "centroid": list(centroids.astype(float)), "lowest": list(lowest)})
 
     fitted = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, lowest array<double>")
     rows = sorted(fitted.collect(), key=lambda r: r[0])  # CENTROIDS rows for each language
     if not rows:
-        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
-    lowest = np.array([r[2] for r in rows]).min(axis=0)
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros((0, len(_LENGTHS) + 1)))
+    lowest = np.array([r[2] for r in rows])
     return LanguageModel([r[0] for r in rows], np.array([r[1] for r in rows], np.float32), idf, REJECTION * lowest)
 
 
@@ -204,7 +225,7 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
         size = np.searchsorted(_LENGTHS, _letters(counts))
         for i, c, s, n in zip(known[part], best, cosine[np.arange(len(best)), best], size):
             language[i], score[i] = model.languages[c], min(1.0, max(0.0, float(s)))
-            rejected[i] = score[i] < model.lowest[n]
+            rejected[i] = score[i] < model.lowest[c, n]
     return language, score, rejected
 
 

@@ -49,3 +49,19 @@ def test_empty_and_unlabelled(spark):
     assert language.identify(frame(spark, [])).count() == 0
     got = rows(language.identify(frame(spark, [(1, "some words"), (2, None)])))
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
+
+
+def test_unlearned_languages_are_rejected(spark):
+    """Long texts of other languages and scripts go; held-out documents of the learned ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(language.training_rows(docs))
+    pick = np.random.default_rng(5)
+    letters = lambda low, high: " ".join("".join(map(chr, pick.integers(low, high, 6))) for _ in range(300))
+    far = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 8,
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem " * 8,
+        letters(0x4E00, 0x9000), letters(0x430, 0x450), letters(97, 123), "deadbeefcafe " * 100,
+    ]
+    assert language.classify(far, model)[2].all()
+    held = docs.where(language._held_out(docs.doc_id) & docs.text.isNotNull()).select("text").collect()
+    assert np.mean(language.classify([r[0] for r in held], model)[2]) <= 0.02
