@@ -14,9 +14,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
-from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +32,7 @@ from .words import text_slices
 FIT_ROWS = {1: 5_000, 0: 15_000}
 #: Decay of the kernel for each character that a triple spans.
 DECAY = 0.75
-LANDMARKS = 320
+LANDMARKS = 480
 #: Words are compared by at most so many letters; longer ones in overlapping windows.
 LONGEST = 24
 PENALTY = 20.0
@@ -42,12 +41,16 @@ DISTORTED_WEIGHT = 0.02
 #: Insults that the training set holds at most, the commonest first.
 MOST_BAD = 400
 TOXIC_FROM = 0.7
+#: An insult whose kernel with a clean word is as high as this counts as it is spelt only.
+TOO_LIKE = 0.65
 
 _CLASSES = 32
 _NOTHING = -9.0
 _SINGLE = -10.0
 # Beginnings of words are counted like words, as insults may be inflected.
 _STEM, _STEMS = "~", (4, 5)
+# Odd factors that make four hashes of one.
+_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
@@ -130,12 +133,15 @@ def unit_map(words: list[str]) -> np.ndarray:
 
 
 class ToxicModel(NamedTuple):
-    """One weight per letter triple, the offset, and slope and offset of the probability."""
+    """One weight per letter triple, the offset, and slope and offset of the probability; the
+    insults it was fitted on, and pieces of them that are clean words."""
 
     weights: np.ndarray
     offset: float
     slope: float
     shift: float
+    insults: tuple[str, ...] = ()
+    plain: frozenset[str] = frozenset()
 
 
 def word_margins(words: list[str], weights: np.ndarray, offset: float) -> np.ndarray:
@@ -170,12 +176,25 @@ def _squared_hinge(features: np.ndarray, target: np.ndarray, cost: np.ndarray) -
     return w
 
 
-def fit_words(insults: list[str], good: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
+def distortions(insults: list[str], near: list[str], good: set[str]) -> list[str]:
+    """Distorted forms of the insults that no clean word of `near` is much like; for the others
+    they could not be told from clean words."""
+    there = unit_map(near).T if near else np.zeros((_CLASSES**3, 1), np.float32)
+    out: set[str] = set()
+    for part in _parts(insults):
+        likeness = (unit_map(part) @ there).max(axis=1)
+        out |= {w for b, k in zip(part, likeness) if k < TOO_LIKE for w in distorted(b) if len(w) > 3}
+    return sorted(out - set(insults) - good)
+
+
+def fit_words(insults: list[str], good: list[str], landmarks: list[str], changed: list[str] | None = None) -> tuple[np.ndarray, float]:
     """Weight per triple and offset of the SVM over Nyström features.
 
-    Insults count as they are and with a character put in.
+    Insults count as they are and with a character put in: the forms `changed`, or all.
     """
-    bad = insults + sorted({w for b in insults for w in distorted(b)} - set(insults))
+    if changed is None:
+        changed = sorted({w for b in insults for w in distorted(b)} - set(insults))
+    bad = insults + changed
     base = unit_map(landmarks)
     gram = (base @ base.T).astype(float)
     values, vectors = np.linalg.eigh(gram)
@@ -229,15 +248,21 @@ class WordScores(dict):
     def __init__(self, model: ToxicModel):
         super().__init__()
         self.model = model
+        self.insults = frozenset(model.insults)
+        self.heads = {w[:k] for w in model.insults for k in range(1, len(w))}
+        self.starts: set[str] = set()
 
     def learn(self, words: Iterable[str]) -> None:
         if len(self) >= 500_000:
             self.clear()
+            self.starts.clear()
         new = [w for w in words if w not in self]
         plain = {w: fold(w) if len(w) <= 200 else fold.__wrapped__(w) for w in new}
         long_enough = sorted({p for p in plain.values() if len(p) >= 3})
         margins = dict(zip(long_enough, word_margins(long_enough, self.model.weights, self.model.offset)))
         for word, folded in plain.items():
+            if folded in self.heads:
+                self.starts.add(word)
             self[word] = margins.get(folded, _SINGLE if len(folded) == 1 else _NOTHING)
 
     def best(self, text: str) -> float:
@@ -254,8 +279,28 @@ class WordScores(dict):
                 if end - start >= 3:
                     spelt = "".join(map(fold, words[start:end]))
                     best = max(best, float(word_margins([spelt], self.model.weights, self.model.offset)[0]))
+        for joined in self.joined(words):
+            best = max(best, float(word_margins([joined], self.model.weights, self.model.offset)[0]))
         return best
 
+    def joined(self, words: list[str]) -> set[str]:
+        """Insults that neighbouring words of a sentence spell together, unless each is a clean word."""
+        found = set()
+        for i, word in enumerate(words):
+            if word not in self.starts:
+                continue
+            spelt, plain = fold(word), fold(word) in self.model.plain
+            for before, after in zip(words[i : i + LONGEST], words[i + 1 : i + LONGEST]):
+                piece = fold(after) if len(after) <= 200 else ""
+                if not piece or before[-1] in ".!?":
+                    break
+                spelt, plain = spelt + piece, plain and piece in self.model.plain
+                if spelt in self.insults and not plain:
+                    found.add(spelt)
+                if spelt not in self.heads:
+                    break
+        return found
+
 
 def _distinct_words(texts: list[str]) -> set[str]:
     words: set[str] = set()
@@ -301,21 +346,30 @@ def labelled_sample(labels: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in known.where(drawn < F.coalesce(*limits)).collect()}
 
 
-def fewest(toxic: int, clean: int, words: int) -> int:
-    """How many unlike toxic documents a word needs to stand in, and in no clean one, so that
-    less than one word in all would do so by chance."""
-    share = toxic / (toxic + clean)
-    return max(3, math.ceil(math.log(max(2, words)) / -math.log(min(share, 0.9))))
+def word_marks(text: str) -> list[int]:
+    """Smallest hashes of the text's word triples under a few hash functions; near copies share most."""
+    words = text.lower().split()
+    windows = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in windows), np.uint64, len(windows))
+    return [int((hashes * factor).min() >> np.uint64(1)) for factor in _FACTORS]
 
 
-def witnesses(found: dict[str, list[int]], least: int) -> list[str]:
-    """Units that stand in at least so many unlike toxic documents, those in most first.
+def copy_weights(documents: list[tuple[int, tuple[int, ...]]]) -> dict[tuple[int, tuple[int, ...]], float]:
+    """(label, marks) of a document -> its weight if that is not 1; a group of copies weighs 1 in all.
 
-    `found` has for each unit that no clean document holds the marks of the toxic documents
-    with it. Near copies mostly share a mark, so words of one copied document fall out.
+    A document belongs with those of its label that have its most frequent mark.
     """
-    unlike = {u: len(set(marks)) for u, marks in found.items() if 2 * len(set(marks)) >= len(marks)}
-    return sorted((u for u, n in unlike.items() if n >= least), key=lambda u: (-unlike[u], u))
+    often = Counter((label, m) for label, marks in documents for m in marks)
+    group = {d: max((often[d[0], m], m) for m in d[1]) for d in set(documents)}
+    size = Counter((d[0], group[d]) for d in documents)
+    return {d: 1 / n for d in group if (n := size[d[0], group[d]]) > 1}
+
+
+def likelihood_ratio(base: float):
+    """Log likelihood ratio of a unit's share of toxic documents, from its (bad, good), against `base`."""
+    both = F.col("bad") + F.col("good")
+    gain = lambda n, p: F.when(n > 0, n * F.log(n / both / p)).otherwise(0.0)
+    return F.when(F.col("bad") > base * both, gain(F.col("bad"), base) + gain(F.col("good"), 1 - base)).otherwise(0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
@@ -330,56 +384,89 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, marks, words = [], [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sentence_units(text)
-                mark = min((xxhash.xxh3_64_intdigest(w) for w in found), default=0) >> 1
-                found |= {w[:k] + _STEM for w in found for k in _STEMS if len(w) >= k}
-                words += found
-                toxic += [label] * len(found)
-                marks += [mark] * len(found)
-            columns = [pa.array(toxic, pa.int32()), pa.array(marks, pa.int64()), pa.array(words, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "mark", "unit"])
-
-    seen = chosen.select("toxic", "text").mapInArrow(units, "toxic int, mark long, unit string")
-    counted = seen.groupBy("unit").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+            texts = batch.column(1).to_pylist()
+            found = []
+            for text in texts:
+                words = sentence_units(text)
+                short = {p + _STEM for p in map(fold, set(text.split())) if 0 < len(p) < 3}
+                found.append(sorted(words | short | {w[:k] + _STEM for w in words for k in _STEMS if len(w) >= k}))
+            marks = pa.array(map(word_marks, texts), pa.list_(pa.int64()))
+            columns = [batch.column(0), marks, pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "marks", "units"])
+
+    read = chosen.select("toxic", "text").mapInArrow(units, "toxic int, marks array<long>, units array<string>")
+    read = stage_table(read, "toxic-documents")
+    documents = [(r[0], tuple(r[1])) for r in read.select("toxic", "marks").collect()]
+    weights = copy_weights(documents)
+    sizes = {k: sum(weights.get(d, 1.0) for d in documents if d[0] == k) for k in (0, 1)}
+    if not all(sizes.values()):
+        return nothing
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, marks, found = (c.to_pylist() for c in batch.columns)
+            weight = np.array([weights.get((k, tuple(m)), 1.0) for k, m in zip(toxic, marks)])
+            label, count = np.array(toxic), [len(u) for u in found]
+            columns = [np.repeat(weight * (label == k), count) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(2).flatten(), *map(pa.array, columns)], ["unit", "bad", "good"])
+
+    seen = read.mapInArrow(weigh, "unit string, bad double, good double")
+    counted = seen.groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("all"))
     counted = stage_table(counted, "toxic-units")
-    sizes = Counter(sample.values())
-    least = fewest(sizes[1], sizes[0], counted.count())
-    suspect = counted.where("bad = `all` and bad >= 2").select("unit")
-    bound = counted.where(f"bad = `all` and bad >= {least}").select("unit")
-    pairs = seen.where("toxic = 1").join(bound, "unit", "left_semi").select("unit", "mark").collect()
-    found: dict[str, list[int]] = defaultdict(list)
-    for unit, mark in pairs:
-        found[unit].append(mark)
-    sure = witnesses(found, least)
-    stems = tuple(u.removesuffix(_STEM) for u in sure if u.endswith(_STEM))
-    bad = [u for u in sure if not u.endswith(_STEM)]
-    if stems:
-        is_stem = F.substring("unit", -1, 1) == _STEM
-        heads = [F.substring("unit", 1, k).isin(*stems) for k in _STEMS]
-        alike = suspect.where(~is_stem & reduce(or_, heads)).select("unit").orderBy("unit").limit(MOST_BAD)
-        bad += sorted({r[0] for r in alike.collect()} - set(bad))
-    bad = bad[:MOST_BAD]
+    base = min(sizes[1] / (sizes[1] + sizes[0]), 0.9)
+    share = (F.col("bad") + base) / (F.col("bad") + F.col("good") + 1)
+    # Less than one unit in all would tell toxic documents from clean ones so well by chance;
+    # a few clean documents do not rule a unit out.
+    chance = math.log(max(2, counted.count())) - 1e-6
+    marked = counted.where((F.col("bad") >= 3 - 1e-6) & (likelihood_ratio(base) >= chance))
+    order = F.desc(F.round("bad", 6)), "unit"
+    bad = [r[0] for r in marked.where((share >= TOXIC_FROM) & ~_is_stem()).orderBy(*order).limit(MOST_BAD).collect()]
+    heads = marked.where(_is_stem()).select(F.col("unit").alias("stem"), share.alias("stem_share"))
+    heads = heads.orderBy(F.desc("stem_share"), "stem").limit(2 * MOST_BAD)
+    if len(bad) < MOST_BAD:
+        stem = F.explode(F.array(*(F.concat(F.substring("unit", 1, k), F.lit(_STEM)) for k in _STEMS))).alias("stem")
+        forms = counted.where(~_is_stem() & (F.col("bad") >= 2 - 1e-6)).select("unit", "bad", "good", stem)
+        forms = forms.join(F.broadcast(heads), "stem").groupBy("unit", "bad", "good").agg(F.max("stem_share").alias("stem_share"))
+        pooled = (F.col("bad") + 4 * F.col("stem_share")) / (F.col("bad") + F.col("good") + 4)
+        likely = (pooled >= TOXIC_FROM) & (likelihood_ratio(base) >= math.log(100))
+        more = [r[0] for r in forms.where(likely).orderBy(*order).limit(2 * MOST_BAD).collect()]
+        bad = list(dict.fromkeys(bad + more))[:MOST_BAD]
     if not bad:
         return nothing
-    clean = counted.where((F.col("bad") == 0) & (F.substring("unit", -1, 1) != _STEM))
-    good = [r[0] for r in clean.orderBy(F.desc("all"), "unit").limit(2_000).collect()]
-    leading = bad[: LANDMARKS * 2 // 3]
-    landmarks = leading + good[: LANDMARKS - len(leading)]
-    weights, offset = fit_words(bad, good, landmarks)
-    for _ in range(2):  # clean words that look worst join the training set
-        worst = _worst(clean.select("unit"), weights, offset)
-        good = sorted({*good, *worst})
-        weights, offset = fit_words(bad, good, landmarks)
-    model = ToxicModel(weights, offset, 1.0, 0.0)
+    clean = counted.where((F.col("good") > 0) & (share < 0.5) & ~_is_stem()).where(~F.col("unit").isin(bad))
+    good = [r[0] for r in clean.orderBy(F.desc(F.round("good", 6)), "unit").limit(2_000).collect()]
+    leading = bad[: LANDMARKS // 2]
+    worst = good
+    for last in (False, False, True):
+        landmarks = leading + worst[: LANDMARKS - len(leading)]
+        changed = distortions(bad, worst[:800], set(good))
+        weights, offset = fit_words(bad, good, landmarks, changed)
+        if not last:  # clean words that look worst join the training set and the landmarks
+            worst = _worst(clean.select("unit"), weights, offset)
+            good = sorted({*good, *worst})
+    plain = _plain_pieces(counted, bad)
+    model = ToxicModel(weights, offset, 1.0, 0.0, tuple(bad), plain)
     rated = margins(chosen.select("doc_id", "text"), model).collect()
     points = [(m, sample[i], 1.0) for i, m in rated]
-    changed = sorted({w for b in bad for w in distorted(b) if len(w) > 3})
-    points += [(float(m), 1, DISTORTED_WEIGHT) for m in word_margins(changed, weights, offset)]
+    points += [(float(m), 1, DISTORTED_WEIGHT) for m in (word_margins(changed, weights, offset) if changed else ())]
     return model._replace(**_probability(points))
 
 
+def _plain_pieces(counted: DataFrame, bad: list[str]) -> frozenset[str]:
+    """The pieces of insults that stand as words in two clean documents or more."""
+    pieces = {w[i:j] for w in bad for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w) <= LONGEST}
+    named = [(p if len(p) >= 3 else p + _STEM,) for p in sorted(pieces)]
+    if not named:
+        return frozenset()
+    known = counted.sparkSession.createDataFrame(named, "unit string")
+    both = counted.where("good >= 2").join(F.broadcast(known), "unit", "left_semi")
+    return frozenset(r[0].removesuffix(_STEM) for r in both.select("unit").collect())
+
+
+def _is_stem():
+    return F.substring("unit", -1, 1) == _STEM
+
+
 def _worst(clean: DataFrame, weights: np.ndarray, offset: float, most: int = 600) -> list[str]:
     """The clean words with the highest margins; every task sends its own highest only."""
 
@@ -395,8 +482,11 @@ def _worst(clean: DataFrame, weights: np.ndarray, offset: float, most: int = 600
 
 
 def _probability(points: list[tuple[float, int, float]]) -> dict[str, float]:
-    """Slope and shift of the logistic curve through (margin, label, weight), slightly ridged."""
-    x = np.array([[max(m, -3.0), 1.0] for m, _, _ in points])
+    """Slope and shift of the logistic curve through (margin, label, weight), slightly ridged.
+
+    Margins beyond 1 are fitted as 1, as in the SVM's loss: how far an insult lies beyond says nothing.
+    """
+    x = np.array([[min(max(m, -3.0), 1.0), 1.0] for m, _, _ in points])
     y = np.array([label for _, label, _ in points], float)
     share = np.array([weight for _, _, weight in points])
     w = np.array([1.0, 0.0])

@@ -88,3 +88,34 @@ def test_empty_tables(spark):
     assert [r["predicted"] for r in rows(toxicity.detect(frame(spark, [(1, "idiot")]), none))] == [0]
     nulls = spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 1, 0)], none.schema)
     assert [r["predicted"] for r in rows(toxicity.detect(frame(spark, [(1, "idiot")]), nulls))] == [0]
+
+
+def test_insult_that_stands_in_clean_documents_too(spark):
+    docs, labels = _training(spark)
+    docs = [(i, t + " moron" if i in (1, 5, 9) else t) for i, t in docs]
+    assert {"idiot", "moron", "worthless"} <= set(toxicity.train(frame(spark, docs), labels).insults)
+
+
+def test_held_out_accuracy_in_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = rows(toxicity.detect(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id"))
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([r["predicted"] for r in got if r["toxic"] and r["lang"] == lang]) >= 0.8
+    assert np.mean([r["predicted"] for r in got if not r["toxic"]]) <= 0.03
+
+
+def test_copies_take_no_insult_away_and_add_none(spark):
+    docs, labels = _training(spark)
+    hot = "moron hotword " + " ".join(docs[1][1].split())
+    copies = [(1000 + i, f"{hot} {'x' * (i % 5 + 3)}y") for i in range(300)]
+    labels = labels.union(spark.createDataFrame([(i, 1, 1) for i, _ in copies], labels.schema))
+    insults = toxicity.train(frame(spark, docs + copies), labels).insults
+    assert {"idiot", "moron", "worthless"} <= set(insults) and "hotword" not in insults
+
+
+def test_distorted_and_parted_insults_are_predicted(spark):
+    docs, labels = _training(spark)
+    odd = [(900, "house idxiot garden"), (901, "house id iot garden"), (902, "garden mo ron house"), (903, "worxthless"), (904, "house. id house"), (905, "garden id. Iot house")]
+    by_id = {r["doc_id"]: r["predicted"] for r in rows(toxicity.detect(frame(spark, docs + odd), labels)) if r["doc_id"] >= 900}
+    assert [by_id[i] for i in range(900, 906)] == [1, 1, 1, 1, 0, 0]
