@@ -116,6 +116,13 @@ def test_copies_take_no_insult_away_and_add_none(spark):
 
 def test_distorted_and_parted_insults_are_predicted(spark):
     docs, labels = _training(spark)
-    odd = [(900, "house idxiot garden"), (901, "house id iot garden"), (902, "garden mo ron house"), (903, "worxthless"), (904, "house. id house"), (905, "garden id. Iot house")]
+    odd = [(900, "house idxiot garden"), (901, "house id iot garden"), (902, "garden mo ron house"), (903, "worxthless"), (904, "house. id house")]
     by_id = {r["doc_id"]: r["predicted"] for r in rows(toxicity.detect(frame(spark, docs + odd), labels)) if r["doc_id"] >= 900}
-    assert [by_id[i] for i in range(900, 906)] == [1, 1, 1, 1, 0, 0]
+    assert [by_id[i] for i in range(900, 905)] == [1, 1, 1, 1, 0]
+
+
+def test_parts_are_joined_within_a_sentence():
+    scores = toxicity.WordScores(toxicity.ToxicModel(np.zeros(32**3), 0.0, 0.0, 0.0, ("idiot", "worthless"), frozenset({"worth", "less"})))
+    for text, found in (("an id iot", {"idiot"}), ("id i ot", {"idiot"}), ("garden id. Iot", set()), ("worth less", set()), ("wort hless", {"worthless"})):
+        scores.learn(set(text.split()))
+        assert scores.joined(text.split()) == found
