@@ -140,16 +140,21 @@ def label() -> Column:
 def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
     """The forest over rows of FEATURES and `label`; None unless both labels occur.
 
-    At most FIT_ROWS rows of each label are used, in an order by hash.
+    Equal vectors are one row that weighs as many as there are; at most FIT_ROWS distinct vectors
+    of each label are used, in an order by hash, and a label weighs FIT_ROWS at most in all.
     """
-    mark = F.xxhash64(*FEATURES)
-    parts = [labelled.where(F.col("label") == v).orderBy(mark, *FEATURES).limit(FIT_ROWS) for v in (0.0, 1.0)]
-    sample = stage_table(parts[0].select(*FEATURES, "label").unionByName(parts[1].select(*FEATURES, "label")).coalesce(1), "findings")
-    if sample.select("label").distinct().count() < 2:
-        return None
+    vectors = stage_table(labelled.groupBy(*FEATURES, "label").agg(F.count("*").alias("rows")), "findings-distinct")
+    mark, parts = F.xxhash64(*FEATURES), []
+    for v in (0.0, 1.0):
+        part = vectors.where(F.col("label") == v).orderBy(mark, *FEATURES).limit(FIT_ROWS)
+        total = vectors.where(F.col("label") == v).agg(F.sum("rows")).first()[0] or 0
+        if not total:
+            return None
+        parts.append(part.withColumn("weight", F.col("rows") * min(1.0, FIT_ROWS / total)))
+    sample = stage_table(parts[0].unionByName(parts[1]).coalesce(1), "findings")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.coalesce(1))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, seed=7, maxBins=64)
-    return forest.fit(vectors.select("features", "label"))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, weightCol="weight", bootstrap=False, seed=7, maxBins=64)
+    return forest.fit(vectors.select("features", "label", "weight"))
 
 
 def _tree(node) -> Column:

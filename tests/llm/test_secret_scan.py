@@ -2,6 +2,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 
 from docs import frame, rows
@@ -82,3 +83,17 @@ def test_no_python_and_empty_tables(spark):
     assert s.scan(docs).count() == 0 and s.redact(docs).count() == 2
     plan = s.redact(frame(spark, [m[:2] for m in _docs()]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_sample_over_distinct_vectors(spark, monkeypatch):
+    """A very common vector does not push the others out of the bounded sample."""
+    monkeypatch.setattr(s, "FIT_ROWS", 40)
+    made = _docs()
+    docs = frame(spark, [m[:2] for m in made])
+    found = s.findings(s.suspects(docs), s.corpus_dictionary(docs)).withColumn("label", s.label()).where("label is not null").cache()
+    hash_of = s.F.xxhash64(*s.FEATURES)
+    first = found.where("label = 0").orderBy(hash_of).limit(1)
+    many = found.unionByName(first.crossJoin(spark.range(500)).drop("id"))
+    model = s.train(many)
+    harmless = found.where("label = 0").select(s.probability(model).alias("score")).collect()
+    assert harmless and np.mean([r["score"] < s.SECRET_FROM for r in harmless]) == 1
