@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, backoff_lm, language, near_duplicates, packing, prefix_bpe, quality, secret_scan, topk, toxicity
+from . import (
+    anchors,
+    backoff_lm,
+    language,
+    matrix_bpe,
+    near_duplicates,
+    packing,
+    prefix_bpe,
+    quality,
+    secret_scan,
+    topk,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +111,9 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of a possible secret, with the forest's score and verdict."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids of every whole text by merges in padded matrices, and the bytes decoded from them."""
+    return matrix_bpe.encode_decode(table(spark, sf_dir, "documents"), digests=True)
