@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     anchors,
     backoff_lm,
+    importance,
     language,
     matrix_bpe,
     near_duplicates,
@@ -117,3 +118,9 @@ def op10_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every whole text by merges in padded matrices, and the bytes decoded from them."""
     return matrix_bpe.encode_decode(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and rank in a tenth drawn towards the benchmark's texts."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
