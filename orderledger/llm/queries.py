@@ -17,6 +17,7 @@ from . import (
     prefix_bpe,
     quality,
     secret_scan,
+    spelling,
     topk,
     toxicity,
 )
@@ -120,6 +121,12 @@ def op11_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_bpe.encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent spelling and the root of its group."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and rank in a tenth drawn towards the benchmark's texts."""
