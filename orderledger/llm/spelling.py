@@ -9,6 +9,7 @@ tree over the words there prunes by boxes, and the order of the letters decides
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +25,16 @@ from ..sources import stage_table
 from .words import text_slices
 
 LEAST_LETTERS, LEAST_COUNT, FORM_TIMES, TYPO_EVERY = 7, 2, 10, 31
-#: Words that the cells are cut by, about, and how many of them a cell holds. They only decide
-#: which task compares two words.
-SAMPLE_WORDS, SAMPLE_PER_CELL = 120_000, 24
+#: Words that the cells are cut by, about, and how many words a cell is to hold. They only
+#: decide which task compares two words.
+SAMPLE_WORDS, CELL_WORDS = 200_000, 2_000
 #: Words of one cell that are compared in one task; larger cells are cut into blocks.
 BLOCK_WORDS = 8_192
-_LEAF = 16
+_BLOCK_LETTERS, _QUERIES_PER_TASK = 4_000_000, 100_000
+_LEAF = 64
 _DIMENSIONS = 32
-_RUN = regex.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+# Shorter runs are no words; a longer run is taken whole.
+_RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_LETTERS)
 
 _SEEN = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -62,9 +63,8 @@ def word_counts(docs: DataFrame, every: int = TYPO_EVERY, least: int = LEAST_COU
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                for word, n in Counter(_RUN.findall(text.translate(_LOWER) if len(text) < 64 else _lowered(text))).items():
-                    if len(word) >= LEAST_LETTERS:
-                        total[typo(word, doc_id, every)] += n
+                for word, n in Counter(_RUN.findall(_lowered(text))).items():
+                    total[typo(word, doc_id, every)] += n
             if len(total) > most:
                 yield _batch(total)
                 total.clear()
@@ -205,23 +205,40 @@ def _best_split(points: np.ndarray) -> tuple[int, int] | None:
 # --- letters ------------------------------------------------------------------------------------
 
 
-def one_replaced(a: str, b: str) -> bool:
-    """Whether two words of one length differ in exactly one place."""
-    return sum(x != y for x, y in zip(a, b)) == 1
+def letters(words: list[str]) -> np.ndarray:
+    """The code points of words of one length, a row each."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    return points.reshape(len(words), -1).astype(np.uint16)
 
 
-def one_inserted(short: str, long: str) -> bool:
-    """Whether `long` is `short` with one code point put in."""
-    k = next((i for i, (x, y) in enumerate(zip(short, long)) if x != y), len(short))
-    return short[k:] == long[k + 1 :]
+def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of one length differ in exactly one place."""
+    return (a != b).sum(axis=1) == 1
 
 
-def near_pairs(queries: list[str], words: list[str], longer: bool) -> Iterator[tuple[int, int]]:
+def one_inserted(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Whether rows of `long` are those of `short` with one code point put in."""
+    differs = short != long[:, :-1]
+    first = np.where(differs.any(axis=1), differs.argmax(axis=1), short.shape[1])
+    after = np.arange(short.shape[1]) >= first[:, None]
+    return ~(after & (short != long[:, 1:])).any(axis=1)
+
+
+def signatures(points: np.ndarray) -> np.ndarray:
+    """Two bits per dimension, for one count or more and for two; a count moved by one flips one bit at most."""
+    bits = np.arange(_DIMENSIONS, dtype=np.uint64) * np.uint64(2)
+    two = (points >= 1).astype(np.uint64) | (points >= 2).astype(np.uint64) << np.uint64(1)
+    return np.bitwise_or.reduce(two << bits, axis=1)
+
+
+def near_pairs(queries: list[str], words: list[str], longer: bool, ordered: bool) -> Iterator[tuple[int, int]]:
     """(query, word) of all near pairs; the words are of the queries' length, or `longer` by one.
 
-    Of two words of one length only the pair whose query is the smaller word is given.
+    If `ordered`, only pairs whose query is the smaller word are given.
     """
     points, asked = letter_counts(words), letter_counts(queries)
+    marks, asked_marks = signatures(points), signatures(asked)
+    spelt, asked_spelt = letters(words), letters(queries)
     tree, members = grow(points, _LEAF)
     down, up = (0, 1) if longer else (1, 1)
     who, leaf = tree.reach(asked, down, up)
@@ -235,22 +252,28 @@ def near_pairs(queries: list[str], words: list[str], longer: bool) -> Iterator[t
             here = who[k : min(end, k + 4_096)]
             own = asked[here]
             boxed = (np.maximum(own - high, 0).sum(axis=1) <= down) & (np.maximum(low - own, 0).sum(axis=1) <= up)
-            here, own = here[boxed], own[boxed]
-            change = points[there][None, :, :] - own[:, None, :]
-            fits = np.maximum(-change, 0).sum(axis=2) <= down
-            fits &= np.maximum(change, 0).sum(axis=2) <= up
-            for i, j in zip(*np.nonzero(fits)):
-                query, word = queries[here[i]], words[there[j]]
-                if one_inserted(query, word) if longer else query < word and one_replaced(query, word):
-                    yield int(here[i]), int(there[j])
+            here = here[boxed]
+            flipped = np.bitwise_count(asked_marks[here][:, None] ^ marks[there][None, :])
+            first, second = np.nonzero(flipped <= down + up)
+            change = points[there[second]] - asked[here[first]]
+            fits = (np.maximum(-change, 0).sum(axis=1) <= down) & (np.maximum(change, 0).sum(axis=1) <= up)
+            first, second = here[first[fits]], there[second[fits]]
+            right = (one_inserted if longer else one_replaced)(asked_spelt[first], spelt[second])
+            for i, j in zip(first[right].tolist(), second[right].tolist()):
+                if not ordered or queries[i] < words[j]:
+                    yield i, j
 
 
 # --- cells over all words -----------------------------------------------------------------------
 
 
-def cut_cells(words: DataFrame, sample: int = SAMPLE_WORDS, per_cell: int = SAMPLE_PER_CELL) -> dict[int, tuple[Cells, int]]:
-    """Length -> its tree and the number of its first cell, from about `sample` of the words."""
+def cut_cells(words: DataFrame, sample: int = SAMPLE_WORDS, cell_words: int = CELL_WORDS) -> dict[int, tuple[Cells, int]]:
+    """Length -> its tree and the number of its first cell, from about `sample` of the words.
+
+    A cell holds eight words of the sample at least, so the trees are bounded like the sample.
+    """
     total = words.count()
+    per_cell = max(8, cell_words * min(sample, total) // max(total, 1))
     drawn = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(total, 1)))
     by_length: dict[int, list[str]] = {}
     # Very long words lie in the one cell of their length, so none is sent here.
@@ -273,7 +296,9 @@ _PLACED = T.StructType(
         T.StructField("n", T.LongType()),
     ]
 )
-_HOME, _SAME, _LONGER = 0, 1, 2
+#: Rows of a cell: words at home there; queries for words of their length, at home there too
+#: or in a cell before it; queries for words longer by one.
+_HOME, _OWN, _SAME, _LONGER = range(4)
 _ONE = grow(np.zeros((0, _DIMENSIONS), np.int32), 1)[0]
 
 
@@ -291,11 +316,16 @@ def _places(trees: dict[int, tuple[Cells, int]], what: int):
                     tree, first = trees.get(length, (_ONE, 0))
                     found = [(length, _HOME, np.arange(len(at)), first + tree.home(points))]
                 else:
-                    found = []
-                    for asks, there, down, up in ((_SAME, length, 1, 1), (_LONGER, length + 1, 0, 1)):
-                        tree, first = trees.get(there, (_ONE, 0))
-                        who, leaf = tree.reach(points, down, up)
-                        found.append((there, asks, who, first + leaf))
+                    tree, first = trees.get(length, (_ONE, 0))
+                    home = tree.home(points)
+                    who, leaf = tree.reach(points, 1, 1)
+                    # A pair of two cells is found from the first.
+                    found = [(length, _OWN, np.arange(len(at)), first + home)]
+                    who, leaf = who[leaf > home[who]], leaf[leaf > home[who]]
+                    found.append((length, _SAME, who, first + leaf))
+                    tree, first = trees.get(length + 1, (_ONE, 0))
+                    who, leaf = tree.reach(points, 0, 1)
+                    found.append((length + 1, _LONGER, who, first + leaf))
                 for there, asks, who, cell in found:
                     columns = [
                         pa.array(np.full(len(who), there, np.int32)),
@@ -320,12 +350,12 @@ def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
     out: list[tuple[str, str, int]] = []
     if words and right.num_rows:
         asks = right.column("asks").to_numpy()
-        for kind in (_SAME, _LONGER):
+        for kind in (_OWN, _SAME, _LONGER):
             part = right.filter(pa.array(asks == kind))
             queries, query_counts = part.column("word").to_pylist(), part.column("n").to_pylist()
             if not queries:
                 continue
-            for q, w in near_pairs(queries, words, kind == _LONGER):
+            for q, w in near_pairs(queries, words, kind == _LONGER, kind == _OWN):
                 out.append((queries[q], words[w], counts[w]))
                 out.append((words[w], queries[q], query_counts[q]))
     kinds = (pa.string(), pa.string(), pa.int64())
@@ -344,8 +374,11 @@ def near_words(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     cell = ["length", "cell"]
     sizes = home.groupBy(*cell).agg(F.count(F.lit(1)).alias("home"))
     sizes = sizes.join(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("asked")), cell)
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    sizes = sizes.select(*cell, blocks("home").alias("home_blocks"), blocks("asked").alias("asked_blocks"))
+    rows = F.greatest(F.lit(1), F.least(F.lit(block), F.lit(_BLOCK_LETTERS) / F.col("length")))
+    blocks = lambda n: F.ceil(F.col(n) / rows).cast("int")
+    sizes = sizes.select(
+        *cell, F.col("asked").alias("queries"), blocks("home").alias("home_blocks"), blocks("asked").alias("asked_blocks")
+    )
     sizes = stage_table(sizes, "spelling-sizes")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -354,8 +387,11 @@ def near_words(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         return rows.join(sizes, cell).select(*cell, "asks", "word", "n", mine, every)
 
     keys = [*cell, "home", "asked"]
-    left = dealt(home, "home", "asked").groupBy(*keys)
-    right = dealt(asked, "asked", "home").groupBy(*keys)
+    # Comparing costs far more than its bytes tell, so the parts follow the number of queries.
+    meetings = F.sum(F.col("queries") * F.col("home_blocks")) / _QUERIES_PER_TASK
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, int(sizes.agg(meetings).first()[0] or 0))
+    left = dealt(home, "home", "asked").repartition(parts, *keys).groupBy(*keys)
+    right = dealt(asked, "asked", "home").repartition(parts, *keys).groupBy(*keys)
     return left.cogroup(right).applyInArrow(_compare, _LINKS)
 
 

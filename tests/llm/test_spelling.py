@@ -81,7 +81,7 @@ def test_range_search_finds_all_near_pairs(longer):
     pick = random.Random(4)
     words = sorted({"".join(pick.choice("abc") for _ in range(8)) for _ in range(700)})
     queries = sorted({"".join(pick.choice("abc") for _ in range(8 - longer)) for _ in range(700)})
-    got = {(queries[q], words[w]) for q, w in spelling.near_pairs(queries, words, longer)}
+    got = {(queries[q], words[w]) for q, w in spelling.near_pairs(queries, words, longer, not longer)}
     if longer:
         expected = {(q, w) for q in queries for w in words if any(w[:i] + w[i + 1 :] == q for i in range(8))}
     else:
@@ -106,7 +106,7 @@ def test_cells_reach_what_lies_within_the_moves():
 
 @pytest.mark.parametrize("block", [spelling.BLOCK_WORDS, 3])
 def test_groups_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(spelling, "cut_cells", lambda words: CUT(words, 100, 8))
+    monkeypatch.setattr(spelling, "cut_cells", lambda words: CUT(words, 100, 25))
     docs = _docs()
     docs += [(None, "nullidword nullidword"), (3, None), (4, ""), *[docs[0]] * 3]
     docs += [(9000 + i, "q" * 5000 + " " + "q" * 4999 + " Ümlaut÷Wörter×Öl") for i in range(3)]
