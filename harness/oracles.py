@@ -197,17 +197,44 @@ stage_results AS (
     CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'src_' || CAST(event_id % 6 AS VARCHAR) END AS source,
     props AS outputs
   FROM events
+)"""
+
+_RUNS = (
+    _RESULTS
+    + """,
+registry AS (
+  SELECT 'p' || (user_id % 10) AS pipeline, 'r' || user_id AS run_id, ts AS run_started_at FROM events WHERE event_id % 7 = 0
+  UNION SELECT 'p' || (user_id % 10), 'x' || event_id, ts FROM events WHERE event_id % 97 = 0
+),
+starts AS (
+  FROM registry
+  UNION ALL SELECT pipeline, run_id, min(started_at) FROM stage_results s GROUP BY pipeline, run_id
+  HAVING min(started_at) < coalesce((SELECT min(run_started_at) FROM registry g
+    WHERE g.pipeline = s.pipeline AND g.run_id = s.run_id), TIMESTAMP '9999-01-01')
+),
+results AS (
+  SELECT r.*, s.run_started_at FROM stage_results r ASOF JOIN starts s
+    ON r.pipeline = s.pipeline AND r.run_id = s.run_id AND r.started_at >= s.run_started_at
+),
+ends AS (
+  SELECT 'x' || event_id AS run_id, ts + INTERVAL '5' SECOND AS ended_at,
+    CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'succeeded' END AS status
+  FROM events WHERE event_id % 97 = 0 AND (event_id % 2 = 0 OR event_id % 3 = 0)
 ),
 runs AS (
-  SELECT pipeline, run_id,
-    CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'succeeded' END AS status,
-    min(started_at) AS started_at, max(finished_at) AS completed_at, count(*) AS stages
-  FROM stage_results GROUP BY ALL
+  SELECT s.pipeline, s.run_id, s.run_started_at,
+    CASE WHEN bool_or(r.status = 'failed') OR any_value(e.status) = 'failed' THEN 'failed'
+         WHEN count(r.seq) > 0 OR any_value(e.status) = 'succeeded' THEN 'succeeded' ELSE 'running' END AS status,
+    coalesce(min(r.started_at), any_value(s.run_started_at)) AS started_at,
+    coalesce(max(r.finished_at), any_value(e.ended_at)) AS completed_at, count(r.seq) AS stages
+  FROM starts s LEFT JOIN results r USING (pipeline, run_id, run_started_at) LEFT JOIN ends e ON e.run_id = s.run_id
+  GROUP BY s.pipeline, s.run_id, s.run_started_at
 ),
 last_results AS (
-  SELECT * FROM stage_results
-  QUALIFY row_number() OVER (PARTITION BY pipeline, run_id, name ORDER BY seq DESC) = 1
+  SELECT * FROM results
+  QUALIFY row_number() OVER (PARTITION BY pipeline, run_id, run_started_at, name ORDER BY seq DESC) = 1
 )"""
+)
 
 _LOG = """
 log_lines AS (
@@ -460,9 +487,10 @@ ORACLES: dict[str, str] = {
         greatest(epoch_us(finished_at) - epoch_us(started_at), 0) / 1e6 AS duration_seconds FROM stage_results""",
     ),
     "q_run_status": _with(
-        _RESULTS,
-        f"""SELECT pipeline, run_id, status, strftime(started_at, '{_TIME}') AS started_at,
-        strftime(completed_at, '{_TIME}') AS completed_at, stages, status = 'succeeded' AS succeeded FROM runs""",
+        _RUNS,
+        f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, status,
+        strftime(started_at, '{_TIME}') AS started_at, strftime(completed_at, '{_TIME}') AS completed_at,
+        stages, status = 'succeeded' AS succeeded FROM runs""",
     ),
     "q_run_ids": _with(
         _RESULTS,
@@ -500,43 +528,44 @@ UNION ALL SELECT pipeline, run_id, 'kind', event_type FROM given
 UNION ALL SELECT pipeline, run_id, 'owner', 'x' || event_id FROM given
 UNION ALL SELECT pipeline, run_id, 'reason', props FROM given WHERE event_id % 2 <> 0""",
     "q_run_manifest": _with(
-        _RESULTS,
-        """SELECT pipeline, run_id, row_number() OVER (PARTITION BY pipeline, run_id ORDER BY seq) - 1 AS place,
-        name, outputs, seq = max(seq) OVER (PARTITION BY pipeline, run_id, name) AS "last" FROM stage_results""",
+        _RUNS,
+        f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at,
+        row_number() OVER (PARTITION BY pipeline, run_id, results.run_started_at ORDER BY seq) - 1 AS place, name, outputs,
+        seq = max(seq) OVER (PARTITION BY pipeline, run_id, results.run_started_at, name) AS "last" FROM results""",
     ),
     "q_latest_run": _with(
-        _RESULTS,
-        f"""SELECT pipeline, run_id, status, strftime(started_at, '{_TIME}') AS started_at FROM runs
-        QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY started_at DESC, run_id DESC) = 1""",
+        _RUNS,
+        f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, status, stages FROM runs
+        QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY runs.run_started_at DESC, run_id DESC) = 1""",
     ),
     "q_result_for": _with(
-        _RESULTS,
-        """SELECT pipeline, run_id, seq, status, outputs FROM stage_results WHERE name = 'stage_3'
-        QUALIFY row_number() OVER (PARTITION BY pipeline, run_id ORDER BY seq) = 1""",
+        _RUNS,
+        f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, seq, status, outputs
+        FROM results WHERE name = 'stage_3'
+        QUALIFY row_number() OVER (PARTITION BY pipeline, run_id, results.run_started_at ORDER BY seq) = 1""",
     ),
     "q_results_dedup": _with(
-        _RESULTS, "SELECT pipeline, run_id, name, seq, status, outputs FROM last_results"
+        _RUNS,
+        f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, name, seq, status, outputs
+        FROM last_results""",
     ),
     "q_upstream_outputs": _with(
-        _RESULTS,
-        """, asked AS (
-          SELECT pipeline, run_id, name, 'stage_' || (CAST(name[7:] AS INT) - back) AS dependency
+        _RUNS,
+        f""", asked AS (
+          SELECT pipeline, run_id, run_started_at, name, 'stage_' || (CAST(name[7:] AS INT) - back) AS dependency
           FROM last_results, (VALUES (1), (2)) AS b(back) WHERE CAST(name[7:] AS INT) >= back
         )
-        SELECT a.pipeline, a.run_id, a.name, a.dependency, u.status AS upstream_status, u.outputs AS upstream_outputs
-        FROM asked a LEFT JOIN last_results u
-          ON u.pipeline = a.pipeline AND u.run_id = a.run_id AND u.name = a.dependency""",
+        SELECT a.pipeline, a.run_id, strftime(a.run_started_at, '{_TIME}') AS run_started_at, a.name, a.dependency,
+          u.status AS upstream_status, u.outputs AS upstream_outputs
+        FROM asked a LEFT JOIN last_results u ON u.pipeline = a.pipeline AND u.run_id = a.run_id
+          AND u.run_started_at = a.run_started_at AND u.name = a.dependency""",
     ),
     "q_not_run": _with(
-        _RESULTS,
-        """, by_day AS (
-          SELECT pipeline, run_id || '_' || strftime(started_at, '%Y-%m-%d') AS run_id, name, status FROM stage_results
-        ), day_runs AS (
-          SELECT pipeline, run_id FROM by_day GROUP BY ALL HAVING bool_or(status = 'failed')
-        )
-        SELECT r.pipeline, r.run_id, 'stage_' || n AS name FROM day_runs r, range(6) AS t(n)
-        WHERE NOT EXISTS (
-          SELECT 1 FROM by_day s WHERE s.pipeline = r.pipeline AND s.run_id = r.run_id AND s.name = 'stage_' || n)""",
+        _RUNS,
+        f"""SELECT r.pipeline, r.run_id, strftime(r.run_started_at, '{_TIME}') AS run_started_at, 'stage_' || n AS name
+        FROM runs r, range(6) AS t(n) WHERE r.status IN ('failed', 'running') AND NOT EXISTS (
+          SELECT 1 FROM results s WHERE s.pipeline = r.pipeline AND s.run_id = r.run_id
+            AND s.run_started_at = r.run_started_at AND s.name = 'stage_' || n)""",
     ),
     "q_log_events": _with(
         _LOG,

@@ -432,12 +432,6 @@ def q_stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("run_id", "seq", "name", "duration_seconds")
 
 
-@query
-def q_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = run_history.run_statuses(staging.stage_results(spark, sf_dir))
-    return _text_time(runs, "started_at", "completed_at")
-
-
 @query
 def q_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = staging.stage_results(spark, sf_dir).select(
@@ -465,33 +459,51 @@ def q_run_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_history.run_parameters(staging.run_configs(spark, sf_dir))
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = staging.run_registry(spark, sf_dir)
+    return run_history.with_runs(staging.stage_results(spark, sf_dir), registry)
+
+
+def _statuses(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    starts = run_history.run_starts(staging.run_registry(spark, sf_dir), staging.stage_results(spark, sf_dir))
+    ends = run_history.assign_runs(staging.run_ends(spark, sf_dir), starts, ["ended_at"])
+    return run_history.run_statuses(results, starts, ends)
+
+
+@query
+def q_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of reused ids, told apart by their start, and runs without a result."""
+    runs = _statuses(spark, sf_dir, _results(spark, sf_dir))
+    return _text_time(runs, "run_started_at", "started_at", "completed_at")
+
+
 @query
 def q_run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_history.run_manifest(staging.stage_results(spark, sf_dir))
+    return _text_time(run_history.run_manifest(_results(spark, sf_dir)), "run_started_at")
 
 
 @query
 def q_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = run_history.run_statuses(staging.stage_results(spark, sf_dir))
-    latest = run_history.latest_runs(runs)
-    return _text_time(latest, "started_at").select("pipeline", "run_id", "status", "started_at")
+    latest = run_history.latest_runs(_statuses(spark, sf_dir, _results(spark, sf_dir)))
+    return _text_time(latest, "run_started_at").select("pipeline", "run_id", "run_started_at", "status", "stages")
 
 
 @query
 def q_result_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = run_history.result_for(staging.stage_results(spark, sf_dir), "stage_3")
-    return first.select("pipeline", "run_id", "seq", "status", "outputs")
+    first = run_history.result_for(_results(spark, sf_dir), "stage_3")
+    return _text_time(first, "run_started_at").select("pipeline", "run_id", "run_started_at", "seq", "status", "outputs")
 
 
 @query
 def q_results_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = run_history.last_results(staging.stage_results(spark, sf_dir))
-    return last.select("pipeline", "run_id", "name", "seq", "status", "outputs")
+    last = run_history.last_results(_results(spark, sf_dir))
+    columns = ("pipeline", "run_id", "run_started_at", "name", "seq", "status", "outputs")
+    return _text_time(last, "run_started_at").select(*columns)
 
 
 @query
 def q_upstream_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = staging.stage_results(spark, sf_dir)
+    results = stage_table(_results(spark, sf_dir), "run-results")
     number = F.substring("name", 7, 10).cast("int")
     edges = (
         results.select("pipeline", "name")
@@ -500,16 +512,17 @@ def q_upstream_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("upstream") >= 0)
         .select("pipeline", "name", F.concat(F.lit("stage_"), F.col("upstream").cast("string")).alias("dependency"))
     )
-    return run_history.upstream_outputs(edges, results)
+    return _text_time(run_history.upstream_outputs(edges, results), "run_started_at")
 
 
 @query
 def q_not_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_format("started_at", "yyyy-MM-dd")
-    results = staging.stage_results(spark, sf_dir).withColumn("run_id", F.concat("run_id", F.lit("_"), day))
+    """Planned stages that failed runs, and runs that recorded nothing, did not reach."""
+    results = stage_table(_results(spark, sf_dir), "run-results")
     names = F.explode(F.array(*[F.lit(f"stage_{i}") for i in range(6)]))
     planned = results.select("pipeline").distinct().select("pipeline", names.alias("name"))
-    return run_history.stages_not_run(planned, results)
+    missed = run_history.stages_not_run(planned, results, _statuses(spark, sf_dir, results))
+    return _text_time(missed, "run_started_at")
 
 
 # --- event logs ----------------------------------------------------------------------------------

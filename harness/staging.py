@@ -148,6 +148,35 @@ def stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs known to have begun: an id begins anew at every seventh event, so it has many runs;
+    some events begin a run of their own that records no result."""
+    event = F.col("event_id")
+    pipeline = F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")).alias("pipeline")
+    own = F.concat(F.lit("r"), F.col("user_id").cast("string"))
+    lone = F.concat(F.lit("x"), event.cast("string"))
+    events = table(spark, sf_dir, "events")
+    again = events.where(event % 7 == 0).select(pipeline, own.alias("run_id"), F.col("ts").alias("run_started_at"))
+    alone = events.where(event % 97 == 0).select(pipeline, lone.alias("run_id"), F.col("ts").alias("run_started_at"))
+    return again.union(alone)
+
+
+def run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about the end of runs without results, five seconds after their start."""
+    event = F.col("event_id")
+    said = F.when(event % 2 == 0, "failed").when(event % 3 == 0, "succeeded")
+    return (
+        table(spark, sf_dir, "events")
+        .where((event % 97 == 0) & said.isNotNull())
+        .select(
+            F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")).alias("pipeline"),
+            F.concat(F.lit("x"), event.cast("string")).alias("run_id"),
+            F.timestamp_add("SECOND", F.lit(5), F.col("ts")).alias("ended_at"),
+            said.alias("status"),
+        )
+    )
+
+
 def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run configuration per event, with keys set in several places."""
     event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")

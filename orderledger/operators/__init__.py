@@ -28,12 +28,14 @@ from .rules import (
     validation_report,
 )
 from .run_history import (
+    assign_runs,
     last_results,
     latest_runs,
     result_for,
     run_ids,
     run_manifest,
     run_parameters,
+    run_starts,
     run_statuses,
     stages_not_run,
     unknown_statuses,
@@ -41,6 +43,7 @@ from .run_history import (
     with_durations,
     with_exit_status,
     with_result_defaults,
+    with_runs,
     with_succeeded,
 )
 from .stage_graph import (

@@ -2,20 +2,22 @@
 
 A result table has ``pipeline``, ``run_id``, ``seq`` (order of recording),
 ``name``, ``status``, ``started_at``, ``finished_at``, ``outputs``, ``stderr``,
-``return_code`` and ``source``.
+``return_code`` and ``source``. An id may be used by several runs, one after
+another, so a run is known by its start as well: ``with_runs`` adds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import merge_maps, seconds_between, strip
 from ..sources.numbering import position_in_group
 
-RUN = ("pipeline", "run_id")
+ID = ("pipeline", "run_id")
+RUN = (*ID, "run_started_at")
 
 # The states a stage and a run can be in.
 STAGE_STATUSES = ("pending", "running", "succeeded", "failed", "skipped")
@@ -93,7 +95,7 @@ def run_ids(runs: DataFrame, name: str, backend: str, at: str) -> DataFrame:
     )
 
 
-def run_parameters(configs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
+def run_parameters(configs: DataFrame, keep: Sequence[str] = ID) -> DataFrame:
     """Known parameters, metadata and extra keys as (…, key, value); the later wins.
 
     ``configs`` has the known parameters it sets as columns, and the maps
@@ -107,6 +109,61 @@ def run_parameters(configs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
     return configs.select(*keep, F.explode(merged).alias("key", "value"))
 
 
+def run_starts(registry: DataFrame | None, results: DataFrame) -> DataFrame:
+    """Every run as (pipeline, run_id, run_started_at), once.
+
+    These are the runs of ``registry``, and one for the results of an id that
+    are recorded before its first known start: that run began with the first
+    of them. Results without any time begin at the epoch.
+    """
+    began = F.coalesce(F.min(F.coalesce("started_at", "finished_at")), F.lit(0).cast("timestamp"))
+    kind = results.schema["started_at"].dataType
+    seen = results.groupBy(*ID).agg(began.cast(kind).alias("first"))
+    if registry is None:
+        return seen.withColumnRenamed("first", "run_started_at")
+    known = registry.select(*RUN).where(F.col("run_started_at").isNotNull()).distinct()
+    starts = known.groupBy(*ID).agg(F.min("run_started_at").alias("known"))
+    early = seen.join(starts, [*ID], "left").where(F.col("known").isNull() | (F.col("first") < F.col("known")))
+    return known.union(early.select(*ID, "first"))
+
+
+def assign_runs(records: DataFrame, starts: DataFrame, at: Sequence[str], chunk_seconds: int = 86_400) -> DataFrame:
+    """Add run_started_at: the start of the run of a record's id that began last before it.
+
+    ``at`` are the columns of a record's time, the first that is set counts; a
+    start at the same time is before it. A record without a time belongs to the
+    first run of its id, one of an id without a start to none (null).
+
+    Records and starts meet in chunks of time, so an id that holds much of the
+    table is cut up; one row per chunk and id carries the last start onwards.
+    """
+    time, when = F.coalesce(*at), F.col("_at")
+    chunk = F.floor(F.unix_seconds(when.cast("timestamp")) / chunk_seconds).alias("_chunk")
+    kind = starts.schema["run_started_at"].dataType
+    asked = records.select(*ID, F.struct("*").alias("_record"), time.cast(kind).alias("_at"), F.lit(None).cast(kind).alias("_start"))
+    first = starts.groupBy(*ID).agg(F.min("run_started_at").alias("_first"))
+    nothing = F.lit(None).cast(asked.schema["_record"].dataType).alias("_record")
+    began = starts.select(*ID, nothing, F.col("run_started_at").alias("_at"), F.col("run_started_at").alias("_start"))
+    both = asked.union(began).select("*", chunk)
+    key = [*ID, "_chunk"]
+    before = Window.partitionBy(*ID).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*key).agg(F.max("_start").alias("_start"))
+    carried = carried.select(*key, F.max("_start").over(before).alias("_carried"))
+    # Rows of one time stand together in the frame, so a start counts for a record of its time.
+    within = Window.partitionBy(*key).orderBy("_at")
+    met = both.select(*key, "_record", "_at", F.max("_start").over(within).alias("_within"))
+    found = met.where(F.col("_record").isNotNull()).join(carried, key, "left").join(first, [*ID], "left")
+    return found.select(
+        "_record.*", F.coalesce(F.when(when.isNotNull(), F.coalesce("_within", "_carried")), "_first").alias("run_started_at")
+    )
+
+
+def with_runs(results: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Results with the start of their run; ``registry`` has pipeline, run_id and run_started_at
+    of the runs known to have begun."""
+    return assign_runs(results, run_starts(registry, results), ["started_at", "finished_at"])
+
+
 def last_results(results: DataFrame) -> DataFrame:
     """The last recorded result per run and stage name.
 
@@ -123,8 +180,14 @@ def result_for(results: DataFrame, stage: str) -> DataFrame:
     return of_stage.join(first, [*RUN, "seq"], "left_semi")
 
 
-def run_statuses(results: DataFrame) -> DataFrame:
-    """One row per run: failed if any stage failed, else succeeded; with its time span."""
+def run_statuses(results: DataFrame, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """One row per run: failed if any stage failed, else succeeded; with its time span.
+
+    ``starts`` adds the runs that have no result, ``ends`` (RUN, ended_at, status)
+    what a log or a scheduler says about the end of runs: a run that is said to
+    have failed has failed; one without results has the status said, else it is
+    running.
+    """
     failed = F.max((F.col("status") == "failed").cast("int")) == 1
     runs = results.groupBy(*RUN).agg(
         F.when(failed, "failed").otherwise("succeeded").alias("status"),
@@ -132,21 +195,42 @@ def run_statuses(results: DataFrame) -> DataFrame:
         F.max("finished_at").alias("completed_at"),
         F.count(F.lit(1)).alias("stages"),
     )
+    if starts is not None:
+        runs = runs.join(starts.select(*RUN), [*RUN], "full_outer")
+    if ends is not None:
+        said = ends.groupBy(*RUN).agg(
+            F.max("ended_at").alias("_ended"),
+            F.when(failed, "failed").when(F.count(F.when(F.col("status") == "succeeded", 1)) > 0, "succeeded").alias("_said"),
+        )
+        runs = runs.join(said, [*RUN], "full_outer").withColumns(
+            {
+                "status": F.when(F.col("_said") == "failed", "failed").otherwise(F.coalesce("status", "_said")),
+                "completed_at": F.coalesce(F.greatest("completed_at", "_ended"), "_ended"),
+            }
+        )
+    runs = runs.select(
+        *RUN,
+        F.coalesce("status", F.lit("running")).alias("status"),
+        F.coalesce("started_at", "run_started_at").alias("started_at"),
+        "completed_at",
+        F.coalesce("stages", F.lit(0).cast("long")).alias("stages"),
+    )
     return with_succeeded(runs)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The run started last in each pipeline; of equal starts the greatest run_id."""
-    rest = [c for c in runs.columns if c not in ("pipeline", "started_at", "run_id")]
-    return (
-        runs.groupBy("pipeline")
-        .agg(F.max(F.struct("started_at", "run_id", *rest)).alias("_last"))
-        .select("pipeline", "_last.*")
-    )
+    """The run started last in each pipeline; of equal starts the greatest run_id.
+
+    Times are aggregated by hashing; only runs that tie for the last are put in order.
+    """
+    last = runs.groupBy("pipeline").agg(F.max("run_started_at").alias("run_started_at"))
+    tied = runs.join(last, ["pipeline", "run_started_at"], "left_semi")
+    order = Window.partitionBy("pipeline").orderBy(F.desc("run_id"))
+    return tied.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1).select(*runs.columns)
 
 
 def run_manifest(results: DataFrame) -> DataFrame:
-    """The stages of each run in order: (pipeline, run_id, place, name, outputs).
+    """The stages of each run in order: (pipeline, run_id, run_started_at, place, name, outputs).
 
     The long form of a manifest's ``stages_run`` list, whole for a run of any
     length. ``last`` marks the rows of its ``outputs`` map, which keeps the last
@@ -180,15 +264,21 @@ def upstream_outputs(edges: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def stages_not_run(planned: DataFrame, results: DataFrame) -> DataFrame:
-    """Planned stages (pipeline, name) that a failed run never reached.
+def stages_not_run(planned: DataFrame, results: DataFrame, runs: DataFrame | None = None, salts: int = 32) -> DataFrame:
+    """Planned stages (pipeline, name) that a run which ended badly or not at all never reached.
 
-    A failed run meets each planned stage once: the rows are the run's own
-    results plus the rows returned.
+    ``runs`` are run statuses; those that failed or are running count, by default
+    the failed ones among the results. A run meets each planned stage once: the
+    rows are the run's own results plus the rows returned. A pipeline with many
+    runs is cut up by ``salts``, in each of which its planned stages stand once.
     """
-    failed = run_statuses(results).where(F.col("status") == "failed").select(*RUN)
+    runs = run_statuses(results) if runs is None else runs
+    short = runs.where(F.col("status").isin("failed", "running")).select(*RUN)
+    short = short.withColumn("_salt", F.pmod(F.xxhash64(*RUN), F.lit(salts)).cast("int"))
+    copies = planned.select("pipeline", "name").distinct()
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        failed.join(planned, "pipeline")
+        short.join(copies, ["pipeline", "_salt"])
         .join(results.select(*RUN, "name"), [*RUN, "name"], "left_anti")
         .select(*RUN, "name")
     )

@@ -9,7 +9,9 @@ from orderledger.operators.run_history import (
     result_for,
     run_ids,
     run_manifest,
+    assign_runs,
     run_parameters,
+    run_starts,
     run_statuses,
     stages_not_run,
     unknown_statuses,
@@ -17,6 +19,7 @@ from orderledger.operators.run_history import (
     with_durations,
     with_exit_status,
     with_result_defaults,
+    with_runs,
 )
 
 T0 = datetime(2026, 6, 1, 12)
@@ -31,8 +34,11 @@ def result(run, seq, name, status="succeeded", seconds=1.5, outputs="{}", stderr
     return ("p", run, seq, name, status, start, start + timedelta(seconds=seconds), outputs, stderr, code, source)
 
 
-def frame(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+def frame(spark, rows, registry=None):
+    results = spark.createDataFrame(rows, SCHEMA)
+    if registry is not None:
+        registry = spark.createDataFrame(registry, "pipeline string, run_id string, run_started_at timestamp_ntz")
+    return with_runs(results, registry)
 
 
 def test_durations_exit_codes_and_defaults(spark):
@@ -126,9 +132,61 @@ def test_upstream_and_stages_never_reached(spark):
     got = {(r.run_id, r.name, r.dependency): r.upstream_outputs for r in upstream_outputs(edges, results).collect()}
     assert got == {("r", "b", "a"): "x", ("r", "b", "z"): None, ("q", "b", "a"): "{}", ("q", "b", "z"): None}
     planned = spark.createDataFrame([("p", n) for n in "abc"], "pipeline string, name string")
-    assert [tuple(r) for r in stages_not_run(planned, results).collect()] == [("p", "r", "c")]
+    assert [(r.run_id, r.name) for r in stages_not_run(planned, results).collect()] == [("r", "c")]
 
 
 def test_unknown_statuses(spark):
     results = frame(spark, [result("r", 1, "a"), result("r", 2, "b", "odd"), result("r", 3, "c", None)])
     assert {r.name for r in unknown_statuses(results).collect()} == {"b", "c"}
+
+
+def _at(minutes):
+    return T0 + timedelta(minutes=minutes)
+
+
+def test_runs_of_one_id_are_told_apart_by_their_start(spark):
+    registry = [("p", "r", _at(10)), ("p", "r", _at(20)), ("p", "x", _at(5)), ("p", "y", _at(6))]
+    rows = [result("r", 2, "a"), result("r", 10, "a", "failed"), result("r", 19, "b"), result("r", 20, "a"), result("r", 5000, "b")]
+    results = frame(spark, rows, registry)
+    assert {r.seq: r.run_started_at for r in results.collect()} == {2: _at(2), 10: _at(10), 19: _at(10), 20: _at(20), 5000: _at(20)}
+    raw = spark.createDataFrame(rows, SCHEMA)
+    starts = run_starts(spark.createDataFrame(registry, "pipeline string, run_id string, run_started_at timestamp_ntz"), raw)
+    ended = spark.createDataFrame(
+        [("p", "x", _at(7), "failed"), ("p", "r", _at(25), "succeeded")], "pipeline string, run_id string, ended_at timestamp_ntz, status string"
+    )
+    runs = run_statuses(results, starts, assign_runs(ended, starts, ["ended_at"]))
+    got = {(r.run_id, r.run_started_at): (r.status, r.stages) for r in runs.collect()}
+    assert got == {
+        ("r", _at(2)): ("succeeded", 1), ("r", _at(10)): ("failed", 2), ("r", _at(20)): ("succeeded", 2),
+        ("x", _at(5)): ("failed", 0), ("y", _at(6)): ("running", 0),
+    }
+    [latest] = latest_runs(runs).collect()
+    assert (latest.run_id, latest.run_started_at, latest.status) == ("r", _at(20), "succeeded")
+    assert {(r.run_started_at, r.outputs) for r in result_for(results, "b").collect()} == {(_at(10), "{}"), (_at(20), "{}")}
+    planned = spark.createDataFrame([("p", n) for n in "abc"], "pipeline string, name string")
+    missed = {(r.run_id, r.run_started_at, r.name) for r in stages_not_run(planned, results, runs).collect()}
+    assert missed == {("r", _at(10), "c"), *((i, t, n) for i, t in (("x", _at(5)), ("y", _at(6))) for n in "abc")}
+
+
+def test_assignment_does_not_depend_on_the_chunks(spark):
+    registry = [("p", "r", _at(m)) for m in range(0, 3000, 170)]
+    rows = [result("r", m, "a") for m in range(1, 3000, 13)]
+    starts = run_starts(
+        spark.createDataFrame(registry, "pipeline string, run_id string, run_started_at timestamp_ntz"), spark.createDataFrame(rows, SCHEMA)
+    )
+    for seconds in (60, 3_600, 10**7):
+        got = assign_runs(spark.createDataFrame(rows, SCHEMA), starts, ["started_at"], seconds)
+        assert all(r.run_started_at == _at(r.seq // 170 * 170) for r in got.collect())
+
+
+def test_records_without_a_time_or_start(spark):
+    untimed = ("p", "r", 1, "a", "succeeded", None, None, "{}", "", 0, None)
+    lost = ("p", "q", 2, "a", "succeeded", None, None, "{}", "", 0, None)
+    got = {r.seq: r.run_started_at for r in frame(spark, [untimed, lost, result("r", 5, "b")], [("p", "r", _at(4))]).collect()}
+    assert got == {1: _at(4), 2: datetime(1970, 1, 1), 5: _at(4)}
+    assert frame(spark, []).count() == 0
+
+
+def test_latest_run_hashes(spark):
+    plan = latest_runs(run_statuses(frame(spark, [result("r", 1, "a")])))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
