@@ -2,8 +2,7 @@
 
 A stage table has ``pipeline_id``, ``position`` (place in the list, unique per
 graph), ``name`` and ``dependencies array<string>``. Results are tables, one row
-per finding; only messages are gathered, and only for graphs whose counted
-findings are few.
+per finding; nothing of them is gathered.
 """
 
 from __future__ import annotations
@@ -89,73 +88,81 @@ def orderable_stages(stages: DataFrame) -> DataFrame:
 
 
 def place_stages(stages: DataFrame) -> DataFrame:
-    """Add ``level`` and ``trail`` to the stages of orderable graphs; null if never free.
-
-    ``level`` is the longest path from a stage without dependencies. ``trail``
-    lists the positions along the path of last-placed dependencies; sorting by
-    (level, trail) is the order in which a first-in-first-out ready list would
-    take the stages, so no stage has to be numbered on the way.
-
-    One round per level: the stages freed last meet the edges that wait for
-    them. Each round is a table in the shared folder that the next one reads,
-    and waiting stages are the only rows carried on.
+    """Add ``level`` to the stages of orderable graphs: the longest path from a stage without
+    dependencies; null if the stage is on or behind a cycle.
+
+    Waiting edges say that a stage's level is at least that of the dependency plus the
+    edge's length. In a round the edges to a finished stage become a number, and the edges
+    to a stage that waits for one stage only pass it by, taking its number and the length
+    of its edge along. So lengths double and a chain of n stages ends in about log2(n)
+    rounds; each round reads and stores the edges still waiting. An edge as long as a graph
+    has stages has been round a cycle and is not passed any more.
     """
     spark = stages.sparkSession
-    edges = stage_table(
-        dependency_edges(stages).select(GRAPH, "name", "dependency"), "stage-edges"
-    )
-    folder = scratch_path(spark, "stage-rounds")
-    nothing = F.lit(None).cast("array<int>")
-    waiting = stages.select(
-        GRAPH,
-        "name",
-        F.col("position").cast("int").alias("position"),
-        F.size("dependencies").alias("unmet"),
-        nothing.alias("trail"),
-    )
-    schema = waiting.schema
+    keys = [GRAPH, "name"]
+    kind = "bigint"
+    edges = dependency_edges(stages).select(*keys, "dependency", F.lit(1).cast(kind).alias("value"))
+    roots = stages.select(*keys, F.lit(None).cast("string").alias("dependency"), F.lit(0).cast(kind).alias("value"))
+    done = F.lit(False).alias("done")
+    largest = stages.groupBy(GRAPH).count().agg(F.max("count")).first()[0] or 0
 
-    level = 0
+    folder = scratch_path(spark, "stage-rounds")
+    waiting = stage_table(roots.union(edges).select("*", done), "stage-edges")
+    schema, level = waiting.schema, 0
     while True:
-        path = posixpath.join(folder, f"level={level}")
-        own = F.concat(F.coalesce("trail", F.array().cast("array<int>")), F.array("position"))
-        freed = F.col("unmet") == 0
+        path = posixpath.join(folder, f"round={level}")
         counted = Observation()
-        (
-            waiting.withColumn("trail", F.when(freed, own).otherwise(F.col("trail")))
-            .observe(counted, F.count(F.when(freed, F.lit(1))).alias("freed"))
-            .write.parquet(path)
-        )
-        state = spark.read.schema(schema).parquet(path)
-        if not counted.get["freed"]:
+        _one_round(waiting, largest).observe(
+            counted, F.count(F.when(F.col("done"), 1)).alias("freed"), F.count(F.when(F.col("moved") > 0, 1)).alias("moved")
+        ).drop("moved").write.parquet(path)
+        waiting = spark.read.schema(schema).parquet(path).where(~F.col("done"))
+        if not counted.get["freed"] and not counted.get["moved"]:
             break
-        placed = state.where(freed)
-        met = (
-            edges.join(placed.select(GRAPH, F.col("name").alias("dependency"), "trail"), [GRAPH, "dependency"])
-            .groupBy(GRAPH, "name")
-            .agg(F.count(F.lit(1)).alias("met"), F.max("trail").alias("last"))
-        )
-        waiting = (
-            state.where(~freed)
-            .join(met, [GRAPH, "name"], "left")
-            .select(
-                GRAPH,
-                "name",
-                "position",
-                (F.col("unmet") - F.coalesce("met", F.lit(0))).cast("int").alias("unmet"),
-                F.coalesce("last", "trail").alias("trail"),
-            )
-        )
         level += 1
+    rounds = spark.read.schema(schema).parquet(*[posixpath.join(folder, f"round={k}") for k in range(level + 1)])
+    solved = rounds.where("done").select(*keys, F.col("value").cast("int").alias("level"))
+    return stages.select(*keys, "position", "dependencies").join(solved, keys, "left")
 
-    rounds = spark.read.schema(f"{_ddl(schema)}, level int").parquet(folder)
-    done = rounds.where(F.col("unmet") == 0)
-    stuck = state.withColumns({"trail": nothing, "level": F.lit(None).cast("int")})
-    return done.unionByName(stuck).select(GRAPH, "name", "position", "level", "trail")
 
+def _one_round(waiting: DataFrame, largest: int) -> DataFrame:
+    """Rows of the next round: (pipeline_id, name, dependency, value, done, moved).
 
-def _ddl(schema) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    A row without a dependency says that the level is ``value`` at least, one with
+    ``done`` that it is ``value``.
+    """
+    keys = [GRAPH, "name"]
+    here = F.col("dependency").isNotNull()
+    state = waiting.groupBy(*keys).agg(
+        F.count("dependency").alias("unmet"), F.coalesce(F.max(F.when(~here, F.col("value"))), F.lit(0)).alias("least")
+    )
+    edges = waiting.where(here).select(*keys, "dependency", "value")
+    free = state.where("unmet = 0").select(
+        GRAPH, F.col("name").alias("via"), "least", F.lit(None).cast("string").alias("next"), F.lit(None).cast("bigint").alias("length")
+    )
+    single = state.where("unmet = 1").join(edges.where(F.col("value") < largest), keys)
+    # The stage that a single one waits for may finish in this round; then both levels are known.
+    ahead = free.select(GRAPH, F.col("via").alias("dependency"), F.col("least").alias("known"))
+    single = single.join(ahead, [GRAPH, "dependency"], "left").select(
+        GRAPH,
+        F.col("name").alias("via"),
+        F.greatest("least", F.col("known") + F.col("value")).alias("least"),
+        F.when(F.col("known").isNull(), F.col("dependency")),
+        F.when(F.col("known").isNull(), F.col("value")),
+    )
+    passed = free.union(single)
+    reached = edges.withColumnRenamed("dependency", "via").join(passed, [GRAPH, "via"], "left")
+    nowhere, moved = F.lit(None).cast("string"), F.lit(1)
+    number = F.struct(nowhere.alias("dependency"), (F.col("least") + F.col("value")).alias("value"), moved.alias("moved"))
+    longer = F.struct(F.col("next").alias("dependency"), (F.col("length") + F.col("value")).alias("value"), moved.alias("moved"))
+    same = F.struct(F.col("via").alias("dependency"), F.col("value").alias("value"), F.lit(0).alias("moved"))
+    rows = F.when(F.col("least").isNull(), F.array(same)).when(F.col("next").isNull(), F.array(number)).otherwise(F.array(number, longer))
+    onward = reached.select(*keys, F.inline(rows))
+    own = state.where("unmet > 0").select(*keys, nowhere.alias("dependency"), F.col("least").alias("value"), F.lit(0).alias("moved"))
+    merged = onward.union(own).groupBy(*keys, "dependency").agg(F.max("value").alias("value"), F.max("moved").alias("moved"))
+    finished = state.where("unmet = 0").select(
+        *keys, nowhere.alias("dependency"), F.col("least").alias("value"), F.lit(True).alias("done"), F.lit(0).alias("moved")
+    )
+    return merged.select(*keys, "dependency", "value", F.lit(False).alias("done"), "moved").union(finished)
 
 
 def unresolved_stages(placed: DataFrame) -> DataFrame:
@@ -168,10 +175,50 @@ def stage_levels(placed: DataFrame) -> DataFrame:
     return placed.where(F.col("level").isNotNull()).select(GRAPH, "name", "level")
 
 
-def topological_order(placed: DataFrame) -> DataFrame:
-    """(pipeline_id, name, level, place) for graphs without a cycle, places from 0."""
+def topological_order(placed: DataFrame, most: int = 8) -> DataFrame:
+    """(pipeline_id, name, level, place) for graphs without a cycle, places from 0.
+
+    The order is that of a first-in-first-out ready list: by level, then by the place of
+    the dependency placed last, then by position. Only levels with several stages need an
+    order of their own. A stage's key there is that of its last dependency, if the level
+    below has several stages too, and its position; a key of ``most`` numbers is replaced
+    by its place, so keys stay short however deep a graph is.
+    """
     whole = placed.join(unresolved_stages(placed).select(GRAPH).distinct(), GRAPH, "left_anti")
-    ordered = position_in_group(whole, [GRAPH], ["level", "trail"], "place")
+    wide = whole.groupBy(GRAPH, "level").count().where("count > 1").select(GRAPH, "level")
+    wide = stage_table(wide, "wide-levels")
+    below = wide.select(GRAPH, (F.col("level") + 1).alias("level"), F.lit(True).alias("after_wide"))
+    known = wide.join(below, [GRAPH, "level"], "left")
+    nodes = whole.join(known, [GRAPH, "level"]).select(GRAPH, "name", "level", "position", "dependencies", "after_wide")
+    nodes = stage_table(nodes.repartitionByRange("level").sortWithinPartitions("level"), "wide-stages")
+    spark, folder = placed.sparkSession, scratch_path(placed.sparkSession, "stage-keys")
+    levels = sorted(r[0] for r in wide.select("level").distinct().collect())
+    schema = f"{GRAPH} {placed.schema[GRAPH].dataType.simpleString()}, name string, key array<bigint>"
+    length, keys, last = 0, None, None
+    for level in levels:
+        here = nodes.where(F.col("level") == level)
+        own = F.array(F.col("position").cast("bigint"))
+        if keys is None or last != level - 1:
+            found, length = here.select(GRAPH, "name", own.alias("key")), 1
+        else:
+            asked = here.where("after_wide").select(GRAPH, "name", F.explode("dependencies").alias("dependency"))
+            met = asked.join(keys.select(GRAPH, F.col("name").alias("dependency"), "key"), [GRAPH, "dependency"])
+            met = met.groupBy(GRAPH, "name").agg(F.max("key").alias("key"))
+            before = F.coalesce(F.col("key"), F.array().cast("array<bigint>"))
+            found = here.join(met, [GRAPH, "name"], "left").select(GRAPH, "name", F.concat(before, own).alias("key"))
+            length += 1
+        if length >= most:
+            found = position_in_group(found, [GRAPH], ["key"], "place").select(GRAPH, "name", F.array("place").alias("key"))
+            length = 1
+        path = posixpath.join(folder, f"level={level}")
+        found.write.parquet(path)
+        keys, last = spark.read.schema(schema).parquet(path), level
+    if levels:
+        ranked = spark.read.schema(schema).parquet(*[posixpath.join(folder, f"level={k}") for k in levels])
+        whole = whole.join(ranked, [GRAPH, "name"], "left")
+    else:
+        whole = whole.withColumn("key", F.array().cast("array<bigint>"))
+    ordered = position_in_group(whole.select(GRAPH, "name", "level", "key"), [GRAPH], ["level", "key"], "place")
     return ordered.select(GRAPH, "name", "level", "place")
 
 

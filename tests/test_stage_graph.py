@@ -155,3 +155,44 @@ def test_dependency_lookup_takes_the_first_matching_key(spark, key, found):
         "pipeline_id int, key string, dependencies array<string>",
     )
     assert lookup_dependencies(stages, mapping).collect()[0].dependencies == found
+
+
+def test_a_long_chain_takes_few_rounds(spark, tmp_path):
+    import os
+    import time
+
+    from orderledger.sources.shared import shared_dir
+
+    n = 200
+    chain = [(f"s{i}", [f"s{i - 1}"] if i else []) for i in range(n)]
+    order = random.Random(3).sample(chain, n)
+    ring = [(f"s{i}", [f"s{(i + 1) % 7}"]) for i in range(7)] + [("behind", ["s3", "free"]), ("free", [])]
+    twice = [(f"{c}{i}", [f"{c}{i - 1}"] if i else []) for i in range(12) for c in "ba"]
+    stages = normalized_stages(frame(spark, {1: order, 2: ring, 3: twice}))
+    root, start = shared_dir(spark), time.time()
+    before = set(os.listdir(root))
+    placed = place_stages(orderable_stages(stages)).cache()
+    assert {r.name: r.level for r in placed.where("pipeline_id = 1").collect()} == {f"s{i}": i for i in range(n)}
+    [folder] = [f for f in set(os.listdir(root)) - before if f.startswith("stage-rounds")]
+    assert len(os.listdir(os.path.join(root, folder))) <= 16
+    assert {r.name for r in unresolved_stages(placed).collect()} == {f"s{i}" for i in range(7)} | {"behind"}
+    places = {(r.pipeline_id, r.name): r.place for r in topological_order(placed, most=3).collect()}
+    assert places == {
+        **{(1, f"s{i}"): i for i in range(n)},
+        **{(3, name): k for k, name in enumerate(ready_list_order(twice))},
+    }
+    assert time.time() - start < 60
+
+
+def test_ladders_and_wide_levels(spark):
+    ladder = [(f"s{i}", [f"s{k}" for k in (i - 1, i - 2, i - 5) if k >= 0]) for i in range(30)]
+    wide = [(f"a{i}", []) for i in range(9)] + [(f"b{i}", [f"a{(i * 4) % 9}", f"a{i}"]) for i in range(9)]
+    wide += [(f"c{i}", [f"b{(i * 7) % 9}", f"a{i}"]) for i in range(9)]
+    graphs = {1: ladder, 2: wide, 3: []}
+    placed = place_stages(orderable_stages(normalized_stages(frame(spark, graphs))))
+    got = {}
+    for row in topological_order(placed, most=2).collect():
+        got.setdefault(row.pipeline_id, {})[row.place] = row.name
+    assert {g: [names[i] for i in range(len(names))] for g, names in got.items()} == {
+        g: ready_list_order(stages) for g, stages in graphs.items() if stages
+    }
