@@ -154,7 +154,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMENSIONS + 1, np.int64)
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             texts = [t for t in batch.column(0).to_pylist() if t]
             for part in _slices(texts):
                 total[:-1] += (gram_counts(texts[part]) > 0).sum(axis=0)
@@ -259,7 +259,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             language, score, rejected = classify(batch.column(1).to_pylist(), model)
             columns = [batch.column(0).cast(pa.int64()), pa.array(language, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, PREDICTED.fieldNames())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sources import stage_table
 from .components import components
-from .words import join_hash, mix, split_words, text_slices, windows, word_batch
+from .words import forget_words, join_hash, mix, split_words, text_slices, windows, word_batch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -196,6 +196,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 signatures.append(next(rows).tobytes() if filled else None)
             columns = [batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set_hash", "signature"])
+        forget_words()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(sign, "doc_id long, text_hash long, set_hash binary, signature binary")
@@ -288,6 +289,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFra
             left, right = np.nonzero(linked)
             out.append((node[rows], links, node[rows][_roots(len(rows), left, right)]))
         columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+        forget_words()
         return pa.table([pa.array(c) for c in columns], ["node", "links", "root"])
 
     cell = F.pmod("cell_key", F.lit(cells)).alias("cell")

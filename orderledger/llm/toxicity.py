@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import stage_table
-from .words import text_slices
+from .words import forget_words, text_slices
 
 #: Labelled documents, toxic and clean, that the classifier is fitted on, about.
 FIT_ROWS = {1: 5_000, 0: 15_000}
@@ -55,7 +55,7 @@ _LEET = str.maketrans("0134578@$", "oieastbas")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def fold(word: str) -> str:
     """Lower-case letters of a word; digits between letters read as the letters they look like."""
     word = word.lower()
@@ -253,7 +253,7 @@ class WordScores(dict):
         self.starts: set[str] = set()
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
             self.starts.clear()
         new = [w for w in words if w not in self]
@@ -314,13 +314,13 @@ def margins(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model)
-        for batch in batches:
-            out = []
-            for k in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(1).slice(k, 500).to_pylist()]
-                scores.learn(_distinct_words(texts))
-                out += map(scores.best, texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.float64())], ["doc_id", "margin"])
+        for batch in text_slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            scores.learn(_distinct_words(texts))
+            out = pa.array(map(scores.best, texts), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), out], ["doc_id", "margin"])
+        fold.cache_clear()
+        forget_words()
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("margin", T.DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(rate, schema)
@@ -383,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, most=500_000):
             texts = batch.column(1).to_pylist()
             found = []
             for text in texts:
@@ -393,6 +393,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
             marks = pa.array(map(word_marks, texts), pa.list_(pa.int64()))
             columns = [batch.column(0), marks, pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "marks", "units"])
+        fold.cache_clear()
+        forget_words()
 
     read = chosen.select("toxic", "text").mapInArrow(units, "toxic int, marks array<long>, units array<string>")
     read = stage_table(read, "toxic-documents")
@@ -532,5 +534,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             logit = [model.slope * max(scores.best(t), -3.0) + model.shift for t in texts]
             clean = [1 / (1 + math.exp(-min(x, 700.0))) < TOXIC_FROM if x > -700 else True for x in logit]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        fold.cache_clear()
+        forget_words()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,7 +19,7 @@ class _Hashes(dict):
     """Word -> hash, remembered by the worker up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -30,6 +30,13 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget_words() -> None:
+    """Empty the remembered hashes, and give Arrow's unused memory back: a worker serves many
+    stages, and a task that is over leaves it nothing."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = (values ^ (values >> _SHIFT)) * _P2

@@ -49,6 +49,23 @@ def test_one_of_each_with_awkward_rows(spark):
     assert got.columns == frame(spark, made, extra=True).columns
 
 
+def test_a_worker_is_left_with_empty_caches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        import pyarrow as pa
+
+        from orderledger.llm import toxicity, words
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(words._hashes) + toxicity.fold.cache_info().currsize])], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for keep in (language.keep_accepted, near_duplicates.one_of_each, packing.pack_documents):
