@@ -9,31 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from orderledger.llm import language, near_duplicates, packing, secret_scan, toxicity
 from orderledger.sources import stage_table
 
+#: Bytes of rows that go to a Python worker at a time. Texts are long, and a worker, the JVM's
+#: buffers and the way back hold several copies of a batch.
+BATCH_BYTES = "4m"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel SVM predicts to be toxic go."""
+    _small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents far from all language centroids, or without a letter, go."""
+    _small_batches(spark)
     return language.keep_accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays."""
+    _small_batches(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mask."""
+    _small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences of at most 2048 tokens."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 
