@@ -278,7 +278,9 @@ _TIME = "%Y-%m-%d %H:%M:%S.%g"
 ORACLES: dict[str, str] = {
     "q_scan_orders": _with(
         _RAW_ORDERS,
-        """SELECT order_id, customer_name, region, product, nullif(quantity, '') AS quantity,
+        """SELECT order_id, CASE WHEN CAST(order_id AS BIGINT) % 31 = 0
+          THEN customer_name || chr(10) || ' "second" line,' ELSE customer_name END AS customer_name,
+        region, product, nullif(quantity, '') AS quantity,
         nullif(unit_price, '') AS unit_price, nullif(order_date, '') AS order_date FROM raw_orders""",
     ),
     "q_record_numbers": _with(

@@ -26,9 +26,9 @@ from orderledger.sources import (
     CLEAN_COLUMNS,
     REGION_COLUMNS,
     REQUIRED_COLUMNS,
-    number_file_records,
     parse_log_lines,
     read_clean_orders,
+    read_numbered_orders,
     read_raw_orders,
     scratch_path,
     stage_table,
@@ -60,9 +60,15 @@ def _text_time(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def q_scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two column orders, some records of which have line breaks inside quotes."""
     path = scratch_path(spark, "scan-orders")
-    write_csv(staging.raw_orders(spark, sf_dir), path, REQUIRED_COLUMNS)
-    return read_raw_orders(spark, path).select(
+    rows = staging.raw_orders(spark, sf_dir)
+    key = F.col("order_id").cast("bigint")
+    broken = F.when(key % 31 == 0, F.concat("customer_name", F.lit('\n "second" line,')))
+    rows = rows.withColumn("customer_name", F.coalesce(broken, "customer_name"))
+    write_csv(rows.where(key % 2 == 0), f"{path}/first", REQUIRED_COLUMNS)
+    write_csv(rows.where(key % 2 == 1), f"{path}/second", REQUIRED_COLUMNS[::-1])
+    return read_raw_orders(spark, [f"{path}/first", f"{path}/second"]).select(
         *[F.nullif(F.col(c), F.lit("")).alias(c) for c in REQUIRED_COLUMNS]
     )
 
@@ -72,7 +78,7 @@ def q_record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "record-numbers")
     write_csv(staging.raw_orders(spark, sf_dir), path, REQUIRED_COLUMNS)
     files = (
-        number_file_records(read_raw_orders(spark, path))
+        read_numbered_orders(spark, path)
         .groupBy("source_file")
         .agg(
             F.count(F.lit(1)).alias("n"),

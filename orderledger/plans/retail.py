@@ -29,7 +29,7 @@ from ..sources.orders import (
     CLEAN_COLUMNS,
     REGION_COLUMNS,
     REQUIRED_COLUMNS,
-    read_raw_orders,
+    read_numbered_orders,
     write_csv,
 )
 from ..sources.shared import stage_table
@@ -105,7 +105,7 @@ def run_retail(
     raw_path: str,
     out_dir: str,
     strict: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> dict[str, str]:
     """Read raw CSV, write every output below ``out_dir`` and return the paths.
 
@@ -113,7 +113,7 @@ def run_retail(
     that, each only its columns.
     """
     raw = stage_table(
-        number_file_records(read_raw_orders(spark, raw_path, multi_line)), "raw-orders"
+        read_numbered_orders(spark, raw_path, multi_line), "raw-orders"
     )
     frames = retail_frames(raw, strict=strict)
     breakdown = stage_table(frames.breakdown, "breakdown")

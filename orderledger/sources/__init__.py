@@ -10,10 +10,12 @@ from .orders import (
     REQUIRED_COLUMNS,
     has_multiline_records,
     read_clean_orders,
+    read_numbered_orders,
     read_raw_orders,
     with_required_columns,
     write_csv,
 )
+from .records import csv_records, file_outlines, parse_records
 from .shared import pin_partitions, scratch_path, shared_dir, stage_table
 
 __all__ = [
@@ -21,13 +23,17 @@ __all__ = [
     "FILE_COLUMN",
     "REGION_COLUMNS",
     "REQUIRED_COLUMNS",
+    "csv_records",
+    "file_outlines",
     "has_multiline_records",
     "number_file_records",
     "parse_log_lines",
     "pin_partitions",
     "position_in_group",
     "read_clean_orders",
+    "parse_records",
     "read_log_lines",
+    "read_numbered_orders",
     "read_raw_orders",
     "recorded_path",
     "scratch_path",

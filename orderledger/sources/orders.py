@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbering import FILE_COLUMN, number_file_records
+from .records import csv_records, file_outlines, parse_records
+
 # The raw columns in rule order.
 REQUIRED_COLUMNS = (
     "order_id",
@@ -71,15 +75,52 @@ def with_required_columns(df: DataFrame) -> DataFrame:
 
 
 def read_raw_orders(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None
 ) -> DataFrame:
     """Scan raw order files, every column text, absent required columns null.
 
-    Files with line breaks inside quotes need ``multi_line=True`` and are then
-    read whole, one task per file. ``has_multiline_records`` tells, by one pass
-    over the text.
+    One pass over the text first finds the files' headers and open quotes. Files
+    are then scanned together by header, so columns are found by name in each,
+    and files with line breaks inside quotes are read in splits all the same
+    (``csv_records``). A caller who knows that all files have one header saves
+    the pass: with ``multi_line=False`` if no record has a line break, or with
+    ``multi_line=True``, which reads each file whole in one task.
     """
-    return with_required_columns(_csv(spark, path, multi_line))
+    if multi_line is not None:
+        return with_required_columns(_csv(spark, path, multi_line))
+    scans = _scans(spark, path, numbered=False)
+    return with_required_columns(reduce(_union, scans))
+
+
+def read_numbered_orders(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None) -> DataFrame:
+    """``read_raw_orders`` with source_file and row_number, the header being record 1."""
+    if multi_line is not None:
+        return with_required_columns(number_file_records(_csv(spark, path, multi_line)))
+    return with_required_columns(reduce(_union, _scans(spark, path, numbered=True)))
+
+
+def _union(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+def _scans(spark: SparkSession, path: str | Sequence[str], numbered: bool) -> list[DataFrame]:
+    """A scan for each header, and one more if some of its files have line breaks in quotes."""
+    paths = [path] if isinstance(path, str) else list(path)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file, header, broken in file_outlines(spark, paths):
+        groups.setdefault((header, broken), []).append(file)
+    scans = []
+    for (header, broken), files in sorted(groups.items()):
+        if broken:
+            rows = parse_records(csv_records(spark, files), header)
+            scans.append(rows if numbered else rows.drop(FILE_COLUMN, "row_number"))
+        else:
+            rows = _csv(spark, paths if len(groups) == 1 else files, False)
+            scans.append(number_file_records(rows) if numbered else rows)
+    if scans:
+        return scans
+    rows = _csv(spark, paths, False)
+    return [number_file_records(rows) if numbered else rows]
 
 
 def read_clean_orders(

@@ -11,6 +11,7 @@ from orderledger.sources import (
     has_multiline_records,
     number_file_records,
     position_in_group,
+    read_numbered_orders,
     read_raw_orders,
     recorded_path,
     shared_dir,
@@ -40,7 +41,7 @@ def test_columns_are_found_by_name_and_absent_ones_are_null(spark, tmp_path):
     path.write_text("unit_price,order_id\n1.5,A\n", encoding="utf-8")
     [row] = read_raw_orders(spark, str(path)).collect()
     assert (row.order_id, row.unit_price, row.region) == ("A", "1.5", None)
-    [row] = number_file_records(read_raw_orders(spark, str(path))).collect()
+    [row] = read_numbered_orders(spark, str(path)).collect()
     assert (row.order_id, row.region, row.row_number) == ("A", None, 2)
     empty = tmp_path / "empty.csv"
     empty.write_text("", encoding="utf-8")
@@ -49,12 +50,44 @@ def test_columns_are_found_by_name_and_absent_ones_are_null(spark, tmp_path):
     assert {r.blanks for r in blank_counts(scanned).collect()} == {0}
 
 
-def test_files_with_other_headers_are_an_error_not_a_shift(spark, tmp_path):
+def test_columns_are_found_by_name_in_every_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(csv_text(SAMPLE_ORDERS), encoding="utf-8")
     turned = csv_text([r[::-1] for r in SAMPLE_ORDERS], ORDER_FIELDS[::-1])
-    (tmp_path / "b.csv").write_text(turned, encoding="utf-8")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_raw_orders(spark, str(tmp_path)).collect()
+    (tmp_path / "b c.csv").write_text(turned, encoding="utf-8")
+    (tmp_path / "d.csv").write_text("\ufefforder_id,note\r\nX,n\r\n", encoding="utf-8")
+    got = read_numbered_orders(spark, str(tmp_path))
+    rows = [tuple(r) for r in got.select(*ORDER_FIELDS, "row_number").collect()]
+    expected = [(*map(lambda v: v or None, r), n) for n, r in enumerate(SAMPLE_ORDERS, start=2)] * 2
+    assert sorted(rows, key=repr) == sorted([*expected, ("X", *[None] * 6, 2)], key=repr)
+    assert read_raw_orders(spark, str(tmp_path)).where("note = 'n'").count() == 1
+
+
+def test_records_with_line_breaks_are_read_in_splits(spark, tmp_path):
+    rows = []
+    for i in range(3000):
+        name = [f"plain{i}", f'two\nlines "{i}"', f"a\n\nb,{i}", '"', "tail\n"][i % 5]
+        rows.append((str(i), name, "r", "p" * (i % 40), "1", "1", "2026-06-01"))
+    text = csv_text(rows[:1500]) + "\n \n" + "".join(csv_text(rows[1500:]).splitlines(True)[1:])
+    (tmp_path / "broken.csv").write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "plain.csv").write_text(csv_text(SAMPLE_ORDERS), encoding="utf-8")
+    expected = [(f, n, tuple(row[c] or None for c in ORDER_FIELDS)) for f in ("broken", "plain")
+                for n, row in enumerate((r for r in rows_of(tmp_path / f"{f}.csv") if (r["order_id"] or "").strip()), start=2)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = read_numbered_orders(spark, str(tmp_path))
+        found = [(r.source_file.rsplit("/", 1)[1][:-4], r.row_number, tuple(r[c] for c in ORDER_FIELDS)) for r in got.collect()]
+        assert read_raw_orders(spark, str(tmp_path)).count() == len(expected)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(found) == sorted(expected)
+
+
+def test_a_stray_quote_is_reported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("orderledger.sources.records.MOST_LINES", 50)
+    lines = ["order_id,region", "1,a", '2,"b', *(f"{i},c" for i in range(3, 200))]
+    (tmp_path / "stray.csv").write_text("\n".join(lines), encoding="utf-8")
+    with pytest.raises(ValueError, match="record 3 of .*stray.csv.*quote"):
+        read_raw_orders(spark, str(tmp_path))
 
 
 def test_quotes_decide_how_files_are_read(spark, tmp_path):
@@ -73,7 +106,7 @@ def test_record_numbers_over_many_files_and_splits(spark, tmp_path):
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
         spark.conf.set("spark.sql.files.openCostInBytes", "100")
-        raw = read_raw_orders(spark, str(tmp_path))
+        raw = read_raw_orders(spark, str(tmp_path), multi_line=False)
         assert raw.rdd.getNumPartitions() > 10
         numbered = number_file_records(raw)
         wrong = numbered.where(
