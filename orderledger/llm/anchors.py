@@ -33,7 +33,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|num|id))?\.?\x20?[:=#]?\x20?([A-Z]{2}[0-9]{2}[\x20]?(?:[A-Z0-9]{4}[\x20]?){2,7}[A-Z0-9]{0,4}|[0-9](?:[\x20-]?[0-9]){5,17})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|num|id))?\.?\x20?[:=#]?\x20?([A-Z]{2}[0-9]{2}[\x20]?(?:[A-Z0-9]{4}[\x20]?){2,7}[A-Z0-9]{0,4}|[0-9](?:[\x20-]?[0-9]){5,17}|(?<![A-Za-z0-9])(?=(?:[A-Z]*[0-9]){4})[A-Z][A-Z0-9]{5,17})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s/@]+@[A-Za-z0-9.-]+")
 _DIGITS = frozenset("0123456789")
@@ -60,7 +60,7 @@ def _digits(text: str) -> str:
 
 
 def build_automaton() -> ahocorasick.Automaton:
-    """Anchors: single characters, the scheme mark, and the cues in three spellings."""
+    """Anchors: single characters, the scheme mark, and the cues, for texts with A-Z in lower case."""
     automaton = ahocorasick.Automaton()
     for char in _DIGITS:
         automaton.add_word(char, "digit")
@@ -68,12 +68,21 @@ def build_automaton() -> ahocorasick.Automaton:
     automaton.add_word("+", "plus")
     automaton.add_word("://", "scheme")
     for cue in CUES:
-        for spelling in (cue, cue.capitalize(), cue.upper()):
-            automaton.add_word(spelling, "cue")
+        automaton.add_word(cue, cue)
     automaton.make_automaton()
     return automaton
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _lowered(text: str) -> str:
+    """A-Z in lower case and nothing else changed, so that all offsets hold."""
+    if text.isascii():
+        return text.lower()
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+
+
 class AnchorScanner:
     """Finds spans in one text; `base` are those of the fixed patterns, `added` the others."""
 
@@ -85,7 +94,7 @@ class AnchorScanner:
         added: list[Span] = []
         ends = {"email": 0, "ip": 0, "card": 0, "phone": 0}
         ip_run = card_run = iban_run = 0
-        for last, anchor in self.automaton.iter(text):
+        for last, anchor in self.automaton.iter(_lowered(text)):
             if anchor == "digit":
                 # Only the first digit of a run can begin a match: the rest of the run would
                 # have to end at the same place.
@@ -103,7 +112,7 @@ class AnchorScanner:
             elif anchor == "scheme":
                 self._scheme(text, last + 1, added)
             else:
-                self._account(text, last, added)
+                self._account(text, last - len(anchor) + 1, last, added)
         return base, added
 
     @staticmethod
@@ -151,7 +160,7 @@ class AnchorScanner:
     @staticmethod
     def _scheme(text: str, at: int, added: list[Span]) -> None:
         """The login in an address such as ftp://user:word@host."""
-        match = _USERINFO.match(text, at, at + 512)
+        match = _USERINFO.match(text, at)
         if match is not None:
             added.append(Span("address", at, match.end()))
 
@@ -171,8 +180,10 @@ class AnchorScanner:
         return at + 1
 
     @staticmethod
-    def _account(text: str, last: int, added: list[Span]) -> None:
+    def _account(text: str, start: int, last: int, added: list[Span]) -> None:
         """A number that follows a cue word; the cue may not be part of a longer word."""
+        if start and text[start - 1].isalnum():
+            return
         match = _ACCOUNT.match(text, last + 1)
         if match is not None and not any(a.start < match.end(1) and match.start(1) < a.end for a in added[-4:]):
             added.append(Span("account", *match.span(1)))

@@ -67,3 +67,29 @@ def test_awkward_rows(spark):
     got = rows(personal_data(frame(spark, docs, extra=True)))
     assert [r["spans"] for r in got] == ["", "", "email:0:6", "", "", ""]
     assert personal_data(frame(spark, [])).count() == 0
+
+
+def test_added_spans_after_cues_in_any_spelling_and_with_borders():
+    scanner = AnchorScanner()
+
+    def added(text):
+        return [(s.kind, text[s.start : s.end]) for s in scanner.scan(text)[1]]
+
+    for text in ("Customer ID 12345678", "Tax ID: 12345678", "USER id 12345678", "é Konto: 12345678", "passport 12345678"):
+        assert added(text) == [("account", "12345678")], text
+    assert added("passport C01X00T47") == [("account", "C01X00T47")]
+    for text in ("Falkonto 12345678", "misaccount: 12345678", "1konto 12345678", "account HOLDERS", "accounting 12345678"):
+        assert added(text) == [], text
+    login = "ftp://" + "u" * 5000 + ":" + "p" * 5000 + "@host.example.org"
+    assert added(f"see {login} now") == [("address", login[6:])]
+    assert added("İİ account 12345678") == [("account", "12345678")]
+
+
+def test_added_spans_by_brute_force_over_made_texts():
+    pick, scanner = random.Random(8), AnchorScanner()
+    cue = re.compile(r"(?<![^\W_])(?:account|konto|ssn|tax id)(?:\x20?(?:number|no|nr|num|id))?\.?\x20?[:=#]?\x20?([0-9](?:[\x20-]?[0-9]){5,17}|(?-i:(?<![A-Za-z0-9])(?=(?:[A-Z]*[0-9]){4})[A-Z][A-Z0-9]{5,17}))(?![A-Za-z0-9])", re.I)
+    parts = ["account", "Konto", "SSN", "Tax ID", " ", ": ", "#", "123456", "12 34-56", "x", "é", "no", ".", "77", "\n"]
+    for _ in range(20_000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 7)))
+        expected = [m.span(1) for m in cue.finditer(text)]
+        assert [(s.start, s.end) for s in scanner.scan(text)[1]] == expected, text
