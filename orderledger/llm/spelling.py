@@ -32,7 +32,7 @@ SAMPLE_WORDS, CELL_WORDS = 200_000, 2_000
 BLOCK_WORDS = 8_192
 _BLOCK_LETTERS, _QUERIES_PER_TASK = 4_000_000, 100_000
 _LEAF = 64
-_DIMENSIONS = 32
+_DIMENSIONS, _MOST = 32, 127
 # Shorter runs are no words; a longer run is taken whole.
 _RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_LETTERS)
 
@@ -94,14 +94,17 @@ def _batch(total: Counter) -> pa.RecordBatch:
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
-    """One row per word: its code points by dimension; letters beyond a-z share six."""
+    """One row per word: its code points by dimension; letters beyond a-z share six.
+
+    Counts end at 127. That moves no two words apart, so no pair is lost; letters decide.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     latin = (points >= 97) & (points <= 122)
     dimension = np.where(latin, points - 97, 26 + points % 6)
     row = np.repeat(np.arange(len(words)), lengths)
     flat = np.bincount(row * _DIMENSIONS + dimension, minlength=len(words) * _DIMENSIONS)
-    return flat.reshape(-1, _DIMENSIONS).astype(np.int32)
+    return np.minimum(flat, _MOST).reshape(-1, _DIMENSIONS).astype(np.int8)
 
 
 class Cells(NamedTuple):
@@ -129,7 +132,7 @@ class Cells(NamedTuple):
         """(point, leaf) of all leaves that hold points with up to `up` counts more and `down` less."""
         found_point, found_leaf = [], []
         n = len(points)
-        stack = [(0, np.arange(n), np.zeros((n, 2), np.int16), {})]
+        stack = [(0, np.arange(n), np.zeros((n, 2), np.int8), {})]
         while stack:
             node, who, spent, box = stack.pop()
             if not len(who):
@@ -139,13 +142,13 @@ class Cells(NamedTuple):
                 found_point.append(who)
                 found_leaf.append(np.full(len(who), self.leaf[node]))
                 continue
-            low, high = box.get(d, (0, 1 << 30))
-            value, cut = points[who, d], self.cut[node]
+            low, high = box.get(d, (0, _MOST))
+            value, cut = points[who, d], int(self.cut[node])
             for child, new_low, new_high in ((node + 1, low, min(high, cut)), (self.right[node], max(low, cut + 1), high)):
                 # What this dimension costs in the parent's box and in the child's.
                 less = np.maximum(value - new_high, 0) - np.maximum(value - high, 0)
                 more = np.maximum(new_low - value, 0) - np.maximum(low - value, 0)
-                total = spent + np.stack([less, more], axis=1)
+                total = spent + np.stack([less, more], axis=1, dtype=np.int8)
                 near = (total[:, 0] <= down) & (total[:, 1] <= up)
                 stack.append((child, who[near], total[near], {**box, d: (new_low, new_high)}))
         if not found_point:
@@ -251,12 +254,14 @@ def near_pairs(queries: list[str], words: list[str], longer: bool, ordered: bool
         for k in range(start, end, 4_096):
             here = who[k : min(end, k + 4_096)]
             own = asked[here]
-            boxed = (np.maximum(own - high, 0).sum(axis=1) <= down) & (np.maximum(low - own, 0).sum(axis=1) <= up)
+            boxed = np.maximum(own - high, 0).sum(axis=1, dtype=np.int16) <= down
+            boxed &= np.maximum(low - own, 0).sum(axis=1, dtype=np.int16) <= up
             here = here[boxed]
             flipped = np.bitwise_count(asked_marks[here][:, None] ^ marks[there][None, :])
             first, second = np.nonzero(flipped <= down + up)
             change = points[there[second]] - asked[here[first]]
-            fits = (np.maximum(-change, 0).sum(axis=1) <= down) & (np.maximum(change, 0).sum(axis=1) <= up)
+            fits = np.maximum(-change, 0).sum(axis=1, dtype=np.int16) <= down
+            fits &= np.maximum(change, 0).sum(axis=1, dtype=np.int16) <= up
             first, second = here[first[fits]], there[second[fits]]
             right = (one_inserted if longer else one_replaced)(asked_spelt[first], spelt[second])
             for i, j in zip(first[right].tolist(), second[right].tolist()):
@@ -299,7 +304,7 @@ _PLACED = T.StructType(
 #: Rows of a cell: words at home there; queries for words of their length, at home there too
 #: or in a cell before it; queries for words longer by one.
 _HOME, _OWN, _SAME, _LONGER = range(4)
-_ONE = grow(np.zeros((0, _DIMENSIONS), np.int32), 1)[0]
+_ONE = grow(np.zeros((0, _DIMENSIONS), np.int8), 1)[0]
 
 
 def _places(trees: dict[int, tuple[Cells, int]], what: int):
