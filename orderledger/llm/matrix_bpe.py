@@ -72,7 +72,7 @@ class PairTable:
 class MatrixBpe:
     """Encoder and decoder over one rank file."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         with open(path, "rb") as file:
             self.ids = {base64.b64decode(text): int(rank) for text, rank in map(bytes.split, file)}
         pairs = {}
@@ -93,9 +93,9 @@ class MatrixBpe:
 
     # --- matrices ---------------------------------------------------------------------------
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of non-empty byte strings, each merged on its own."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids, as little-endian 32-bit integers, of non-empty byte strings, each merged on its own."""
+        out = [b""] * len(pieces)
         buckets = defaultdict(list)
         for i, piece in enumerate(pieces):
             buckets[max(2, (len(piece) - 1).bit_length())].append(i)
@@ -107,21 +107,23 @@ class MatrixBpe:
                     out[i] = ids
         return out
 
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         columns = np.arange(width)
         tokens = np.full((len(pieces), width), -1, np.int64)
         tokens[columns < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = np.full(tokens.shape, _NONE)
         ranks[:, :-1] = self.pairs.find(tokens[:, :-1], tokens[:, 1:])
-        out: list[np.ndarray | None] = [None] * len(pieces)
+        out = [b""] * len(pieces)
         place = np.arange(len(pieces))
         while len(place):
             best = ranks.min(axis=1)
             done = best == _NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    out[place[i]] = tokens[i, : lengths[i]].copy()
+                row = 4 * tokens.shape[1]
+                ids = tokens[done].astype("<u4").tobytes()
+                for k, (i, n) in enumerate(zip(place[done].tolist(), lengths[done].tolist())):
+                    out[i] = ids[k * row : k * row + 4 * n]
                 on = ~done
                 place, tokens, ranks, lengths, best = place[on], tokens[on], ranks[on], lengths[on], best[on]
                 if not len(place):
@@ -216,7 +218,7 @@ class MatrixBpe:
         merged = defaultdict(list)
         for piece, ids in zip(owner, self.merge(cut)):
             merged[piece].append(ids)
-        out.update((piece, np.concatenate(ids).astype("<u4").tobytes()) for piece, ids in merged.items())
+        out.update((piece, ids[0] if len(ids) == 1 else b"".join(ids)) for piece, ids in merged.items())
         return out
 
     def _uncrossed(self, raw: bytes) -> list[bytes]:
@@ -250,9 +252,13 @@ class MatrixBpe:
             rests |= new
             if parts[0] not in self.first:
                 heads.add(parts[0])
-        split = {key: [p for p, _ in self.split(key)] for key in (*heads, *(" " + p for p in rests), *whole)}
+        # Letters alone are one pre-token, with the blank before them.
+        split = {p: [p] if p.isalpha() else [x for x, _ in self.split(p)] for p in (*heads, *whole)}
+        split.update((" " + p, [" " + p] if p.isalpha() else [x for x, _ in self.split(" " + p)]) for p in rests)
         ids = self.pieces_ids({p for pieces in split.values() for p in pieces})
-        found = {key: b"".join(map(ids.__getitem__, pieces)) for key, pieces in split.items()}
+        found = {
+            key: ids[pieces[0]] if len(pieces) == 1 else b"".join(map(ids.__getitem__, pieces)) for key, pieces in split.items()
+        }
         self.first.update((p, found[p]) for p in heads)
         self.later.update((p, found[" " + p]) for p in rests)
         out = []
