@@ -253,7 +253,7 @@ class WordScores(dict):
         self.starts: set[str] = set()
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self) >= 100_000:
+        if len(self) >= 300_000:
             self.clear()
             self.starts.clear()
         new = [w for w in words if w not in self]
