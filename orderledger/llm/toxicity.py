@@ -55,7 +55,7 @@ _LEET = str.maketrans("0134578@$", "oieastbas")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=150_000)
 def fold(word: str) -> str:
     """Lower-case letters of a word; digits between letters read as the letters they look like."""
     word = word.lower()
@@ -253,7 +253,7 @@ class WordScores(dict):
         self.starts: set[str] = set()
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self) >= 300_000:
+        if len(self) >= 400_000:
             self.clear()
             self.starts.clear()
         new = [w for w in words if w not in self]
