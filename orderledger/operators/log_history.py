@@ -39,11 +39,12 @@ def attribute_events(events: DataFrame, chunk_lines: int = _CHUNK_LINES) -> Data
     start, as one id can be used again. Order is line order: log times are
     local, so they tie and can step back, while lines are written in turn.
 
-    A log is cut into chunks of ``chunk_lines`` line numbers. One look back runs
-    inside each chunk and one over the chunks of a log, a row each, so no task
-    sorts a whole log. Events that name a run, two per run, look back among those
-    of their id. ``events`` is read four times, twice for a few narrow columns:
-    give it a stored table, not text still to be parsed.
+    A log is cut into chunks of ``chunk_lines`` line numbers. A look back runs inside
+    each chunk, over all lines for the unnamed events and by id for the named ones; what a
+    chunk hands on is one narrow row per log, and one per log and id it names. So no
+    task sorts a whole log, even where one id is in all of it. ``events`` is read six
+    times, four of them for a few narrow columns: give it a stored table, not text still
+    to be parsed.
     """
     started = F.col("message") == _STARTED
     marked = events.where(F.col("message").isin(*RUN_MESSAGES)).withColumn(
@@ -73,11 +74,35 @@ def attribute_events(events: DataFrame, chunk_lines: int = _CHUNK_LINES) -> Data
     )
     kept = [c for c in events.columns if c != "run_id"]
     named = F.col("run_id").isNotNull()
-    of_id = Window.partitionBy("log_file", "run_id").orderBy("line_no")
+    by_id = [*chunk, "run_id"]
+    start_line = F.when(started & F.col("ts").isNotNull(), F.col("line_no"))
+    handed_on = (
+        marked.where(named)
+        .groupBy(*by_id)
+        .agg(F.max_by("ts", start_line).alias("_start"))
+        .select(
+            *by_id,
+            F.last("_start", ignorenulls=True)
+            .over(
+                Window.partitionBy("log_file", "run_id")
+                .orderBy("_chunk")
+                .rowsBetween(Window.unboundedPreceding, -1)
+            )
+            .alias("_before"),
+        )
+        .where(F.col("_before").isNotNull())
+    )
     own_start = F.last(F.when(started, F.col("ts")), ignorenulls=True).over(
-        of_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by_id)
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    own = (
+        marked.where(named)
+        .withColumn("_own", own_start)
+        .join(handed_on, by_id, "left")
+        .select(*kept, "run_id", F.coalesce("_own", "_before").alias("run_started_at"))
     )
-    own = marked.where(named).select(*kept, "run_id", own_start.alias("run_started_at"))
     others = (
         marked.withColumn("_latest", so_far)
         .where(~named)

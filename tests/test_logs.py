@@ -72,3 +72,23 @@ def test_attribution_equals_a_plain_look_back(spark):
     for size in (1, 20_000, 10**7):
         got = {(r.log_file, r.line_no): (r.run_id, r.run_started_at) for r in attribute_events(events, size).collect()}
         assert got == expected
+
+
+def test_a_hot_id_looks_back_across_chunks(spark):
+    rng = random.Random(5)
+    rows, expected, starts = [], {}, {}
+    at = datetime(2026, 1, 1)
+    for line in sorted(rng.sample(range(10**6), 2000)):
+        at += timedelta(milliseconds=rng.choice([-3, 0, 7]))
+        own = rng.choice(["hot", "hot", "rare", "never"])
+        started = own != "never" and rng.random() < (0.02 if own == "hot" else 0.2)
+        ts = None if rng.random() < 0.05 else at
+        if started and ts:
+            starts[own] = ts
+        rows.append(("log", line, ts, "Pipeline started" if started else "Pipeline failed", own))
+        expected[line] = (own, starts.get(own))
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "log_file string, line_no bigint, ts timestamp_ntz, message string, run_id string")
+    for size in (1, 5_000, 10**7):
+        got = {r.line_no: (r.run_id, r.run_started_at) for r in attribute_events(events, size).collect()}
+        assert got == expected
