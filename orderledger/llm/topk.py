@@ -23,6 +23,10 @@ QUERIES_PER_BLOCK = 1_024
 SCALE = 64
 
 
+# The ends of a score; the lowest long is left out, as its negative is no long.
+_MOST = (1 << 63) - 1
+
+
 class SortedLists(NamedTuple):
     """A block of integer vectors; by dimension, its rows from the lowest value up, and the values."""
 
@@ -30,15 +34,36 @@ class SortedLists(NamedTuple):
     vectors: np.ndarray
     order: np.ndarray
     values: np.ndarray
+    largest: int
+
+
+def _largest(numbers: np.ndarray) -> int:
+    """The largest absolute value, as a Python integer."""
+    return max(int(numbers.max()), -int(numbers.min())) if numbers.size else 0
+
+
+def _exact_type(bound: int) -> type:
+    """The fastest number type that holds all sums of products up to ``bound`` exactly."""
+    if bound < 1 << 24:
+        return np.float32
+    return np.float64 if bound < 1 << 53 else np.int64 if bound <= _MOST else object
 
 
 def sorted_lists(ids: np.ndarray, vectors: np.ndarray) -> SortedLists:
-    """Vectors whose sums of products stay below 2**24 are held in single precision, exactly."""
-    if vectors.size and vectors.shape[1] * float(np.abs(vectors).max()) ** 2 < 1 << 24:
-        vectors = vectors.astype(np.float32)
+    """Vectors whose sums of products stay below 2**24 are held in single precision, exactly;
+    those that double precision may not hold as integers of 64 bits."""
+    largest = _largest(vectors)
+    kind = _exact_type(vectors.shape[1] * largest**2)
+    vectors = vectors.astype(np.int64 if kind is object else kind, copy=False)
     columns = np.ascontiguousarray(vectors.T)
     order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
-    return SortedLists(ids, vectors, order, np.take_along_axis(columns, order, axis=1))
+    return SortedLists(ids, vectors, order, np.take_along_axis(columns, order, axis=1), largest)
+
+
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array([max(-_MOST, min(int(s), _MOST)) for s in scores], np.int64)
+    return scores if scores.dtype == np.int64 else np.rint(scores).astype(np.int64)
 
 
 def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +84,11 @@ def threshold_search(block: SortedLists, query: np.ndarray, own: int, k: int) ->
         return ids, np.zeros(len(ids), np.int64), 0
     weights = query[used]
     down, up = used[weights > 0], used[weights < 0]
-    exact = np.float32 if block.vectors.dtype == np.float32 and np.abs(query).max() * np.abs(block.values).max() * len(query) < 1 << 24 else float
-    vector = query.astype(exact)
+    exact = _exact_type(len(query) * _largest(query) * block.largest)
+    vectors, values = block.vectors, block.values
+    if exact in (np.int64, object):
+        vectors, values = (a.astype(np.int64, copy=False).astype(exact, copy=False) for a in (vectors, values))
+    vector = query.astype(exact) if exact is not object else query.astype(np.int64).astype(object)
     seen = np.zeros(n, bool)
     ids, scores = np.zeros(0, block.ids.dtype), np.zeros(0, np.int64)
     depth, step = 0, max(k, n // 256)
@@ -77,26 +105,34 @@ def threshold_search(block: SortedLists, query: np.ndarray, own: int, k: int) ->
             until = n
         # Products of integers that the number type holds exactly.
         if 4 * np.count_nonzero(met) > n:
-            found = (block.vectors @ vector)[met]
+            found = (vectors @ vector)[met]
         else:
-            found = block.vectors[met] @ vector
-        found, names = np.rint(found).astype(np.int64), block.ids[met]
+            found = vectors[met] @ vector
+        found, names = _as_long(found), block.ids[met]
         if len(scores) == k:  # equal scores may have the smaller id
             found, names = found[found >= scores[-1]], names[found >= scores[-1]]
         mine = names != own
         ids, scores = _keep(np.concatenate([ids, names[mine]]), np.concatenate([scores, found[mine]]), k)
-        last = query[down] @ block.values[down, n - until] + query[up] @ block.values[up, until - 1]
+        last = vector[down] @ values[down, n - until] + vector[up] @ values[up, until - 1]
         depth, step = until, step * 4
         # A row not met yet scores at most `last`; only a kth score above it stops the walk,
         # since a row with an equal score could have the smaller id.
-        if len(scores) == k and scores[-1] > last:
+        if len(scores) == k and scores[-1] > max(last, -_MOST):
             break
     return ids, scores, depth
 
 
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """A row of 64-bit integers per vector, shorter ones filled with zeros."""
+    rows = np.zeros((len(vectors), width), np.int64)
+    for row, vector in zip(rows, vectors):
+        row[: len(vector)] = vector
+    return rows
+
+
 def integer_vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id and floor(64 * x) of every component; rows whose vector is null, or holds a null or
-    non-finite component, or whose id is null, are left out."""
+    non-finite component, or whose id is null, are left out. A component beyond a long is its end."""
     component = F.transform(vector_column, lambda x: F.floor(F.lit(SCALE) * x.cast("double")))
     broken = F.exists(
         vector_column,
@@ -112,9 +148,13 @@ _HITS = "query_id long, vec_id long, score long"
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows, ties to the smaller id.
 
-    Both frames hold (vec_id, vector) with integer components of one length; a row with the
-    query's own id is no candidate. Fewer than k rows come back when there are fewer. Repeated
-    ids count as rows of their own.
+    Both frames hold (vec_id, vector) with integer components; a row with the query's own id is
+    no candidate. Fewer than k rows come back when there are fewer. Repeated ids count as rows of
+    their own. A vector shorter than another counts as ending in zeros.
+
+    Scores are sums of integers, exact at any size: numbers that double precision cannot hold are
+    added as integers of 64 bits or, where those could overflow, as Python's. A score beyond a
+    long is given as 2**63 - 1 or its negative; such scores tie.
     """
     n_rows, n_queries = rows.count(), queries.count()
     row_blocks = max(1, -(-n_rows // ROWS_PER_BLOCK))
@@ -129,11 +169,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if left_part.empty or right_part.empty:
             return none
-        vectors = np.array(left_part["vector"].tolist(), float)
-        block = sorted_lists(left_part["vec_id"].to_numpy(), vectors)
+        width = max(left_part["vector"].map(len).max(), right_part["vector"].map(len).max())
+        block = sorted_lists(left_part["vec_id"].to_numpy(), _matrix(left_part["vector"], width))
         out = []
-        for own, vector in zip(right_part["vec_id"].to_numpy(), right_part["vector"]):
-            ids, scores, _ = threshold_search(block, np.asarray(vector, float), own, k)
+        for own, vector in zip(right_part["vec_id"].to_numpy(), _matrix(right_part["vector"], width)):
+            ids, scores, _ = threshold_search(block, vector, own, k)
             out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else none
 

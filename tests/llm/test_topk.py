@@ -57,3 +57,30 @@ def test_awkward_rows(spark):
         (0, 1, 6, 2048), (0, 2, 5, 0), (0, 3, 20, 0), (20, 1, 0, 0), (20, 2, 5, 0), (20, 3, 6, 0)]
     none = whole.limit(0)
     assert topk.top_k(none, none, 20).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Scores that double precision, or 64 bits, cannot hold, in one block and in rows of unlike size."""
+    high = 2**27 + 1
+    near = [[high, 1], [high, 2], [high, 3], [high, 0]]
+    pick = np.random.default_rng(4)
+    huge = [[int(x) for x in row] for row in pick.integers(-(2**62), 2**62, (40, 5))]
+    mixed = huge[:3] + pick.integers(-9, 9, (40, 5)).tolist()
+    for vectors, queries in ((near, near), (huge, huge), (mixed, mixed), (mixed[3:], huge)):
+        block = topk.sorted_lists(np.arange(len(vectors)), np.array(vectors, np.int64))
+        for own, q in enumerate(queries):
+            scores = (max(1 - 2**63, min(sum(x * y for x, y in zip(q, v)), 2**63 - 1)) for v in vectors)
+            expected = sorted((-s, i) for i, s in enumerate(scores) if i != own)[:3]
+            got = topk.threshold_search(block, np.array(q, np.int64), own, 3)
+            assert [(-int(s), int(i)) for i, s in zip(got[0], got[1])] == expected
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(near)], "vec_id long, vector array<long>")
+    got = [(r["vec_id"], r["score"]) for r in rows(topk.top_k(df, df.where("vec_id = 3"), 3).orderBy("rank"))]
+    assert got == [(0, high * high), (1, high * high), (2, high * high)]
+    got = [(r["vec_id"], r["score"]) for r in rows(topk.top_k(df, df.where("vec_id = 2"), 3).orderBy("rank"))]
+    assert got == [(1, high * high + 6), (0, high * high + 3), (3, high * high)]
+
+
+def test_vectors_of_other_lengths_end_in_zeros(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3]), (1, [5]), (2, []), (3, [0, 1])], "vec_id long, vector array<long>")
+    got = [(r["vec_id"], r["score"]) for r in rows(topk.top_k(df, df.where("vec_id = 0"), 9).orderBy("rank"))]
+    assert got == [(1, 5), (3, 2), (2, 0)]
