@@ -546,6 +546,23 @@ UNION ALL SELECT pipeline, run_id, 'reason', props FROM given WHERE event_id % 2
         FROM results WHERE name = 'stage_3'
         QUALIFY row_number() OVER (PARTITION BY pipeline, run_id, results.run_started_at ORDER BY seq) = 1""",
     ),
+    "q_handoff": _with(
+        _RUNS,
+        f""", named AS (
+          SELECT DISTINCT ON (pipeline, run_id, run_started_at) pipeline, run_id, run_started_at, CAST(seq % 5 AS INTEGER) AS part
+          FROM results WHERE name = 'stage_1' ORDER BY pipeline, run_id, run_started_at, seq DESC
+        ),
+        totals AS (
+          SELECT CAST(o_orderkey % 5 AS INTEGER) AS part, count(*) AS records, CAST(sum(o_orderkey) AS BIGINT) AS id_sum
+          FROM orders GROUP BY ALL
+        ),
+        taken AS (
+          SELECT r.*, coalesce(n.part, 4) AS part FROM (SELECT DISTINCT pipeline, run_id, run_started_at FROM results) r
+          LEFT JOIN named n ON r.pipeline = n.pipeline AND r.run_id = n.run_id AND r.run_started_at = n.run_started_at
+        )
+        SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, 'part ' || taken.part AS part, records, id_sum
+        FROM taken LEFT JOIN totals ON taken.part = totals.part""",
+    ),
     "q_results_dedup": _with(
         _RUNS,
         f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, name, seq, status, outputs

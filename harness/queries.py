@@ -30,6 +30,7 @@ from orderledger.sources import (
     read_clean_orders,
     read_numbered_orders,
     read_raw_orders,
+    read_recorded,
     scratch_path,
     stage_table,
     write_csv,
@@ -521,6 +522,29 @@ def q_upstream_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_time(run_history.upstream_outputs(edges, results), "run_started_at")
 
 
+@query
+def q_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every run takes in from its upstream stage: the rows at the path that it recorded.
+
+    All orders stand in five folders; runs record four of them, and the fifth is the default.
+    """
+    folder = scratch_path(spark, "handoff")
+    raw = stage_table(staging.raw_orders(spark, sf_dir), "handoff-orders")
+    for part in range(5):
+        write_csv(raw.where(F.col("order_id").cast("bigint") % 5 == part), f"{folder}/part {part}", REQUIRED_COLUMNS)
+    place = F.concat(F.lit(f"{folder}/part "), (F.col("seq") % 5).cast("string"))
+    outputs = F.when(F.col("seq") % 5 != 4, F.to_json(F.struct(place.alias("raw_path")))).otherwise("{}")
+    results = stage_table(_results(spark, sf_dir).withColumn("outputs", outputs), "handoff-results")
+    runs = results.select(*run_history.RUN).distinct()
+    paths = stage_table(run_history.recorded_paths(results, runs, "stage_1", "raw_path", f"{folder}/part 4"), "handoff-paths")
+    totals = read_recorded(paths).groupBy("path").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.col("order_id").cast("bigint")).alias("id_sum")
+    )
+    taken = paths.join(totals, "path", "left")
+    columns = (*run_history.RUN, F.right("path", F.lit(6)).alias("part"), "records", "id_sum")
+    return _text_time(taken.select(*columns), "run_started_at")
+
+
 @query
 def q_not_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned stages that failed runs, and runs that recorded nothing, did not reach."""

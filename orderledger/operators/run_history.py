@@ -180,6 +180,14 @@ def result_for(results: DataFrame, stage: str) -> DataFrame:
     return of_stage.join(first, [*RUN, "seq"], "left_semi")
 
 
+def recorded_paths(results: DataFrame, runs: DataFrame, stage: str, field: str, default: str) -> DataFrame:
+    """RUN and path for every row of ``runs``: ``field`` of the JSON outputs of the stage's last
+    result in the run; the default where there is no such result, or it names no path."""
+    last = last_results(results.where(F.col("name") == stage))
+    named = last.select(*RUN, F.nullif(F.get_json_object("outputs", f"$.{field}"), F.lit("")).alias("path"))
+    return runs.select(*RUN).join(named, [*RUN], "left").withColumn("path", F.coalesce("path", F.lit(default)))
+
+
 def run_statuses(results: DataFrame, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """One row per run: failed if any stage failed, else succeeded; with its time span.
 

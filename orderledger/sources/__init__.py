@@ -2,7 +2,7 @@
 
 from .documents import write_json_document
 from .event_log import parse_log_lines, read_log_lines, unparsed_lines
-from .handoff import recorded_path
+from .handoff import read_recorded, recorded_path
 from .numbering import FILE_COLUMN, number_file_records, position_in_group
 from .orders import (
     CLEAN_COLUMNS,
@@ -35,6 +35,7 @@ __all__ = [
     "read_log_lines",
     "read_numbered_orders",
     "read_raw_orders",
+    "read_recorded",
     "recorded_path",
     "scratch_path",
     "shared_dir",

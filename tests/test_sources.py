@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fixtures import DIRTY_ORDERS, ORDER_FIELDS, SAMPLE_ORDERS, csv_text
 from orderledger.operators.cleaning import clean_orders
 from orderledger.operators.rules import blank_counts
+from orderledger.operators.run_history import recorded_paths
 from orderledger.sources import (
     CLEAN_COLUMNS,
     has_multiline_records,
@@ -13,6 +14,7 @@ from orderledger.sources import (
     position_in_group,
     read_numbered_orders,
     read_raw_orders,
+    read_recorded,
     recorded_path,
     shared_dir,
     write_csv,
@@ -158,6 +160,41 @@ def test_recorded_path_falls_back_to_the_default(spark):
     assert recorded_path(results, "r", "absent", "raw_path", "/default") == "/default"
 
 
+def test_files_of_unlike_headers_below_an_odd_name(spark, tmp_path):
+    folder = tmp_path / "a b%20+"
+    folder.mkdir()
+    (folder / "one.csv").write_text("order_id,region\n1,a\n", encoding="utf-8")
+    (folder / "two.csv").write_text('region,order_id\n"b\nc",2\n', encoding="utf-8")
+    got = read_numbered_orders(spark, str(folder)).select("order_id", "region", "row_number").collect()
+    assert sorted(map(tuple, got)) == [("1", "a", 2), ("2", "b\nc", 2)]
+
+
+def test_recorded_files_and_folders_are_read_once(spark, tmp_path):
+    for name, rows in (("a b%20+", SAMPLE_ORDERS[:2]), ("c", SAMPLE_ORDERS[2:3]), ("other", SAMPLE_ORDERS)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_text(csv_text(rows), encoding="utf-8")
+    folder, file = str(tmp_path / "a b%20+"), str(tmp_path / "c" / "part.csv")
+    named = [("r1", folder), ("r2", folder), ("r3", folder + "/"), ("r4", file), ("r5", "file:" + file), ("r6", None)]
+    paths = spark.createDataFrame(named, "run_id string, path string")
+    rows = read_recorded(paths).select("path", "order_id", "row_number").collect()
+    first, third = [o[0] for o in SAMPLE_ORDERS[:2]], SAMPLE_ORDERS[2][0]
+    expected = [(p, i, n + 2) for p in (folder, folder + "/") for n, i in enumerate(first)]
+    assert sorted(map(tuple, rows)) == sorted(expected + [(file, third, 2), ("file:" + file, third, 2)])
+    with pytest.raises(ValueError):
+        read_recorded(paths.where("path is null"))
+
+
+def test_recorded_paths_of_every_run(spark):
+    results = spark.createDataFrame(
+        [("p", "r", 1, "s", 1, '{"raw_path": "/old"}'), ("p", "r", 1, "s", 2, '{"raw_path": "/new"}'),
+         ("p", "r", 2, "s", 3, '{"raw_path": ""}'), ("p", "r", 3, "t", 4, '{"raw_path": "/t"}')],
+        "pipeline string, run_id string, run_started_at int, name string, seq int, outputs string",
+    )
+    runs = spark.createDataFrame([("p", "r", n) for n in (1, 2, 3, 4)], "pipeline string, run_id string, run_started_at int")
+    got = recorded_paths(results, runs, "s", "raw_path", "/default").collect()
+    assert sorted((r.run_started_at, r.path) for r in got) == [(1, "/new"), (2, "/default"), (3, "/default"), (4, "/default")]
+
+
 def test_the_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
