@@ -38,8 +38,11 @@ LONGEST = 24
 PENALTY = 20.0
 #: Weight of an insult with a character put in, beside a labelled document, for the probability.
 DISTORTED_WEIGHT = 0.02
-#: Insults that the training set holds at most, the commonest first.
-MOST_BAD = 400
+#: Sizes of the training set, as of FIT_ROWS: insults, those in most toxic documents first; stems that
+#: inflected insults are found by; clean words, the commonest and the hardest; hard ones that
+#: distorted insults are compared with.
+MOST_BAD, MOST_STEMS = 400, 800
+CLEAN_WORDS, HARD_WORDS, NEAR_WORDS = 2_000, 600, 800
 TOXIC_FROM = 0.7
 #: An insult whose kernel with a clean word is as high as this counts as it is spelt only.
 TOO_LIKE = 0.65
@@ -289,9 +292,10 @@ class WordScores(dict):
         for i, word in enumerate(words):
             if word not in self.starts:
                 continue
-            spelt, plain = fold(word), fold(word) in self.model.plain
+            spelt = fold(word) if len(word) <= 200 else fold.__wrapped__(word)
+            plain = spelt in self.model.plain
             for before, after in zip(words[i : i + LONGEST], words[i + 1 : i + LONGEST]):
-                piece = fold(after) if len(after) <= 200 else ""
+                piece = fold(after) if len(after) <= 200 else fold.__wrapped__(after)
                 if not piece or before[-1] in ".!?":
                     break
                 spelt, plain = spelt + piece, plain and piece in self.model.plain
@@ -421,27 +425,26 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     # a few clean documents do not rule a unit out.
     chance = math.log(max(2, counted.count())) - 1e-6
     marked = counted.where((F.col("bad") >= 3 - 1e-6) & (likelihood_ratio(base) >= chance))
-    order = F.desc(F.round("bad", 6)), "unit"
-    bad = [r[0] for r in marked.where((share >= TOXIC_FROM) & ~_is_stem()).orderBy(*order).limit(MOST_BAD).collect()]
+    likely = marked.where((share >= TOXIC_FROM) & ~_is_stem()).select("unit", "bad")
     heads = marked.where(_is_stem()).select(F.col("unit").alias("stem"), share.alias("stem_share"))
-    heads = heads.orderBy(F.desc("stem_share"), "stem").limit(2 * MOST_BAD)
-    if len(bad) < MOST_BAD:
-        stem = F.explode(F.array(*(F.concat(F.substring("unit", 1, k), F.lit(_STEM)) for k in _STEMS))).alias("stem")
-        forms = counted.where(~_is_stem() & (F.col("bad") >= 2 - 1e-6)).select("unit", "bad", "good", stem)
-        forms = forms.join(F.broadcast(heads), "stem").groupBy("unit", "bad", "good").agg(F.max("stem_share").alias("stem_share"))
-        pooled = (F.col("bad") + 4 * F.col("stem_share")) / (F.col("bad") + F.col("good") + 4)
-        likely = (pooled >= TOXIC_FROM) & (likelihood_ratio(base) >= math.log(100))
-        more = [r[0] for r in forms.where(likely).orderBy(*order).limit(2 * MOST_BAD).collect()]
-        bad = list(dict.fromkeys(bad + more))[:MOST_BAD]
+    heads = heads.orderBy(F.desc("stem_share"), "stem").limit(MOST_STEMS)
+    stem = F.explode(F.array(*(F.concat(F.substring("unit", 1, k), F.lit(_STEM)) for k in _STEMS))).alias("stem")
+    forms = counted.where(~_is_stem() & (F.col("bad") >= 2 - 1e-6)).select("unit", "bad", "good", stem)
+    forms = forms.join(F.broadcast(heads), "stem").groupBy("unit", "bad", "good").agg(F.max("stem_share").alias("stem_share"))
+    pooled = (F.col("bad") + 4 * F.col("stem_share")) / (F.col("bad") + F.col("good") + 4)
+    inflected = forms.where((pooled >= TOXIC_FROM) & (likelihood_ratio(base) >= math.log(100))).select("unit", "bad")
+    # Words found by themselves and by their stem are ranked together, however many there are.
+    found = likely.union(inflected).groupBy("unit").agg(F.max("bad").alias("bad"))
+    bad = [r[0] for r in found.orderBy(F.desc(F.round("bad", 6)), "unit").limit(MOST_BAD).collect()]
     if not bad:
         return nothing
     clean = counted.where((F.col("good") > 0) & (share < 0.5) & ~_is_stem()).where(~F.col("unit").isin(bad))
-    good = [r[0] for r in clean.orderBy(F.desc(F.round("good", 6)), "unit").limit(2_000).collect()]
+    good = [r[0] for r in clean.orderBy(F.desc(F.round("good", 6)), "unit").limit(CLEAN_WORDS).collect()]
     leading = bad[: LANDMARKS // 2]
     worst = good
     for last in (False, False, True):
         landmarks = leading + worst[: LANDMARKS - len(leading)]
-        changed = distortions(bad, worst[:800], set(good))
+        changed = distortions(bad, worst[:NEAR_WORDS], set(good))
         weights, offset = fit_words(bad, good, landmarks, changed)
         if not last:  # clean words that look worst join the training set and the landmarks
             worst = _worst(clean.select("unit"), weights, offset)
@@ -469,7 +472,7 @@ def _is_stem():
     return F.substring("unit", -1, 1) == _STEM
 
 
-def _worst(clean: DataFrame, weights: np.ndarray, offset: float, most: int = 600) -> list[str]:
+def _worst(clean: DataFrame, weights: np.ndarray, offset: float, most: int = HARD_WORDS) -> list[str]:
     """The clean words with the highest margins; every task sends its own highest only."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
