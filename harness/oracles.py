@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
     ),
     "q_record_numbers": _with(
         _RAW_ORDERS,
-        "SELECT count(*) AS records, CAST(0 AS BIGINT) AS misnumbered_files FROM raw_orders",
+        "SELECT count(*) AS records, CAST(0 AS BIGINT) AS misnumbered FROM raw_orders",
     ),
     "q_blank_counts": _with(
         _PARSED,
@@ -394,6 +394,16 @@ ORACLES: dict[str, str] = {
     "q_top_product": _with(
         _SALES, "SELECT product, CAST(revenue AS DOUBLE) AS revenue FROM top_product"
     ),
+    "q_top_over_files": _with(
+        _PARSED,
+        """, placed AS (
+          SELECT coalesce(region_title, '') AS region, 'Item ' || order_id AS product, date_trunc('year', d) AS first_day,
+            2 - CAST(order_id AS BIGINT) % 3 AS folder, CAST(order_id AS BIGINT) AS key FROM words WHERE d IS NOT NULL
+        )
+        SELECT region, product FROM placed
+        QUALIFY row_number() OVER (PARTITION BY region ORDER BY first_day, folder, key) = 1
+        UNION ALL SELECT * FROM (SELECT 'all', product FROM placed ORDER BY first_day, folder, key LIMIT 1)""",
+    ),
     "q_region_breakdown": _with(
         _SALES, "SELECT region, orders, CAST(revenue AS DOUBLE) AS revenue FROM by_region ORDER BY region"
     ),
@@ -512,7 +522,7 @@ ORACLES: dict[str, str] = {
     ),
     "q_result_defaults": _with(
         _RESULTS,
-        """SELECT seq, coalesce(source, 'default_' || name) AS source,
+        """SELECT seq, name, coalesce(source, 'default_' || name) AS source,
         CASE status WHEN 'pending' THEN 'succeeded' ELSE status END AS status FROM stage_results""",
     ),
     "q_run_parameters": """
@@ -535,6 +545,21 @@ UNION ALL SELECT pipeline, run_id, 'reason', props FROM given WHERE event_id % 2
         row_number() OVER (PARTITION BY pipeline, run_id, results.run_started_at ORDER BY seq) - 1 AS place, name, outputs,
         seq = max(seq) OVER (PARTITION BY pipeline, run_id, results.run_started_at, name) AS "last" FROM results""",
     ),
+    "q_sink_manifests": _with(
+        _RUNS,
+        f""", listed AS (
+          SELECT pipeline, run_id, run_started_at, name,
+            row_number() OVER (PARTITION BY pipeline, run_id, run_started_at ORDER BY seq) - 1 AS place FROM results
+        ),
+        kept AS (SELECT pipeline, run_id, run_started_at, count(*) AS n FROM last_results GROUP BY ALL)
+        SELECT r.pipeline, r.run_id, strftime(r.run_started_at, '{_TIME}') AS run_started_at, r.status,
+          r.stages AS stages_listed, coalesce(k.n, 0) AS outputs_listed, l.place, l.name, o.outputs
+        FROM runs r
+        LEFT JOIN kept k ON k.pipeline = r.pipeline AND k.run_id = r.run_id AND k.run_started_at = r.run_started_at
+        LEFT JOIN listed l ON l.pipeline = r.pipeline AND l.run_id = r.run_id AND l.run_started_at = r.run_started_at
+        LEFT JOIN last_results o ON o.pipeline = r.pipeline AND o.run_id = r.run_id
+          AND o.run_started_at = r.run_started_at AND o.name = l.name""",
+    ),
     "q_latest_run": _with(
         _RUNS,
         f"""SELECT pipeline, run_id, strftime(run_started_at, '{_TIME}') AS run_started_at, status, stages FROM runs

@@ -19,6 +19,7 @@ from orderledger.operators import (
 from orderledger.plans import (
     retail_frames,
     run_retail,
+    write_manifests,
     write_sales_summary,
     write_validation_report,
 )
@@ -26,8 +27,11 @@ from orderledger.sources import (
     CLEAN_COLUMNS,
     REGION_COLUMNS,
     REQUIRED_COLUMNS,
+    number_files,
     parse_log_lines,
+    position_in_group,
     read_clean_orders,
+    read_json_documents,
     read_numbered_orders,
     read_raw_orders,
     read_recorded,
@@ -76,23 +80,14 @@ def q_scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written in key order: a record's number has to follow from the keys before it."""
     path = scratch_path(spark, "record-numbers")
-    write_csv(staging.raw_orders(spark, sf_dir), path, REQUIRED_COLUMNS)
-    files = (
-        read_numbered_orders(spark, path)
-        .groupBy("source_file")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("row_number").alias("low"),
-            F.max("row_number").alias("high"),
-            F.sum("row_number").alias("total"),
-        )
-    )
-    n = F.col("n")
-    right = (F.col("low") == 2) & (F.col("high") == n + 1) & (F.col("total") * 2 == n * (n + 3))
-    return files.agg(
-        F.sum("n").alias("records"), F.count(F.when(~right, F.lit(1))).alias("misnumbered_files")
-    )
+    key = F.col("order_id").cast("bigint")
+    write_csv(staging.raw_orders(spark, sf_dir).sortWithinPartitions(key), path, REQUIRED_COLUMNS)
+    numbered = read_numbered_orders(spark, path).select("source_file", "row_number", key.alias("key"))
+    placed = position_in_group(numbered, ["source_file"], ["key"], "place", start=2)
+    wrong = F.col("place") != F.col("row_number")
+    return placed.agg(F.count(F.lit(1)).alias("records"), F.count(F.when(wrong, F.lit(1))).alias("misnumbered"))
 
 
 @query
@@ -289,6 +284,34 @@ def q_top_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(reports.top_key(grouped, "product"), "revenue")
 
 
+@query
+def q_top_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of equal value in three folders of files: each region's first product, and the top
+    product of all, are told by date, file and record."""
+    path = scratch_path(spark, "tied-orders")
+    key = F.col("order_id").cast("bigint")
+    tied = staging.raw_orders(spark, sf_dir).withColumns(
+        {
+            "product": F.concat(F.lit("item "), "order_id"),
+            "quantity": F.lit("1"),
+            "unit_price": F.lit("5.00"),
+            "order_date": F.concat(F.left("order_date", F.lit(5)), F.lit("01-01")),
+        }
+    )
+    for part in range(3):
+        rows = tied.where(key % 3 == 2 - part).repartitionByRange(key).sortWithinPartitions(key)
+        write_csv(rows, f"{path}/{part}", REQUIRED_COLUMNS)
+    raw = stage_table(read_numbered_orders(spark, [f"{path}/{part}" for part in range(3)]), "tied-orders")
+    place = ["file_number", "row_number"]
+    clean = cleaning.clean_orders(number_files(raw), keep=place)
+    grouped = reports.sales_by(clean, "product", "row_number", "file_number")
+    top = reports.top_key(grouped, "product").select(F.lit("all").alias("region"), "product")
+    seen = reports.first_seen("order_date", "row_number", "file_number")
+    first = clean.groupBy("region").agg(F.min(seen).alias("seen"))
+    rows = clean.select("region", "product", seen.alias("seen"))
+    return rows.join(first, ["region", "seen"], "left_semi").select("region", "product").union(top)
+
+
 @query
 def q_region_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = reports.sales_by(staging.sales(spark, sf_dir), "region")
@@ -456,9 +479,11 @@ def q_exit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_result_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = staging.stage_results(spark, sf_dir)
-    filled = run_history.with_result_defaults(results, F.concat(F.lit("default_"), "name"))
-    return filled.select("seq", "source", "status")
+    """Results of which some give themselves another name than their stage's."""
+    results = staging.stage_results(spark, sf_dir).withColumn("stage", F.col("name"))
+    named = results.withColumn("name", F.when(F.col("seq") % 9 == 0, "other").otherwise(F.col("name")))
+    source = F.concat(F.lit("default_"), "stage")
+    return run_history.with_result_defaults(named, source, F.col("stage")).select("seq", "name", "source", "status")
 
 
 @query
@@ -489,6 +514,26 @@ def q_run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_time(run_history.run_manifest(_results(spark, sf_dir)), "run_started_at")
 
 
+@query
+def q_sink_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of all runs, written and read back: a row for each stage a run lists, and
+    one for a run that lists none."""
+    results = stage_table(_results(spark, sf_dir), "run-results")
+    runs = _text_time(_statuses(spark, sf_dir, results), "run_started_at").drop("started_at", "completed_at")
+    results = _text_time(results, "run_started_at")
+    path = write_manifests(results, runs, scratch_path(spark, "manifests"), digits=1)
+    part = "struct<folder: string, rows: bigint>"
+    fields = f"pipeline string, run_id string, run_started_at string, status string, stages_run {part}, outputs {part}"
+    documents = read_json_documents(spark, path, "document", fields).select(
+        "document", *run_history.RUN, "status",
+        F.col("stages_run.rows").alias("stages_listed"), F.col("outputs.rows").alias("outputs_listed"),
+    )
+    listed = read_json_documents(spark, path, "stages_run", "place bigint, name string").drop("shard")
+    last = read_json_documents(spark, path, "outputs", "name string, outputs string").drop("shard")
+    joined = documents.join(listed, "document", "left").join(last, ["document", "name"], "left")
+    return joined.drop("document")
+
+
 @query
 def q_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = run_history.latest_runs(_statuses(spark, sf_dir, _results(spark, sf_dir)))

@@ -8,6 +8,7 @@ no more than another.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,24 @@ UNITS = "decimal(38,0)"
 
 _FIRST_DAY = "0001-01-01"
 _ORDINAL_BITS = 41
+_FILE_BITS = 31
 
 
-def first_seen(order_date: str = "order_date", ordinal: str | None = None) -> Column:
-    """Place of a row in a stable sort by date, as one bigint that hashes cheaply.
+def first_seen(order_date: str = "order_date", ordinal: str | None = None, file: str | None = None) -> Column:
+    """Place of a row in a stable sort by date, as one number that hashes cheaply.
 
-    ``ordinal`` is the row's place in the file (below 2**41); without it rows
-    of one day share a place.
+    ``ordinal`` is the row's place in its file (below 2**41); without it rows
+    of one day share a place. ``file`` is the place of its file (below 2**31), for
+    rows of several files; the number is then a wide decimal, not a bigint, and
+    the ordinal may be any bigint from 0.
     """
     day = F.date_diff(order_date, F.lit(_FIRST_DAY).cast("date")).cast("bigint")
+    if file is not None:
+        high = F.shiftleft(day, _FILE_BITS) + F.col(file).cast("bigint")
+        number = F.lit(0).cast("bigint") if ordinal is None else F.col(ordinal)
+        # At most 17 digits, then the 19 of a bigint.
+        wide = high.cast("decimal(17,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)")
+        return (wide.cast("decimal(38,0)") + number.cast("decimal(19,0)")).cast("decimal(38,0)")
     place = F.shiftleft(day, _ORDINAL_BITS)
     if ordinal is None:
         return place
@@ -37,23 +47,23 @@ def first_seen(order_date: str = "order_date", ordinal: str | None = None) -> Co
     return place + number
 
 
-def _measures(ordinal: str | None) -> list[Column]:
+def _measures(ordinal: str | None, file: str | None = None) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("orders"),
         F.sum(F.col("quantity").cast("decimal(19,0)")).cast(UNITS).alias("units"),
         F.sum("order_value").cast(REVENUE).alias("revenue"),
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
-        F.min(first_seen("order_date", ordinal)).alias("first_seen"),
+        F.min(first_seen("order_date", ordinal, file)).alias("first_seen"),
     ]
 
 
-def sales_by(clean: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
+def sales_by(clean: DataFrame, key: str, ordinal: str | None = None, file: str | None = None) -> DataFrame:
     """One row per key: orders, units, revenue, date range, first_seen.
 
     Select what is needed; unused sums are dropped from the plan.
     """
-    return clean.groupBy(key).agg(*_measures(ordinal))
+    return clean.groupBy(key).agg(*_measures(ordinal, file))
 
 
 def sales_totals(clean: DataFrame) -> DataFrame:
@@ -67,13 +77,13 @@ def sales_totals(clean: DataFrame) -> DataFrame:
     )
 
 
-def sales_breakdown(clean: DataFrame, ordinal: str | None = None) -> DataFrame:
+def sales_breakdown(clean: DataFrame, ordinal: str | None = None, file: str | None = None) -> DataFrame:
     """Region, product and total rows of one scan: (dimension, key, orders, ...).
 
     Rows are first summed per (region, product); the grouping sets then expand
     those sums instead of the rows.
     """
-    cells = clean.groupBy("region", "product").agg(*_measures(ordinal))
+    cells = clean.groupBy("region", "product").agg(*_measures(ordinal, file))
     level = F.grouping_id()
     sets = cells.groupingSets(
         [[F.col("region")], [F.col("product")], []], F.col("region"), F.col("product")

@@ -60,10 +60,13 @@ def with_exit_status(results: DataFrame) -> DataFrame:
     )
 
 
-def with_result_defaults(results: DataFrame, source: Column) -> DataFrame:
-    """Fill an unset source and read a pending result as succeeded."""
+def with_result_defaults(results: DataFrame, source: Column, name: Column | None = None) -> DataFrame:
+    """Fill an unset source and read a pending result as succeeded; a result is named as its
+    stage, ``name``, whatever name it gives itself."""
+    named = {} if name is None else {"name": name}
     return results.withColumns(
-        {
+        named
+        | {
             "source": F.coalesce("source", source),
             "status": F.when(F.col("status") == "pending", "succeeded").otherwise(F.col("status")),
         }
@@ -99,13 +102,17 @@ def run_parameters(configs: DataFrame, keep: Sequence[str] = ID) -> DataFrame:
     """Known parameters, metadata and extra keys as (…, key, value); the later wins.
 
     ``configs`` has the known parameters it sets as columns, and the maps
-    ``metadata`` and ``extra``. A known key without a value gets its default.
+    ``metadata`` and ``extra``. A known key without a value gets its default. A
+    ``metadata`` that is no map is the value of a key of that name.
     """
+    metadata = F.col("metadata")
+    if configs.schema["metadata"].dataType.typeName() != "map":
+        metadata = F.create_map(F.lit("metadata"), metadata.cast("string"))
     known = []
     for key, default in PARAMETER_DEFAULTS.items():
         given = F.col(key).cast("string") if key in configs.columns else F.lit(None).cast("string")
         known += [F.lit(key), F.coalesce(given, F.lit(default))]
-    merged = merge_maps(F.create_map(*known), merge_maps(F.col("metadata"), F.col("extra")))
+    merged = merge_maps(F.create_map(*known), merge_maps(metadata, F.col("extra")))
     return configs.select(*keep, F.explode(merged).alias("key", "value"))
 
 

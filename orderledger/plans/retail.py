@@ -24,7 +24,7 @@ from ..operators.rules import (
     validation_report,
 )
 from ..sources.documents import ListField, MapField, write_json_document
-from ..sources.numbering import number_file_records
+from ..sources.numbering import number_files
 from ..sources.orders import (
     CLEAN_COLUMNS,
     REGION_COLUMNS,
@@ -52,17 +52,21 @@ class RetailFrames:
 def retail_frames(
     raw: DataFrame, ordinal: str | None = "row_number", strict: bool = False
 ) -> RetailFrames:
-    """All results over numbered raw orders. A failed check does not stop the later steps."""
-    keep = [ordinal] if ordinal else []
+    """All results over numbered raw orders. A failed check does not stop the later steps.
+
+    Rows that name the place of their file (``file_number``) are told apart by it before ``ordinal``.
+    """
+    file = "file_number" if "file_number" in raw.columns else None
+    keep = [c for c in (file, ordinal) if c]
     clean = raw.transform(clean_orders, strict=strict, keep=keep)
     profile = raw.transform(region_profile)
-    breakdown = clean.transform(sales_breakdown, ordinal=ordinal)
+    breakdown = clean.transform(sales_breakdown, ordinal=ordinal, file=file)
     return RetailFrames(
         issues=raw.transform(order_issues),
         profile=profile,
         report=profile.transform(validation_report),
         clean=clean,
-        rejects=raw.transform(rejected_orders),
+        rejects=raw.drop("file_number").transform(rejected_orders),
         summary=clean.transform(clean_summary),
         breakdown=breakdown,
         sales=breakdown.transform(summary_row),
@@ -115,7 +119,7 @@ def run_retail(
     raw = stage_table(
         read_numbered_orders(spark, raw_path, multi_line), "raw-orders"
     )
-    frames = retail_frames(raw, strict=strict)
+    frames = retail_frames(number_files(raw), strict=strict)
     breakdown = stage_table(frames.breakdown, "breakdown")
     # The breakdown's total row and keys are the clean summary: no second look at the rows.
     values = breakdown.where(F.col("dimension") != "total").select("dimension", "key")

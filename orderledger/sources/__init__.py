@@ -1,9 +1,9 @@
 """Scans, sinks, record numbers and the shared folder."""
 
-from .documents import write_json_document
+from .documents import document_id, read_json_documents, write_json_document, write_json_documents
 from .event_log import parse_log_lines, read_log_lines, unparsed_lines
 from .handoff import read_recorded, recorded_path
-from .numbering import FILE_COLUMN, number_file_records, position_in_group
+from .numbering import FILE_COLUMN, number_file_records, number_files, position_in_group
 from .orders import (
     CLEAN_COLUMNS,
     REGION_COLUMNS,
@@ -24,14 +24,17 @@ __all__ = [
     "REGION_COLUMNS",
     "REQUIRED_COLUMNS",
     "csv_records",
+    "document_id",
     "file_outlines",
     "has_multiline_records",
     "number_file_records",
+    "number_files",
     "parse_log_lines",
     "pin_partitions",
     "position_in_group",
     "read_clean_orders",
     "parse_records",
+    "read_json_documents",
     "read_log_lines",
     "read_numbered_orders",
     "read_raw_orders",
@@ -44,4 +47,5 @@ __all__ = [
     "with_required_columns",
     "write_csv",
     "write_json_document",
+    "write_json_documents",
 ]

@@ -70,6 +70,20 @@ def number_file_records(df: DataFrame, name: str = "row_number", start: int = 2)
     return _numbered(marked, [FILE_COLUMN], ["_block", "_length", "_partition"], name, start)
 
 
+def number_files(df: DataFrame, name: str = "file_number") -> DataFrame:
+    """Add the place of a row's source file among all files of ``df`` by path, from 0.
+
+    The only window runs over one row per file. Reads the file names once more: give a stored table.
+    """
+    files = stage_table(df.select(FILE_COLUMN).distinct(), "files")
+    place = (F.row_number().over(Window.orderBy(FILE_COLUMN)) - 1).alias(name)
+    placed = files.select(F.col(FILE_COLUMN).alias("_file"), place)
+    if files.count() <= _BROADCAST_PIECES:
+        placed = F.broadcast(placed)
+    joined = df.join(placed, df[FILE_COLUMN].eqNullSafe(placed["_file"]), "left")
+    return joined.select(*[df[c] for c in df.columns], name)
+
+
 def position_in_group(
     df: DataFrame,
     group: Sequence[str],

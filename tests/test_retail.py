@@ -18,7 +18,7 @@ from orderledger.operators.reports import (
 )
 from orderledger.operators.rules import order_issues
 from orderledger.plans import retail_frames, run_retail, write_validation_report
-from orderledger.sources import read_clean_orders
+from orderledger.sources import number_files, read_clean_orders
 
 
 def document(path):
@@ -155,6 +155,27 @@ def test_revenue_ties_go_to_the_first_seen_in_date_order(spark):
     assert (row.top_region, row.top_product) == ("North", "Ink")
 
 
+def test_ties_over_files_go_to_the_earlier_file(spark):
+    """By date, then the path of the file, then the record, however large its number."""
+    rows = [
+        ("1", "A", "West", "Pen", "1", "5", "2026-06-01", "/b", 2),
+        ("2", "A", "North", "Ink", "1", "5", "2026-06-01", "/a", 2**62),
+        ("3", "A", "East", "Cap", "1", "5", "2026-06-01", "/a", 2**62 + 1),
+        ("4", "A", "South", "Nib", "1", "5", "2026-06-02", "/0", 2),
+    ]
+    schema = ", ".join(f"{f} string" for f in ORDER_FIELDS) + ", source_file string, row_number bigint"
+    raw = number_files(spark.createDataFrame(rows, schema))
+    assert {r.source_file: r.file_number for r in raw.collect()} == {"/0": 0, "/a": 1, "/b": 2}
+    frames = retail_frames(raw)
+    [row] = frames.sales.collect()
+    assert (row.top_region, row.top_product) == ("North", "Ink")
+    regions = dimension_rows(frames.breakdown, "region").orderBy("first_seen").collect()
+    assert [r.region for r in regions] == ["North", "East", "West", "South"]
+    assert frames.rejects.columns == [c for c in raw.columns if c != "file_number"] + ["reason"]
+    plan = frames.breakdown._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_breakdown_equals_the_single_reports(spark):
     clean = clean_orders(orders_frame(spark, SAMPLE_ORDERS))
     breakdown = sales_breakdown(clean)

@@ -1,6 +1,7 @@
 import hashlib
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderledger.operators.run_history import (
@@ -21,6 +22,8 @@ from orderledger.operators.run_history import (
     with_result_defaults,
     with_runs,
 )
+from orderledger.plans import write_manifests
+from orderledger.sources import read_json_documents, write_json_documents
 
 T0 = datetime(2026, 6, 1, 12)
 SCHEMA = (
@@ -190,3 +193,43 @@ def test_records_without_a_time_or_start(spark):
 def test_latest_run_hashes(spark):
     plan = latest_runs(run_statuses(frame(spark, [result("r", 1, "a")])))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_results_take_their_stage_s_name_and_metadata_may_be_no_map(spark):
+    results = frame(spark, [result("r", 1, "other", "pending")]).withColumn("stage", F.lit("a"))
+    [row] = with_result_defaults(results, F.col("stage"), F.col("stage")).collect()
+    assert (row.name, row.source, row.status) == ("a", "a", "succeeded")
+    configs = spark.createDataFrame([("p", "r", "note", {"k": "1"})], "pipeline string, run_id string, metadata string, extra map<string,string>")
+    got = {r.key: r.value for r in run_parameters(configs).collect()}
+    assert (got["metadata"], got["k"], got["log_dir"]) == ("note", "1", "logs")
+
+
+def test_manifest_documents_of_0_1_and_5000_stages(spark, tmp_path):
+    """One shape for every length, lists whole and in order, in the folder the document names."""
+    names = [f"s{i % 1200}" for i in range(5000)]
+    rows = [("p", "long", i, name, str(i)) for i, name in enumerate(names)] + [("p", "one", 0, "a", "x")]
+    start = T0.isoformat(sep=" ")
+    results = spark.createDataFrame(rows, "pipeline string, run_id string, seq bigint, name string, outputs string")
+    results = results.withColumn("run_started_at", F.lit(start))
+    runs = spark.createDataFrame([("p", r, start, s) for r, s in (("long", "failed"), ("one", "succeeded"), ("none", None))], "pipeline string, run_id string, run_started_at string, status string")
+    parameters = runs.where("run_id = 'none'").select("pipeline", "run_id", "run_started_at", F.lit("k").alias("key"), F.lit("v").alias("value"))
+    for _ in range(2):  # The second run replaces what the first one left.
+        path = write_manifests(results, runs, str(tmp_path / "out"), parameters)
+    part = "struct<folder: string, rows: bigint>"
+    schema = f"run_id string, status string, stages_run {part}, outputs {part}, parameters {part}"
+    documents = {r.run_id: r for r in read_json_documents(spark, path, "document", schema).collect()}
+    counts = {k: (d.status, d.stages_run.rows, d.outputs.rows, d.parameters.rows) for k, d in documents.items()}
+    assert counts == {"long": ("failed", 5000, 1200, 0), "one": ("succeeded", 1, 1, 0), "none": (None, 0, 0, 1)}
+    lines = spark.read.schema("document string, place bigint, name string").json(documents["long"].stages_run.folder)
+    own = lines.where(F.col("document") == documents["long"].document).orderBy("place").collect()
+    assert [(r.place, r.name) for r in own] == list(enumerate(names))
+    outputs = read_json_documents(spark, path, "outputs", "name string, outputs string").where(F.col("document") == documents["long"].document)
+    assert {r.name: r.outputs for r in outputs.collect()} == {name: str(i) for i, name in enumerate(names)}
+
+
+def test_documents_keep_null_keys_apart_and_refuse_taken_names(spark, tmp_path):
+    scalars = spark.createDataFrame([("a", None), (None, "a"), (None, None)], "x string, y string")
+    path = write_json_documents(scalars, str(tmp_path / "out"), ["x", "y"], {})
+    assert read_json_documents(spark, path, "document", "x string, y string").select("document").distinct().count() == 3
+    with pytest.raises(ValueError, match="shard"):
+        write_json_documents(scalars.withColumnRenamed("y", "shard"), path, ["x"], {})
