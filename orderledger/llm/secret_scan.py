@@ -28,7 +28,13 @@ MASK = "[SECRET]"
 SHORTEST = 8
 
 _BLANK = "[ \\t\\n\\x0B\\f\\r]+"
-_CUE = "(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|credential|auth|bearer)"
+_CUES = "(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|credential|auth|bearer)"
+_CUE = "(?i)" + _CUES
+# The words before a value that hand it over: "password:", "password =", "Bearer".
+_HANDED = f"(?i)({_CUES}[a-z_]*[\"']?( ?[=:]+)|(^| )[\"'(]*bearer)$"
+# Letters only, with capitals inside.
+_LETTERS = "^[A-Za-z]*[a-z][A-Z][A-Za-z]*[a-z][A-Z][A-Za-z]*$"
+_BEGIN = "-----BEGIN"
 # The value of a word: what follows an assignment, without quotes and closing marks.
 _VALUE = "^[\"'(\\[<]*(?:[A-Za-z_.-]{2,40}[=:]+)?[\"'(\\[<]*(.*?)[\"'.,;:)\\]>!?]*$"
 # Fixed formats that issuers give their secrets; findings of these shapes are labelled 1.
@@ -89,16 +95,18 @@ def _features(value: Column, word: Column, before: Column, after: Column, dictio
     }
 
 
-def _suspect(word: Column) -> Column:
-    shaped = word.rlike("[0-9]|[A-Z]{16}") | word.rlike(_CUE + "[A-Za-z_]*[=:][^ ]{6,}") | word.startswith("-----BEGIN")
-    return (F.length(word) >= SHORTEST) & shaped
+def _suspect(word: Column, before: Column) -> Column:
+    shaped = word.rlike("[0-9]|[A-Z]{16}") | word.rlike(_CUE + "[A-Za-z_]*[=:][^ ]{6,}") | word.startswith(_BEGIN)
+    # The words before are read for the few that have capitals inside.
+    handed = word.rlike("[a-z][A-Z].*[a-z][A-Z]") & before.rlike(_HANDED)
+    return (F.length(word) >= SHORTEST) & (shaped | handed)
 
 
 def suspects(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, place, word, value, before and after of every suspect word of a text.
 
-    `place` is the word's number in its text, `before` the three words before it. A null or
-    empty text has none.
+    `place` is the word's number in its text, `before` the three words before it, `after` the
+    two behind it. A null or empty text has none.
     """
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -106,11 +114,13 @@ def suspects(docs: DataFrame) -> DataFrame:
         F.split(F.coalesce("text", F.lit("")), _BLANK).alias("words"),
     )
     word = lambda i: F.get("words", i)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _suspect(word(i)))
+    earlier = lambda i: F.concat_ws(" ", *(word(i - k) for k in (3, 2, 1)))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _suspect(word(i), earlier(i)))
     found = split.select("doc_id", "text_hash", "words", F.explode(places).alias("place"))
     place = F.col("place")
-    before = F.concat_ws(" ", *(word(place - k) for k in (3, 2, 1)))
-    named = found.select("doc_id", "text_hash", "place", word(place).alias("word"), before.alias("before"), word(place + 1).alias("after"))
+    after = F.concat_ws(" ", word(place + 1), word(place + 2))
+    beside = (earlier(place).alias("before"), after.alias("after"))
+    named = found.select("doc_id", "text_hash", "place", word(place).alias("word"), *beside)
     return named.withColumn("value", F.regexp_extract("word", _VALUE, 1)).where(F.length("value") >= SHORTEST)
 
 
@@ -127,14 +137,17 @@ def corpus_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[st
 
 
 def label() -> Column:
-    """1 for a format that issuers use, or an unguessable value given to a cue; 0 for shapes of
-    harmless things; null where neither is plain."""
+    """1 for a format that issuers use, the beginning of a private key, or an unguessable value
+    given to a cue, which may be of letters with capitals inside; 0 for shapes of harmless
+    things; null where neither is plain."""
     value = F.col("value")
+    begun = value.startswith(_BEGIN) & F.col("after").rlike("(?i)private")
+    letters = value.rlike(_LETTERS) & (F.col("before").rlike(_HANDED) | (F.col("assigned") == 1))
     issued = reduce(lambda a, b: a | b, (value.rlike(p) for p in _ISSUED))
     given = ((F.col("assigned") == 1) | (F.col("cue_before") == 1)) & value.rlike("^[A-Za-z0-9+/_=-]{12,}$")
     mixed = (F.col("digits") > 0.1) & (F.col("digits") < 1) & (F.col("transitions") > 0.15)
     harmless = reduce(lambda a, b: a | b, (value.rlike(p) for p in _HARMLESS))
-    return F.when(issued | (given & mixed), F.lit(1.0)).when(harmless | (F.col("dictionary") > 0.6), F.lit(0.0))
+    return F.when(issued | begun | letters | (given & mixed), F.lit(1.0)).when(harmless | (F.col("dictionary") > 0.6), F.lit(0.0))
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel | None:

@@ -97,3 +97,42 @@ def test_sample_over_distinct_vectors(spark, monkeypatch):
     model = s.train(many)
     harmless = found.where("label = 0").select(s.probability(model).alias("score")).collect()
     assert harmless and np.mean([r["score"] < s.SECRET_FROM for r in harmless]) == 1
+
+
+LETTER_SECRETS = [
+    ("my password: CorrectHorseBattery was", 2, "CorrectHorseBattery"),
+    ("send Bearer QwErTyUiOpAsDfGh along", 2, "QwErTyUiOpAsDfGh"),
+    ("set auth_token = kLmNoPqRsTuVwXy now", 3, "kLmNoPqRsTuVwXy"),
+    ("key -----BEGIN RSA PRIVATE KEY----- follows", 1, "-----BEGIN"),
+]
+LETTER_WORDS = ["the JavaScriptCore bridge", "-----BEGIN CERTIFICATE----- here", "a password river garden", "private OpenStreetMap tiles"]
+
+
+def test_secrets_without_digits(spark):
+    """Values of letters handed over by a cue, and private keys; the like without a cue stays."""
+    texts = [t for t, _, _ in LETTER_SECRETS] * 3 + LETTER_WORDS * 3
+    docs = [m[:2] for m in _docs()] + [(1000 + i, t) for i, t in enumerate(texts)]
+    found = [r for r in rows(s.scan(frame(spark, docs))) if r["doc_id"] >= 1000]
+    secret = {r["doc_id"]: (r["place"], r["value"]) for r in found if r["is_secret"]}
+    n = len(LETTER_SECRETS)
+    assert secret == {1000 + i: LETTER_SECRETS[i % n][1:] for i in range(3 * n)}
+
+
+def test_all_findings_of_texts_by_brute_force(spark):
+    """Every place, value and neighbour of a text, from plain Python."""
+    pick = random.Random(3)
+    parts = ["a1b2c3d4", "password:", "Secret=xYz4567", "CamelCaseWords", "Bearer", "ABCDEFGHIJKLMNOP", "(12345678)", "plain", "user@mail.org", "=", "token", "x" * 300 + "7", "-----BEGIN", "'pwd=hunter2hunter2'"]
+    texts = [" ".join(pick.choice(parts) for _ in range(pick.randint(0, 25))) for _ in range(60)]
+    cue = "(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|credential|auth|bearer)"
+    expected = set()
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        for k, word in enumerate(words):
+            before = " ".join(words[max(0, k - 3) : k])
+            shaped = re.search("[0-9]|[A-Z]{16}", word) or re.search(cue + "[A-Za-z_]*[=:][^ ]{6,}", word, re.I) or word.startswith("-----BEGIN")
+            handed = re.search("[a-z][A-Z].*[a-z][A-Z]", word) and re.search(cue + "[a-z_]*[\"']?( ?[=:]+)$|(^| )[\"'(]*bearer$", before, re.I)
+            value = re.match("[\"'(\\[<]*(?:[A-Za-z_.-]{2,40}[=:]+)?[\"'(\\[<]*(.*?)[\"'.,;:)\\]>!?]*$", word)[1]
+            if len(word) >= 8 and (shaped or handed) and len(value) >= 8:
+                expected.add((i, k, value, before, " ".join(words[k + 1 : k + 3])))
+    got = s.suspects(frame(spark, list(enumerate(texts)))).select("doc_id", "place", "value", "before", "after").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 100
