@@ -4,7 +4,8 @@ The distinct words of a batch of texts, each with a delimiter on both sides, are
 of an Aho-Corasick automaton; every pattern carries the CRC-32 and the length of its word. One
 scan over the texts emits the payloads in order. The CRC of a run of words follows from the
 payloads of neighbours, as CRCs compose, so no run is ever spelt out. Its remainder is the
-feature's bucket, in which target and raw corpus are counted and documents are scored.
+feature's bucket, in which target and raw corpus are counted and documents are scored. The
+buckets of every document are stored, so that its text is scanned once for both.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,19 +111,50 @@ def features(payloads: Payloads, longest: int, buckets: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
 
 
-def bucket_counts(texts: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
-    """Features per bucket over the column `text` of all rows; each task sends its sums, and no
-    more than one row per bucket reaches the driver."""
+_ENCODED = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("buckets", T.BinaryType())]
+)
+
+
+def _width(buckets: int) -> np.dtype:
+    """The smallest unsigned type that holds every bucket."""
+    return np.min_scalar_type(max(0, buckets - 1)).newbyteorder("<")
+
+
+def encode(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, n_words and the buckets of all features of every whole text, as bytes."""
+    width = _width(buckets)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1, SLICE_BYTES):
+            payloads = scan(batch.column(1).to_pylist())
+            bucket, row = features(payloads, longest, buckets)
+            if longest > 1:
+                bucket = bucket[np.argsort(row, kind="stable")]
+            found = bucket.astype(width).tobytes()
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows)) * width.itemsize
+            bounds = zip([0, *ends[:-1].tolist()], ends.tolist())
+            parts = pa.array([found[start:end] for start, end in bounds], pa.binary())
+            words = pa.array(np.bincount(payloads.row, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), words, parts], _ENCODED.fieldNames())
+
+    return docs.select("doc_id", "text").mapInArrow(spell, _ENCODED)
+
+
+def bucket_counts(encoded: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Features per bucket over all rows of `encode`; each task sends its sums, and no more than
+    one row per bucket reaches the driver."""
+    width = _width(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in text_slices(batches, 0, SLICE_BYTES):
-            bucket, _ = features(scan(batch.column(0).to_pylist()), longest, buckets)
+            bucket = np.frombuffer(b"".join(batch.column(0).to_pylist()), width)
             total += np.bincount(bucket, minlength=buckets)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["bucket", "n"])
 
-    counted = texts.select("text").mapInArrow(count, "bucket long, n long")
+    counted = encoded.select("buckets").mapInArrow(count, "bucket long, n long")
     out = np.zeros(buckets, np.int64)
     for bucket, n in counted.groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
@@ -147,24 +180,22 @@ def noise(doc_id: int | None, seed: int = SEED) -> int:
 _SCORED = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_features", "weight", "score")])
 
 
-def weigh(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_features, weight (floored mean gain) and score of every whole text."""
+def weigh(encoded: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
+    """doc_id, n_words, n_features, weight (floored mean gain) and score of every row of `encode`."""
+    width = _width(len(gain))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1, SLICE_BYTES):
-            payloads = scan(batch.column(1).to_pylist())
-            bucket, row = features(payloads, longest, len(gain))
-            order = np.argsort(row, kind="stable")
-            sums = np.concatenate([[0], np.cumsum(gain[bucket[order]])])
-            n = np.bincount(row, minlength=batch.num_rows)
+        for batch in text_slices(batches, 2, SLICE_BYTES):
+            ids, words, parts = batch.columns
+            bucket = np.frombuffer(b"".join(parts.to_pylist()), width)
+            sums = np.concatenate([[0], np.cumsum(gain[bucket])])
+            n = pc.binary_length(parts).to_numpy().astype(np.int64) // width.itemsize
             ends = np.cumsum(n)
             weight = np.where(n > 0, (sums[ends] - sums[ends - n]) // np.maximum(n, 1), 0)
-            words = np.bincount(payloads.row, minlength=batch.num_rows)
-            ids = batch.column(0).cast(pa.int64())
             score = weight + np.fromiter((noise(i, seed) for i in ids.to_pylist()), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (words, n, weight, score))], _SCORED.fieldNames())
+            yield pa.RecordBatch.from_arrays([ids, words, *map(pa.array, (n, weight, score))], _SCORED.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(rate, _SCORED)
+    return encoded.select("doc_id", "n_words", "buckets").mapInArrow(rate, _SCORED)
 
 
 def draw(scored: DataFrame, least_words: int = LEAST_WORDS, percent: int = SHARE_PERCENT) -> DataFrame:
@@ -218,5 +249,7 @@ def resample(
     null one last; repeated rows follow each other. With an empty target all gains come from
     the raw corpus alone; an empty table gives no rows. Other columns are not read.
     """
-    gain = gains(bucket_counts(docs, longest, buckets), bucket_counts(target, longest, buckets))
-    return draw(stage_table(weigh(docs, gain, longest, seed), "importance"), least_words, percent)
+    encoded = stage_table(encode(docs, longest, buckets), "buckets")
+    aimed = encode(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), longest, buckets)
+    gain = gains(bucket_counts(encoded, buckets), bucket_counts(aimed, buckets))
+    return draw(stage_table(weigh(encoded, gain, seed), "importance"), least_words, percent)

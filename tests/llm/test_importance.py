@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from docs import frame, rows
+from orderledger.llm import importance
 from orderledger.llm.importance import compose, features, resample, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,3 +110,20 @@ def test_whole_table(spark, sf_documents):
     docs = [(r.doc_id, r.text) for r in sf_documents.collect()]
     target = [r.text for r in benchmark.collect()]
     assert result(resample(sf_documents, benchmark)) == brute(docs, target)
+
+
+@pytest.mark.parametrize("longest,buckets", [(1, 10_000), (3, 250), (2, 70_000)])
+def test_each_text_is_scanned_once(spark, tmp_path, monkeypatch, longest, buckets):
+    """One pass over the texts serves both the counts and the weights."""
+    real, log = importance.scan, tmp_path / "scans"
+
+    def counted(texts):
+        with log.open("a") as out:
+            out.write("x" * len(texts))
+        return real(texts)
+
+    monkeypatch.setattr(importance, "scan", counted)
+    docs, target = _docs(60), ["alpha alpha kappa", None, "kappa 日本"]
+    got = resample(frame(spark, docs), frame(spark, list(enumerate(target))), longest, buckets, percent=30)
+    assert result(got) == brute(docs, target, longest, buckets, percent=30)
+    assert len(log.read_text()) == len(docs) + len(target)
