@@ -1,28 +1,31 @@
 """Quality rules: counted base rules, then a likelihood ratio of hashed n-grams.
 
-Two multinomials over hashed word and word-pair buckets, one of trusted documents and one
+Two multinomials over hashed word and word-pair buckets, one of all trusted documents and one
 of the whole raw corpus, give every document the mean log ratio of its n-grams. A document
-whose mean lies below a threshold taken from the trusted documents is dropped; nothing is
+whose mean lies below a threshold taken from all labelled documents is dropped; nothing is
 drawn at random.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import stage_table
 from .words import WordBatch, join_hash, mix, split_words, text_slices, windows, word_batch
 
 BUCKETS = 1 << 14
-#: Trusted and distrusted documents that the target multinomial and the threshold are fitted on.
+#: Documents that `labelled_sample` gives at most; `assess` takes all labelled ones.
 FIT_ROWS = 20_000
 #: Share of the trusted documents that the threshold may cost.
 TRUSTED_LOSS = 0.005
+#: Cells that a step of 1 in the ratio is cut into while the threshold is sought; any number gives the same one.
+CELLS = 4096
 
 _BLANKS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -88,26 +91,38 @@ def labelled_sample(labels: DataFrame, value: int, rows: int = FIT_ROWS) -> froz
     return frozenset(r[0] for r in chosen.collect())
 
 
-def ngram_counts(docs: DataFrame, trusted: frozenset[int]) -> np.ndarray:
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and good (quality 1, or else 0) of every labelled document, one row each; an id
+    with both labels is good."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+
+
+def ngram_counts(docs: DataFrame, trusted: DataFrame | Collection[int]) -> np.ndarray:
     """Raw and trusted counts by bucket over all documents; two rows of BUCKETS numbers.
 
-    Every task adds up its own documents first, so a task sends one row per bucket.
+    `trusted` holds distinct ids, in a column doc_id if it is a frame. Every task adds up its
+    own documents first, so a task sends one row per bucket.
     """
+    if not isinstance(trusted, DataFrame):
+        trusted = docs.sparkSession.createDataFrame([(i,) for i in trusted], "doc_id long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in text_slices(batches):
-            numbers = batch.column(0).to_pylist()
+            wanted = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             words = word_batch([split_words(t.as_py()) for t in batch.column(1)])
             bucket, rows = _buckets(words)
             total[0] += np.bincount(bucket, minlength=BUCKETS)
-            wanted = np.fromiter((n in trusted for n in numbers), bool, len(numbers))
             total[1] += np.bincount(bucket[wanted[rows]], minlength=BUCKETS)
         used = np.flatnonzero(total[0])
         columns = [pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])]
         yield pa.RecordBatch.from_arrays(columns, ["bucket", "raw", "target"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long")
+    # Trusted ids grow with the corpus, so they are merged with the documents at any size.
+    wanted = trusted.select("doc_id", F.lit(True).alias("wanted")).hint("merge")
+    marked = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("wanted", "text")
+    parts = marked.mapInArrow(count, "bucket long, raw long, target long")
     sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = np.zeros((2, BUCKETS), np.int64)
     for bucket, raw, target in sums.collect():  # BUCKETS rows at most
@@ -143,27 +158,41 @@ def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rate, SCORED)
 
 
-def threshold(docs: DataFrame, ratios: np.ndarray, trusted: frozenset[int], distrusted: frozenset[int]) -> float:
+def threshold(scored: DataFrame, marks: DataFrame) -> float:
     """The ratio that parts the distrusted from the trusted documents best.
 
-    Among the trusted documents that pass the base rules, the one is found that, as the
+    Among all trusted documents that pass the base rules, the one is found that, as the
     lowest one kept, gives the best sum of both rates and costs at most TRUSTED_LOSS of them;
     of equals the lowest. The cut lies halfway to the next distrusted document below it.
     With no trusted documents nothing is dropped by ratio.
+
+    Counts by cell, a bounded table, say how many documents lie below each cell; inside a
+    cell its own rows tell.
     """
-    ids = docs.sparkSession.createDataFrame([(i, i in trusted) for i in sorted(trusted | distrusted)], "doc_id long, good boolean")
-    labelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    seen = score(labelled, ratios).where(~F.col("base_failed")).select("doc_id", "ratio").collect()
-    good = np.sort([r for i, r in seen if i in trusted])
-    bad = np.sort([r for i, r in seen if i in distrusted and i not in trusted])
-    if not len(good):
+    spark = scored.sparkSession
+    seen = scored.where(~F.col("base_failed")).select("doc_id", "ratio").join(marks, "doc_id")
+    counts = seen.groupBy("ratio").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counts = stage_table(counts.withColumn("cell", F.floor(F.col("ratio") * CELLS)), "ratios")
+    cells = sorted(counts.groupBy("cell").agg(F.sum("good"), F.sum("bad")).collect())
+    n_good, n_bad = (sum(c[k] for c in cells) for k in (1, 2))
+    if not n_good:
         return float("-inf")
-    cuts = np.unique(good[: int(TRUSTED_LOSS * len(good)) + 1])
-    lost = np.searchsorted(good, cuts) / len(good)
-    caught = np.searchsorted(bad, cuts) / max(1, len(bad))
-    lowest = cuts[np.argmax(caught - lost)]
-    below = bad[bad < lowest]
-    return float((lowest + below[-1]) / 2 if len(below) else lowest)
+    most = int(TRUSTED_LOSS * n_good)
+    below, good, bad = [], 0, 0
+    for cell, here_good, here_bad in cells:
+        if good <= most:
+            below.append((cell, good, bad))
+        good, bad = good + here_good, bad + here_bad
+    starts = spark.createDataFrame(below, "cell long, good_below long, bad_below long")
+    inside = Window.partitionBy("cell").orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.col("good_below") + F.coalesce(F.sum("good").over(inside), F.lit(0))
+    caught = F.col("bad_below") + F.coalesce(F.sum("bad").over(inside), F.lit(0))
+    cuts = counts.join(F.broadcast(starts), "cell").select("ratio", "good", lost.alias("lost"), caught.alias("caught"))
+    gain = F.col("caught") / F.lit(max(1, n_bad)) - F.col("lost") / F.lit(n_good)
+    able = cuts.where((F.col("good") > 0) & (F.col("lost") <= most))
+    lowest = able.orderBy(gain.desc(), "ratio").first()["ratio"]
+    nearest = counts.where((F.col("bad") > 0) & (F.col("ratio") < lowest)).agg(F.max("ratio")).first()[0]
+    return lowest if nearest is None else (lowest + nearest) / 2
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,8 +202,8 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     `labels` are passed over. Repeated rows are assessed as they are. Only doc_id and text
     of `docs` and doc_id and quality of `labels` are read.
     """
-    trusted, distrusted = labelled_sample(labels, 1), labelled_sample(labels, 0)
-    ratios = log_ratios(ngram_counts(docs, trusted))
-    cut = threshold(docs, ratios, trusted, distrusted)
-    kept = ~F.col("base_failed") & (F.col("ratio") >= F.lit(cut))
-    return score(docs, ratios).withColumn("kept", kept)
+    marks = labelled(labels)
+    ratios = log_ratios(ngram_counts(docs, marks.where("good")))
+    scored = stage_table(score(docs, ratios), "quality")
+    kept = ~F.col("base_failed") & (F.col("ratio") >= F.lit(threshold(scored, marks)))
+    return scored.withColumn("kept", kept)

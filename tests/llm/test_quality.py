@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from docs import frame, rows
 from orderledger.llm import quality
@@ -70,3 +71,65 @@ def test_empty_tables(spark, sf_documents):
     assert {r["doc_id"]: r["base_failed"] for r in rows(kept)} == {1: True, 2: True}
     nulls = spark.createDataFrame([(None, 1, 0), (5, None, 0), (5, 1, 1), (5, 1, 1)], none.schema)
     assert quality.labelled_sample(nulls, 1) == {5}
+
+
+def _cut(good, bad):
+    """The threshold from sorted arrays of all ratios."""
+    if not len(good):
+        return float("-inf")
+    good, bad = np.sort(good), np.sort(bad)
+    cuts = np.unique(good[: int(quality.TRUSTED_LOSS * len(good)) + 1])
+    gain = np.searchsorted(bad, cuts) / max(1, len(bad)) - np.searchsorted(good, cuts) / len(good)
+    lowest = cuts[np.argmax(gain)]
+    below = bad[bad < lowest]
+    return (lowest + below[-1]) / 2 if len(below) else lowest
+
+
+def test_counts_and_threshold_take_all_labelled_documents(spark):
+    """More trusted documents than FIT_ROWS, in 60 texts whose counts are added up here."""
+    pick = np.random.default_rng(3)
+    n, kinds = quality.FIT_ROWS + 3_000, 60
+    texts = [" ".join(f"w{w}" for w in pick.integers(0, 40 + 10 * k, 60)) for k in range(kinds)]
+    kind = np.minimum(pick.geometric(0.12, 2 * n) - 1, kinds - 1)
+    kind[n:] = kinds - 1 - kind[n:]
+    counts, buckets = np.zeros((2, quality.BUCKETS)), []
+    for k, text in enumerate(texts):
+        bucket, _ = quality._buckets(quality.word_batch([quality.split_words(text)]))
+        buckets.append(bucket)
+        once = np.bincount(bucket, minlength=quality.BUCKETS)
+        counts += np.outer([(kind == k).sum(), (kind[:n] == k).sum()], once)
+    ratios = quality.log_ratios(counts)
+    expected = np.array([np.bincount(np.zeros(len(b), int), weights=ratios[b])[0] / len(b) for b in buckets])
+    cut = _cut(expected[kind[:n]], expected[kind[n:]])
+    docs = spark.createDataFrame(list(enumerate(kind.tolist())), "doc_id long, kind int")
+    docs = docs.join(spark.createDataFrame(list(enumerate(texts)), "kind int, text string"), "kind")
+    labels = spark.range(2 * n).selectExpr("id AS doc_id", f"CAST(id < {n} AS INT) AS quality")
+    got = quality.assess(docs, labels).join(docs.select("doc_id", "kind"), "doc_id").groupBy("kind", "ratio", "kept").count()
+    seen = {r["kind"]: (r["ratio"], r["kept"]) for r in rows(got)}
+    assert got.count() == len(seen) == len(set(kind.tolist()))
+    for k, (ratio, kept) in seen.items():
+        assert abs(ratio - expected[k]) < 1e-12 and kept == (expected[k] >= cut)
+
+
+@pytest.mark.parametrize("cells", [1, 8, 4096])
+def test_threshold_by_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(quality, "CELLS", cells)
+    pick = np.random.default_rng(cells)
+    for n_good, n_bad, digits in ((3000, 400, 1), (3000, 400, 3), (900, 500, 15), (1, 0, 3), (0, 5, 3), (5, 1, 0)):
+        good, bad = pick.normal(0.5, 1, n_good).round(digits), pick.normal(-2, 1, n_bad).round(digits)
+        found = [*((float(r), True) for r in good), *((float(r), False) for r in bad)]
+        scored = [(i, i % 50 == 49, r) for i, (r, _) in enumerate(found)] + [(10**6, False, -9.0), (None, False, -9.0)]
+        scored = spark.createDataFrame(scored, "doc_id long, base_failed boolean, ratio double")
+        marks = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(found)] + [(10**7, True)], "doc_id long, good boolean")
+        passed = [(r, g) for i, (r, g) in enumerate(found) if i % 50 != 49]
+        sides = ([r for r, g in passed if g == side] for side in (True, False))
+        assert quality.threshold(scored, marks) == _cut(*map(np.array, sides))
+
+
+def test_labels_of_one_document(spark):
+    found = [(1, 1), (1, 0), (1, None), (2, 0), (2, 0), (3, None), (4, 7), (None, 1), (5, 1)]
+    labels = spark.createDataFrame(found, "doc_id int, quality int")
+    assert {(r["doc_id"], r["good"]) for r in rows(quality.labelled(labels))} == {(1, True), (2, False), (5, True)}
+    docs = frame(spark, [(1, "a b"), (1, "a b"), (2, "c"), (None, "d")], extra=True)
+    counts = quality.ngram_counts(docs, quality.labelled(labels).where("good"))
+    assert counts.sum(axis=1).tolist() == [8, 6]
