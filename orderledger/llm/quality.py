@@ -24,6 +24,8 @@ BUCKETS = 1 << 14
 FIT_ROWS = 20_000
 #: Share of the trusted documents that the threshold may cost.
 TRUSTED_LOSS = 0.005
+#: Parts that the rows of one id are dealt over when labels are joined to texts.
+PARTS = 8
 #: Cells that a step of 1 in the ratio is cut into while the threshold is sought; any number gives the same one.
 CELLS = 4096
 
@@ -119,9 +121,12 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame | Collection[int]) -> np.nd
         columns = [pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])]
         yield pa.RecordBatch.from_arrays(columns, ["bucket", "raw", "target"])
 
-    # Trusted ids grow with the corpus, so they are merged with the documents at any size.
-    wanted = trusted.select("doc_id", F.lit(True).alias("wanted")).hint("merge")
-    marked = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("wanted", "text")
+    # Trusted ids grow with the corpus, so they are merged with the documents at any size. Every
+    # id stands in each part, and documents are dealt over the parts, so rows of one id part too.
+    every = F.explode(F.array(*map(F.lit, range(PARTS))))
+    wanted = trusted.select("doc_id", every.alias("part"), F.lit(True).alias("wanted")).hint("merge")
+    dealt = docs.select("doc_id", "text", (F.monotonically_increasing_id() % PARTS).cast("int").alias("part"))
+    marked = dealt.join(wanted, ["doc_id", "part"], "left").select("wanted", "text")
     parts = marked.mapInArrow(count, "bucket long, raw long, target long")
     sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = np.zeros((2, BUCKETS), np.int64)

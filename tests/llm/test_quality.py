@@ -133,3 +133,8 @@ def test_labels_of_one_document(spark):
     docs = frame(spark, [(1, "a b"), (1, "a b"), (2, "c"), (None, "d")], extra=True)
     counts = quality.ngram_counts(docs, quality.labelled(labels).where("good"))
     assert counts.sum(axis=1).tolist() == [8, 6]
+
+
+def test_rows_of_one_id_are_dealt_over_parts_and_counted_once(spark):
+    docs = frame(spark, [(7, "a b")] * 500 + [(None, "c d")] * 500 + [(8, "e")])
+    assert quality.ngram_counts(docs, frozenset({7})).sum(axis=1).tolist() == [3001, 1500]
